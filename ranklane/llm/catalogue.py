@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, mixing
+from ranklane.llm import bpe, langid, mixing, toxicity, urlfilter
 from ranklane.llm.common import Scratch, table
 
 #: The vocabulary file of op3 and of the pipeline's last stage.
@@ -19,13 +19,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
 
 
+def op6_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "log_odds")
+
+
+def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"), Scratch(spark))
     return planned.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"), "_mix.copies")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op6_url_words": op6_url_words,
+    "op7_compression_toxicity": op7_compression_toxicity,
     "op8_pareto_mix": op8_pareto_mix,
+    "op9_langid": op9_langid,
 }
 ORACLES: dict[str, str] = {}

@@ -8,17 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, langid, mixing, toxicity, urlfilter
+from ranklane.llm import bpe, embeddings, langid, mixing, multisethash, pii, simhash, toxicity, urlfilter
 from ranklane.llm.common import Scratch, table
 
 #: The vocabulary file of op3 and of the pipeline's last stage.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark)))
+
+
+def op2_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)))
+
+
 def op6_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "log_odds")
 
@@ -36,11 +48,19 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multisethash.compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_embedding_tiles": op2_embedding_tiles,
     "op3_bpe": op3_bpe,
+    "op5_pii": op5_pii,
     "op6_url_words": op6_url_words,
     "op7_compression_toxicity": op7_compression_toxicity,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_langid": op9_langid,
+    "op10_multiset_hash": op10_multiset_hash,
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklane.llm import bpe, embeddings, langid, mixing, multisethash, pii, simhash, toxicity, urlfilter
+from ranklane.llm import bpe, embeddings, langid, mixing, multisethash, pii, simhash, substrings, toxicity, urlfilter
 from ranklane.llm.common import Scratch, table
 
 #: The vocabulary file of op3 and of the pipeline's last stage.
@@ -27,6 +27,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
 
 
+def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_embedding_tiles": op2_embedding_tiles,
     "op3_bpe": op3_bpe,
+    "op4_fm_index": op4_fm_index,
     "op5_pii": op5_pii,
     "op6_url_words": op6_url_words,
     "op7_compression_toxicity": op7_compression_toxicity,

@@ -1,4 +1,4 @@
-"""Queries by name and the SQL that DuckDB can run for them."""
+"""Queries by name, each with the SQL that DuckDB runs over the same tables."""
 
 from __future__ import annotations
 
@@ -8,4 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "goal_state_stats"
+FLAGSHIP = "encode_pseudobulk_topfraction"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from ranklane.plans import encoding, mapping, statistics, vectors  # noqa: E402, F401  they register their queries

@@ -10,7 +10,6 @@ depend on order, and a passage is added or taken away by adding or subtracting i
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,14 +89,22 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     quantiles = rows.select("id").approxQuantile("id", [i / slots for i in range(1, slots)], 0.2 / slots)
     bounds = sorted({int(b) for b in quantiles})
-    cut = F.udf(lambda i: len(bounds) + 1 if i is None else len(bounds) - bisect_right(bounds, i), "int", useArrow=True)
-    rows = rows.withColumn("slot", cut("id"))
+    larger = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b > F.col("id")))
+    rows = rows.withColumn("slot", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(larger))
     order = F.struct(F.col("id").isNull().alias("n"), (-F.coalesce(F.col("id"), F.lit(0))).alias("k"), F.col("tie").alias("tie"))
     heads = sorted(((r.slot, r.head) for r in rows.groupBy("slot").agg(F.min(order).alias("head")).collect()), key=lambda x: x[0])
-    moves = {(None if head.n else -head.k, head.tie): heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the first slot's head goes to the last slot
-    carried = F.udf(lambda i, t: moves.get((i, t)), "int", useArrow=True)
+    # where each slot's first row goes as well: to the slot before; the first slot's to the last one
+    goes = {(None if head.n else -head.k): (head.tie, heads[i - 1][0]) for i, (_, head) in enumerate(heads)}
+    to = F.lit(None).cast("int")
+    if None in goes:
+        to = F.when(F.col("id").isNull() & (F.col("tie") == goes[None][0]), F.lit(goes[None][1])).otherwise(to)
+    named = {k: v for k, v in goes.items() if k is not None}
+    if named:
+        found = F.create_map(*[x for k, (tie, slot) in named.items() for x in (F.lit(k).cast("bigint"), F.struct(F.lit(tie).cast("bigint").alias("tie"), F.lit(slot).alias("slot")))])
+        of_id = F.try_element_at(found, F.col("id"))
+        to = F.when(of_id["tie"] == F.col("tie"), of_id["slot"]).otherwise(to)
     targets = F.array_compact(F.array(F.struct("slot", F.lit(0).alias("carry")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("slot"), F.lit(1).alias("carry")))))
-    dealt = rows.withColumn("to", carried("id", "tie")).select(F.explode(targets).alias("at"), "id", "text", "tie").select("at.*", "id", "text", "tie")
+    dealt = rows.withColumn("to", to).select(F.explode(targets).alias("at"), "id", "text", "tie").select("at.*", "id", "text", "tie")
     return dealt.repartition(slots, "slot").sortWithinPartitions("slot", "carry", F.col("id").desc_nulls_last(), "tie").select("slot", "carry", "id", "text")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklane.functions.aggregates import correlation
+
 
 def norm_pos() -> Column:
     """A position over the list's last one (0 for a list of one)."""
@@ -139,7 +141,7 @@ def pair_metrics(left: DataFrame, right: DataFrame) -> DataFrame:
     w = Window.partitionBy("cell")
     s = shared(left, right).select("cell", F.abs(F.col("pos_b") - F.col("pos_a")).cast("double").alias("d"), F.row_number().over(w.orderBy("pos_a")).cast("double").alias("ra"), F.row_number().over(w.orderBy("pos_b")).cast("double").alias("rb"))
     out = s.groupBy("cell").agg(
-        F.count("*").alias("n_shared"), F.corr("ra", "rb").alias("spearman"), F.percentile("d", F.lit(0.5)).alias("disp_median"), F.percentile("d", F.lit(0.9)).alias("disp_p90"),
+        F.count("*").alias("n_shared"), correlation("ra", "rb").alias("spearman"), F.percentile("d", F.lit(0.5)).alias("disp_median"), F.percentile("d", F.lit(0.9)).alias("disp_p90"),
         F.max("d").alias("disp_max"), F.avg((F.col("d") > 0).cast("int")).alias("frac_moved"),
     )
     few = F.col("n_shared") < 2

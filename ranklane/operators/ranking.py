@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklane.functions.aggregates import correlation
+
 
 def average_rank(value: Column | str, *by: str) -> Column:
     """1-based rank, equal values sharing their mean rank, within the partition."""
@@ -26,8 +28,8 @@ def average_ranks(values: DataFrame, column: str) -> DataFrame:
 def spearman_by(rows: DataFrame, a: str, b: str, by: str, least: int = 2) -> DataFrame:
     """(by, n, rho): correlation of average ranks within each group; null for fewer rows than `least` or constant values."""
     ranked = rows.select(by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
-    out = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
-    return out.select(by, "n", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
+    out = ranked.groupBy(by).agg(F.count("*").alias("n"), correlation("ra", "rb").alias("rho"))
+    return out.select(by, "n", F.when(F.col("n") >= least, F.col("rho")).alias("rho"))
 
 
 def base_bins(rows: DataFrame, base: str, bins: int) -> DataFrame:
@@ -44,7 +46,7 @@ def demean(column: Column | str, *by: str) -> Column:
 def partial_spearman(rows: DataFrame, pred: str, target: str, base: str, bins: int = 20) -> DataFrame:
     """(partial): correlation of the ranks of pred and target, both without their mean in a bin of the base rank."""
     binned = base_bins(rows, base, bins).select("bin", average_rank(pred).alias("p"), average_rank(target).alias("t"))
-    return binned.select(demean("p", "bin").alias("p"), demean("t", "bin").alias("t")).agg(F.corr("p", "t").alias("partial"))
+    return binned.select(demean("p", "bin").alias("p"), demean("t", "bin").alias("t")).agg(correlation("p", "t").alias("partial"))
 
 
 def crossfit_base(rows: DataFrame, token: str, base: str, target: str, bins: int = 20) -> DataFrame:

@@ -12,11 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ranklane.functions.aggregates import correlation
 from ranklane.operators.ranking import average_rank, average_ranks, bh_adjust
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """The normal distribution's two-sided p-value, one for each aggregated row."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x and x is not None else float("nan"))
@@ -111,7 +113,7 @@ def closeness(rows: DataFrame, d: str, goal: str, top: float = 0.2) -> DataFrame
     dg, gg, dd = F.sum(F.col("d") * F.col("g")), F.nullif(F.sum(F.col("g") * F.col("g")), F.lit(0.0)), F.nullif(F.sum(F.col("d") * F.col("d")), F.lit(0.0))
     gap = F.col("g") - F.col("d")
     return x.agg(
-        (dg / gg).alias("progress"), (dg / F.sqrt(dd * gg)).alias("cosine"), F.corr("rd", "rg").alias("spearman"), (1 - F.sqrt(F.sum(gap * gap)) / F.sqrt(gg)).alias("distance_closed"),
+        (dg / gg).alias("progress"), (dg / F.sqrt(dd * gg)).alias("cosine"), correlation("rd", "rg").alias("spearman"), (1 - F.sqrt(F.sum(gap * gap)) / F.sqrt(gg)).alias("distance_closed"),
         F.avg(F.when(big, (F.signum("d") == F.signum("g")).cast("int"))).alias("toward_goal"),
     )
 

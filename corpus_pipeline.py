@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones and those without a letter go."""
-    return langid.identify(docs).where("NOT rejected").select(*docs.columns)
+    return langid.identify(docs).where("NOT rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,11 +45,12 @@ def op7_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"), Scratch(spark))
-    return planned.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"), "_mix.copies")
+    return planned.select("row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"), "_mix.copies")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("row.doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

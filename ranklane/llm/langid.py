@@ -147,21 +147,20 @@ def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected, from the whole text alone.
+    """(row, lang_pred, score, rejected) for every row of docs: the row as a struct, and what its whole text alone says.
 
-    A text that is null or has no letter gets 'und', score 0 and is rejected. Existing columns stay, those
-    of the same three names excepted, which are replaced.
+    A text that is null or has no letter gets 'und', score 0 and is rejected. Rows stay whole in their
+    struct, so columns of any name are allowed.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    kept = docs.drop(*[f.name for f in added])
-    schema = T.StructType([*kept.schema.fields, *added])
-    at = kept.columns.index(text_col)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([kept.schema["row"], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
+            found = [model.predict(t) for t in batch.column(1).to_pylist()]
             arrays = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -169,8 +168,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
 def identify(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Learns from documents whose crc32 of the id modulo 4 is not 2, and predicts all of them.
 
-    Adds held_out, lang_pred, score and rejected to docs. A null id counts as the empty text in the fold.
-    With no labelled document at all every prediction is 'und'. Repeated rows get equal predictions.
+    (row, held_out, lang_pred, score, rejected) for every row of docs, the row as a struct. A null id counts as
+    the empty text in the fold. With no labelled document at all every prediction is 'und'. Repeated rows get
+    equal predictions; an empty table gives an empty one.
     """
     model = learn(docs, crc_mod(F.col("id"), 4) != 2, text_col=text_col, lang_col=lang_col, id_col=id_col)
-    return predict(docs.withColumn("held_out", crc_mod(F.col(id_col), 4) == 2), model, text_col=text_col)
+    return predict(docs, model, text_col=text_col).select("row", (crc_mod(F.col(f"row.`{id_col}`"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

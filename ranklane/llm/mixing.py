@@ -78,17 +78,17 @@ def _fill(rows: DataFrame, needs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), most_copies: int = 3, share: float = 1.0, seed: int = 20) -> DataFrame:
-    """docs with a struct column _mix: size, source_size, target, copies.
+    """(row, _mix) for every row of docs: the row as a struct, and a struct of size, source_size, target and copies.
 
     size counts words; a null or empty text has none, is never taken and has no copies. An empty table
     gives an empty one. Repeated rows count as often as they occur and are taken together. A null source
-    is a source. Columns of any other name stay as they are.
+    is a source. Rows stay whole in their struct, so columns of any name are allowed.
 
     The first pass takes the longest start of the Pareto order that fits the rest of the target. The next
     ones go on behind it with documents that fit what is left, so a source misses its target by less than
     the shortest of its documents that were passed over.
     """
-    measured = docs.withColumn("_mix", F.struct(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(seed, id_col, text_col, source_col).alias("u")))
+    measured = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(seed, id_col, text_col, source_col).alias("u")).alias("_mix"))
     slim = scratch.keep(measured.select("_mix.*"))
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_copies, share)
     targets = targets.withColumn("certain", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(most_copies))).otherwise(0).cast("int"))
@@ -119,10 +119,10 @@ def plan_mix(docs: DataFrame, scratch: Scratch, *, text_col: str = "text", sourc
     chosen = F.expr("exists(t.rules, r -> _mix.size > 0 AND _mix.u > r.behind AND _mix.u <= r.upto AND _mix.size <= r.most)")
     copies = F.when(F.col("_mix.size") > 0, F.col("t.certain") + chosen.cast("int")).otherwise(0)
     joined = measured.alias("d").join(state.select("source", "source_size", "target", "certain", "rules").alias("t"), F.expr("_mix.source <=> t.source"))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.struct("_mix.size", "t.source_size", "t.target", copies.cast("int").alias("copies")).alias("_mix"))
+    return joined.select("d.row", F.struct("_mix.size", "t.source_size", "t.target", copies.cast("int").alias("copies")).alias("_mix"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
     planned = plan_mix(docs, scratch, **how)
-    return planned.withColumn("_copy", F.explode(F.when(F.col("_mix.copies") > 0, F.sequence(F.lit(1), F.col("_mix.copies"))))).select(*docs.columns)
+    return planned.withColumn("copy", F.explode(F.when(F.col("_mix.copies") > 0, F.sequence(F.lit(1), F.col("_mix.copies"))))).select("row.*")

@@ -97,11 +97,11 @@ def _spans(text: Column, kind: str, pattern: str, base: bool) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _found: base and proposed spans, each with the characters before and after it."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    """(row, _found and others): each row of docs as a struct, with base and proposed spans and the characters around them."""
+    text = F.col("_text")
     empty = F.expr("array()").cast("array<struct<kind:string,start:int,end:int,span:string,base:boolean>>")
     digit = F.col("_digit")
-    docs = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_digit", F.rlike("_text", F.lit("[0-9]")))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).withColumn("_digit", F.rlike("_text", F.lit("[0-9]")))
     guard = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
     columns = {f"_base_{k}": F.when(guard[k], _spans(text, k, BASE[k], True)).otherwise(empty) for k in KINDS}
     columns |= {f"_wide_{k}": F.when(F.rlike(text, F.lit(NEEDS[k])) if NEEDS[k] else digit, _spans(text, k, WIDER[k], False)).otherwise(empty) for k in WIDER}
@@ -209,10 +209,10 @@ def _named(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, scratch: Scratch, *, text_col: str = "text") -> DataFrame:
-    """docs with a struct column _pii: base and spans, arrays of (kind, start, end) by kind and start.
+    """(row, _pii) for every row of docs: the row as a struct, and base and spans, arrays of (kind, start, end) by kind and start.
 
-    A null text is empty and has no spans. Repeated rows have equal ones; an empty table stays empty.
-    Columns of any name but _pii, _text, _digit, _found, _base*, _wide* stay as they are.
+    A null text is empty and has no spans. Repeated rows have equal ones; an empty table stays empty. Rows stay
+    whole in their struct, so columns of any name are allowed.
     """
     found = scratch.keep(find(docs.select(text_col), text_col).where(F.size("_found") > 0).select(F.explode("_found").alias("s")))
     weights, prior = learn(found)
@@ -225,20 +225,20 @@ def detect(docs: DataFrame, scratch: Scratch, *, text_col: str = "text") -> Data
     )
     out = find(docs, text_col)
     pii = F.struct(sorted_spans(F.col("_base")).alias("base"), sorted_spans(F.when(F.size("_found") > 0, F.filter("_found", taken)).otherwise(F.col("_found"))).alias("spans"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], pii.alias("_pii"))
+    return out.select("row", pii.alias("_pii"))
 
 
 def digest(detected: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and spans."""
     of_kind = lambda k: F.filter("_pii.base", lambda s: s["kind"] == k)
     counted = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return detected.select("doc_id", *counted, F.sha2(_named(F.col("_pii.base")), 256).alias("base_sha256"), _named(F.col("_pii.spans")).alias("spans"))
+    return detected.select("row.doc_id", *counted, F.sha2(_named(F.col("_pii.base")), 256).alias("base_sha256"), _named(F.col("_pii.spans")).alias("spans"))
 
 
 def mask(docs: DataFrame, scratch: Scratch, *, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in capitals and brackets; other texts stay as they are, null ones too."""
     found = detect(docs, scratch, text_col=text_col)
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"row.`{text_col}`")
     ordered = F.array_sort(F.transform("_pii.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     step = lambda a, s: F.struct(  # noqa: E731  an overlapping span's beginning is already masked
@@ -246,4 +246,5 @@ def mask(docs: DataFrame, scratch: Scratch, *, text_col: str = "text") -> DataFr
         F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.when(s["end"] > a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))).alias("parts"),
     )
     masked = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_pii.spans") > 0, masked).otherwise(text)).select(*docs.columns)
+    told = F.when(F.size("_pii.spans") > 0, masked).otherwise(text)
+    return found.select(*[(told if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -129,5 +129,5 @@ def keep_first(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", tex
     component has no other.
     """
     found = near_duplicates(docs, scratch, id_col=id_col, text_col=text_col)
-    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id")).distinct()
+    return docs.alias("d").join(ids.alias("i"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("i.id")), "left_semi")

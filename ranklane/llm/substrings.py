@@ -304,11 +304,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     """
     starts = repeated_windows(docs, scratch, id_col=id_col, text_col=text_col)
     size = starts.agg(F.sum(F.size("starts") * 8 + 40)).first()[0] or 0
-    rows = docs.select(*keep, F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
-    joined = rows.join(F.broadcast(starts) if size <= BROADCAST_BYTES else starts, ["doc", "th"], "left").select(*keep, "_text", "starts")
+    rows = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
+    joined = rows.join(F.broadcast(starts) if size <= BROADCAST_BYTES else starts, ["doc", "th"], "left").select("kept", "_text", "starts")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] if texts else []
-    schema = T.StructType([*joined.schema.fields[: len(keep)], *fields])
+    schema = T.StructType([joined.schema["kept"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
                 out[2].append(hashlib.sha256(kept).hexdigest())
                 if texts:
                     out[3].append(kept.decode("utf-8"))
-            arrays = [*batch.columns[: len(keep)], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(out[3], pa.string())] if texts else []), names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).select("kept.*", *[f.name for f in fields])

@@ -150,15 +150,15 @@ def learn(urls: DataFrame, seeds: tuple[str, ...] = tuple(SEEDS), lexicon: tuple
 
 
 def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES) -> DataFrame:
-    """pages with host, path, rule and verdict (replacing columns of these names).
+    """pages with host, path, rule, verdict and log_odds (replacing columns of these names).
 
     The longest fitting rule decides; without one the model does. A null URL or one without '://' has an
     empty host and path, no words, and is allowed unless the prior odds say otherwise.
     Repeated rows are judged alike; an empty table gives an empty one.
     """
     host, path = split_url(F.col(url_col))
-    added = ["host", "path", "rule", "verdict"]
-    others = [c for c in pages.columns if c not in added or c == url_col]
+    added = ["host", "path", "rule", "verdict", "log_odds"]
+    others = [f"`{c}`" for c in pages.columns if c.lower() not in added]
     urls = pages.select(host.alias("host"), path.alias("path"))
     model = learn(urls)
     ruled = pages.select(*others, host.alias("host"), path.alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))

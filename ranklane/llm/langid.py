@@ -139,10 +139,12 @@ def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_co
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = counts(text)
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([c[at]], pa.list_(pa.int64()))], names=["lang", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([c[at].astype("<f4").tobytes()], pa.binary())], names=["lang", "at", "n"])
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, at array<int>, n array<bigint>").collect()
-    rows = sorted(((r.lang, np.array(r.at, np.int64), np.array(r.n, np.float32)) for r in rows if r.at), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    # as bytes: six for each bucket of a document, where lists of numbers would fill the driver
+    found = sample.select("lang", "text").mapInArrow(run, "lang string, at binary, n binary").collect()
+    found.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
+    rows = [(r.lang, np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<f4")) for r in found if r.at]
     return fit(rows)
 
 

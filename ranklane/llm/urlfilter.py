@@ -29,6 +29,8 @@ LEXICON = "about account app archive art article best big blog book books busine
 CELLS = 1 << 16
 #: The longest word that segmentation considers; longer runs of letters are cut.
 LONGEST = 24
+#: What each letter beyond the fourth costs a word that only the corpus vouches for: whole names are counted there as well.
+LETTER = 2.0
 RUN = re.compile(r"[a-z]+")
 
 
@@ -58,6 +60,7 @@ class Unigrams:
 
     counts: np.ndarray
     total: float
+    lexicon: frozenset[str] = frozenset(LEXICON + SEEDS)
     known: dict[str, list[str]] = field(default_factory=dict)
 
     def cost(self, word: str) -> float:
@@ -65,7 +68,7 @@ class Unigrams:
         n = self.counts[cell(word)]
         if n <= 0 or len(word) == 1:
             return math.log(self.total) + 2.3 * len(word)
-        return math.log(self.total) - math.log(n)
+        return math.log(self.total) - math.log(n) + (0.0 if word in self.lexicon else LETTER * max(0, len(word) - 4))
 
     def segment(self, letters: str) -> list[str]:
         """The cheapest split of a run of letters into words (Viterbi)."""
@@ -125,16 +128,17 @@ class Model:
 def learn(urls: DataFrame, seeds: tuple[str, ...] = tuple(SEEDS), lexicon: tuple[str, ...] = tuple(LEXICON)) -> Model:
     """Fits both models on all (host, path) rows, each counted once for its copies: two passes, hashed partial sums."""
     distinct = urls.groupBy("host", F.regexp_replace("path", r"[0-9]+", "0").alias("path")).agg(F.count("*").alias("n"))
+    # a name counts once however many pages it has, else one large site would make its name a word
+    names = distinct.select("host", F.lit("").alias("path")).unionByName(distinct.select(F.lit("").alias("host"), "path")).distinct().withColumn("n", F.lit(1))
 
     def parts(host: str, path: str) -> list[tuple[int, int]]:
         return [(0, cell(run)) for run in RUN.findall((host.rpartition(".")[0] or host) + " " + path.lower()) if len(run) <= LONGEST]
 
-    counts = _partial(distinct, parts, 1)[0]
-    floor = max(1.0, counts.sum() / 2000)
-    # what is a lexicon word already counts as one; a concatenation of them must not outweigh its parts
+    counts = _partial(names, parts, 1)[0]
+    floor = max(1.0, counts.sum() / 200)
     for w in {*lexicon, *seeds}:
         counts[cell(w)] = max(counts[cell(w)], floor)
-    unigrams = Unigrams(counts, max(2.0, counts.sum()))
+    unigrams = Unigrams(counts, max(2.0, counts.sum()), frozenset({*lexicon, *seeds}))
     bad = set(seeds)
 
     def tokens(host: str, path: str) -> list[tuple[int, int]]:

@@ -49,6 +49,8 @@ BEFORE = {
 }
 #: Cells of the classifier's hashed features; the model's size is bounded by it.
 CELLS = 512
+#: What a feature cell's counts start from, in spans.
+SMOOTH = 0.25
 #: Characters of context on either side.
 AROUND = 24
 
@@ -198,10 +200,13 @@ def learn(found: DataFrame) -> tuple[list[float], float]:
     sums = told.select(posterior.alias("p"), F.explode("f").alias("cell")).groupBy("cell").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
     per_span = 6.0
     yes, no = sum(r.yes for r in sums) / per_span, sum(r.no for r in sums) / per_span
+    share = (yes + 1) / (yes + no + 2)
+    prior = math.log(share) - math.log(1 - share)
     weights = [0.0] * CELLS
-    for r in sums:
-        weights[r.cell] = math.log((r.yes + 1) / (yes + 2)) - math.log((r.no + 1) / (no + 2))
-    return weights, math.log((yes + 1) / (no + 1))
+    for r in sums:  # smoothed toward the overall share; a span's features say much the same, so each speaks for its part
+        told = math.log(r.yes + SMOOTH * share) - math.log(r.no + SMOOTH * (1 - share)) - prior
+        weights[r.cell] = told / per_span
+    return weights, prior
 
 
 def _named(spans: Column) -> Column:

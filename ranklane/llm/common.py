@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ranklane-")
+
 
-        found = "file://" + tempfile.mkdtemp(prefix="ranklane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -100,7 +100,3 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             scratch.drop(both_path)
             return label.withColumnRenamed("label", "component")
     raise RuntimeError(f"components: no end after {most_rounds} rounds")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -25,7 +25,7 @@ BUCKETS, GRAMS, DIM = 1 << 13, (2, 3, 4), 16
 PER_LANGUAGE = 600
 #: Share of the sample that calibration keeps for itself, and of it that rejection may cost.
 HELD, REJECTED = 0.25, 0.002
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]+")  # letters, and a few signs that count as numbers
 UNKNOWN = "und"
 #: Bytes counted at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 20
@@ -62,7 +62,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(c.isalpha() for m in LETTER.finditer(text) for c in m.group()):
             return UNKNOWN, 0.0, True
         p = self.probabilities(text)
         best = int(p.argmax())

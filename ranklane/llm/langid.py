@@ -25,6 +25,8 @@ BUCKETS, GRAMS, DIM = 1 << 13, (2, 3, 4), 16
 PER_LANGUAGE = 600
 #: Share of the sample that calibration keeps for itself, and of it that rejection may cost.
 HELD, REJECTED = 0.25, 0.002
+#: A prediction above this is never rejected: it is documents of several languages that come out lower, not clean ones.
+HIGHEST = 0.35
 LETTER = re.compile(r"[^\W\d_]+")  # letters, and a few signs that count as numbers
 UNKNOWN = "und"
 #: Bytes counted at once, so that a very long text needs no more memory than a short one.
@@ -115,7 +117,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 9, epochs: i
     best = softmax(logits / temperature)
     right = np.sort(best.max(axis=1)[best.argmax(axis=1) == truth])
     limit = float(right[int(REJECTED * len(right))]) * 0.9 if len(right) else 0.0
-    return Model(languages, table, bias.astype(np.float64), temperature, min(limit, 0.5))
+    return Model(languages, table, bias.astype(np.float64), temperature, min(limit, HIGHEST))
 
 
 def sample_by_label(labelled: DataFrame, label: str, per_label: int, *key: str, seed: int = 7) -> DataFrame:

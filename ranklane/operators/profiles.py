@@ -111,10 +111,10 @@ def leave_one_out(displacements: DataFrame, configured: str, members: DataFrame)
 
 
 def rank_table(tokens: DataFrame, start: DataFrame, goal: DataFrame, delta: DataFrame) -> DataFrame:
-    """(token, start_rank, goal_rank, delta_spec, isp_rank); missing ranks are 1, missing changes 0."""
+    """(token, start_rank, goal_rank, delta_spec, predicted_rank); missing ranks are 1, missing changes 0."""
     out = tokens.join(start.select("token", F.col("rank").alias("s")), "token", "left").join(goal.select("token", F.col("rank").alias("g")), "token", "left").join(delta.select("token", F.col("delta_spec").alias("d")), "token", "left")
     s, g, d = F.coalesce("s", F.lit(1.0)), F.coalesce("g", F.lit(1.0)), F.coalesce("d", F.lit(0.0))
-    return out.select("token", s.alias("start_rank"), g.alias("goal_rank"), d.alias("delta_spec"), (s + d).alias("isp_rank"))
+    return out.select("token", s.alias("start_rank"), g.alias("goal_rank"), d.alias("delta_spec"), (s + d).alias("predicted_rank"))
 
 
 def top_fraction(scores: DataFrame, fraction: float) -> DataFrame:

@@ -303,11 +303,11 @@ def loo_contrast(spark, sf_dir):
 
 
 @query(f"""WITH {_DELTA}, bg AS (SELECT token FROM r0 WHERE n_cells >= 3 INTERSECT SELECT token FROM r1 WHERE n_cells >= 3)
-SELECT token, round(coalesce(r0.rank, 1.0), 6) AS start_rank, round(coalesce(r1.rank, 1.0), 6) AS goal_rank, round(coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS delta_spec, round(coalesce(r0.rank, 1.0) + coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS isp_rank
+SELECT token, round(coalesce(r0.rank, 1.0), 6) AS start_rank, round(coalesce(r1.rank, 1.0), 6) AS goal_rank, round(coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS delta_spec, round(coalesce(r0.rank, 1.0) + coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS predicted_rank
 FROM bg LEFT JOIN r0 USING (token) LEFT JOIN r1 USING (token) LEFT JOIN ds USING (token)""")
 def rank_table(spark, sf_dir):
     r0, r1 = inputs.ranks(spark, sf_dir, START), inputs.ranks(spark, sf_dir, GOAL)
     out = profiles.rank_table(profiles.background(r0, r1, 3), r0, r1, profiles.delta_spec(*_swap(_chains(spark, sf_dir))))
-    return out.select("token", *[F.round(c, 6).alias(c) for c in ("start_rank", "goal_rank", "delta_spec", "isp_rank")])
+    return out.select("token", *[F.round(c, 6).alias(c) for c in ("start_rank", "goal_rank", "delta_spec", "predicted_rank")])
 
 

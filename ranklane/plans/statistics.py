@@ -79,7 +79,7 @@ z AS (SELECT gene, mean_shift, ng, ((np + ng) * (np + ng + 1) / 2.0 - wg - np *
 
 
 @query(f"WITH {_RANKSUM} SELECT gene, round(mean_shift, 6) AS mean_shift, ng::BIGINT AS n, round(z, 5) AS z FROM z")
-def isp_goal_state_stats(spark, sf_dir):
+def goal_state_stats(spark, sf_dir):
     return stats.shifts_vs_pool(inputs.shifts(spark, sf_dir).select("gene", "shift")).select("gene", F.round("mean_shift", 6).alias("mean_shift"), "n", F.round("z", 5).alias("z"))
 
 
@@ -94,7 +94,7 @@ g AS (SELECT gene, avg(shift) FILTER (WHERE t = 1) AS test_mean, avg(shift) FILT
 
 
 @query(f"WITH {_VS} SELECT gene, round(test_mean, 6) AS test_mean, round(null_mean, 6) AS null_mean, round(test_mean - null_mean, 6) AS difference, n_test, n_null, round((w - n_test * (n_test + n_null + 1) / 2.0) / sqrt(n_test * n_null * (n_test + n_null + 1) / 12.0), 5) AS z FROM g")
-def isp_vs_null_stats(spark, sf_dir):
+def vs_null_stats(spark, sf_dir):
     s = inputs.shifts(spark, sf_dir)
     out = stats.rank_sums(s.where("cell % 2 = 1"), s.where("cell % 2 = 0"))
     return out.select("gene", *[F.round(c, 6).alias(c) for c in ("test_mean", "null_mean", "difference")], "n_test", "n_null", F.round("z", 5).alias("z"))
@@ -106,7 +106,7 @@ def detection_counts(spark, sf_dir):
 
 
 @query(f"WITH {SHIFTS} SELECT cell, shift FROM shifts WHERE gene = 11")
-def isp_aggregate_group(spark, sf_dir):
+def aggregate_group(spark, sf_dir):
     return inputs.shifts(spark, sf_dir).where("gene = 11").select("cell", "shift")
 
 

@@ -37,8 +37,6 @@ CROWDED = 100
 DOCS = 64
 #: Words in a shard (about).
 SHARD_WORDS = 100_000
-#: A side of a join is broadcast only if its rows are at most this many bytes; beyond, both sides are shuffled.
-BROADCAST_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -191,37 +189,38 @@ def _ranges(starts: np.ndarray) -> list[dict[str, int]]:
 _RANGES = "array<struct<`from`:int,to:int,doc:bigint>>"
 
 
-def _with(big: DataFrame, small: DataFrame, keys: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
-    """big joined with a written table: broadcast if its rows are known to fit BROADCAST_BYTES, by a shuffle otherwise."""
-    return big.join(F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small, keys, how)
-
-
 def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of wanted parts of documents: (tag, mz, key, lo, hi, n, content).
+    """(mz, key, lo, hi, n, crowded, content): the words of the wanted parts of documents, joined by one space.
 
-    wanted: doc, th and parts, an array of (mz, key, lo, hi, start, n, crowded). Parts of crowded anchors come as
-    one row for each window instead, without content, at the window's hash, with the part's key and offset.
+    wanted: doc, th and parts, an array of (mz, key, lo, hi, start, n, crowded).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
             rows = []
-            for text, doc, th, parts in zip(batch["text"].to_pylist(), batch["doc"].to_pylist(), batch["th"].to_pylist(), batch["parts"].to_pylist(), strict=True):
+            for text, parts in zip(batch["text"].to_pylist(), batch["parts"].to_pylist(), strict=True):
                 words = text.encode("utf-8").split()
-                hashes = WordHashes(words) if any(p["crowded"] for p in parts) else None
-                for p in parts:
-                    at, n = p["start"], p["n"]
-                    if p["crowded"]:
-                        for i, h in enumerate(hashes.of(np.arange(at, at + n), WINDOW).view(np.int64).tolist()):
-                            rows.append((p["mz"], p["key"], p["lo"], p["hi"], 1, i, h, doc, th, at + i, None))
-                    else:
-                        rows.append((p["mz"], p["key"], p["lo"], p["hi"], n, 0, None, doc, th, at, b" ".join(words[at : at + n + WINDOW - 1])))
+                rows += [(p["mz"], p["key"], p["lo"], p["hi"], p["n"], p["crowded"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_CUT.values())], names=list(_CUT))
 
-    return texts.join(wanted, ["doc", "th"]).select("text", "doc", "th", "parts").mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, n int, i int, wh bigint, doc bigint, th bigint, start int, content binary")
+    return texts.join(wanted, ["doc", "th"]).select("text", "parts").mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, n int, crowded boolean, content binary")
+
+
+_CUT = {"mz": pa.int64(), "key": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "n": pa.int32(), "crowded": pa.bool_(), "content": pa.binary()}
 
 
-_CUT = {"mz": pa.int64(), "key": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "n": pa.int32(), "i": pa.int32(), "wh": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "start": pa.int32(), "content": pa.binary()}
+def _window_hashes(cut_out: DataFrame) -> DataFrame:
+    """(mz, key, lo, hi, i, wh) of each window of parts that were cut out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            hashes = [WordHashes(c.split()).of(np.arange(k), WINDOW).view(np.int64) for c, k in zip(batch["content"].to_pylist(), n.tolist(), strict=True)]
+            columns = [pa.array(np.repeat(batch[c].to_numpy(), n)) for c in ("mz", "key", "lo", "hi")]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(inside.astype(np.int32)), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]))], names=["mz", "key", "lo", "hi", "i", "wh"])
+
+    return cut_out.select("mz", "key", "lo", "hi", "n", "content").mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, i int, wh bigint")
 
 
 def _index(contents: DataFrame, shards: int) -> DataFrame:
@@ -241,8 +240,8 @@ def _index(contents: DataFrame, shards: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, starts): for each document the ranges (from, to) of first words of windows that also start in a document of smaller id.
 
-    doc is the id (NO_ID for null) and th a hash of the text, which tell rows apart. Every text is read whole
-    three times and never shuffled while the lists of repeated parts fit a broadcast; beyond, by its key.
+    doc is the id (NO_ID for null) and th a hash of the text, which tell rows apart. Joins are left to Spark, so
+    every size of input runs by the same plan: each text moves once, to the list of its repeated parts.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
 
@@ -260,31 +259,28 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id
     cut_rows, cut_path = scratch.write(texts.select("doc", "th", "text").mapInArrow(cut, "mz bigint, key bigint, doc bigint, th bigint, start int, n int"))
     # anchors of one document only are out
     shared = scratch.keep(cut_rows.groupBy("mz").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mz"))
-    parts, parts_path = scratch.write(_with(cut_rows, shared, ["mz"], 16))
+    parts, parts_path = scratch.write(cut_rows.join(shared, "mz"))
     scratch.drop(cut_path)
-    kinds = scratch.keep(parts.groupBy("mz", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")))
+    kinds, kinds_path = scratch.write(parts.groupBy("mz", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")))
     crowded = scratch.keep(kinds.groupBy("mz").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("mz", F.lit(True).alias("crowded")))
-    told = _with(kinds, crowded, ["mz"], 20, "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    told = kinds.join(crowded, "mz", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     part = F.struct("mz", "key", "lo", "hi", F.col("at.start").alias("start"), "n", "crowded")
-    wanted = scratch.keep(told.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts")))
-    n_parts = wanted.agg(F.sum(F.size("parts"))).first()[0] or 0
-    read = lambda w, n: _cut_out(texts, F.broadcast(w) if n * 56 <= BROADCAST_BYTES else w)
-    cut_out = scratch.keep(read(wanted, n_parts))
-    alone = cut_out.where("content IS NULL")
-    # windows of crowded anchors: those that start in several documents, once each
-    again = alone.groupBy("mz", "wh").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("doc", "th", "start")).alias("at")).where("lo < hi")
-    again = scratch.keep(again)
-    part = F.struct("mz", F.col("wh").alias("key"), "lo", "hi", F.col("at.start").alias("start"), F.lit(1).alias("n"), F.lit(False).alias("crowded"))
-    single = scratch.keep(again.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts")))
-    n_single = single.agg(F.sum(F.size("parts"))).first()[0] or 0
-    whole = cut_out.where("content IS NOT NULL").withColumn("window", F.lit(False))
-    contents = scratch.keep(whole.unionByName(read(single, n_single).withColumn("window", F.lit(True))).select("mz", "key", "lo", "n", "window", "content"))
+    wanted = told.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
+    cut_out = scratch.keep(_cut_out(texts, wanted))
+    scratch.drop(kinds_path)
+    alone = scratch.keep(_window_hashes(cut_out.where("crowded")))
+    # windows of crowded anchors: those that start in several documents, once each, cut out of the part that has them
+    again = alone.groupBy("mz", "wh").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("key", "i")).alias("at")).where("lo < hi").select("mz", "wh", "lo", F.col("at.key").alias("key"), "at.i")
+    words_of = F.split(F.col("content").cast("string"), " ")
+    single = again.join(cut_out.where("crowded").select("mz", "key", "content"), ["mz", "key"]).select("mz", F.col("wh").alias("key"), "lo", F.lit(1).alias("n"), F.array_join(F.slice(words_of, F.col("i") + 1, F.lit(WINDOW)), " ").cast("binary").alias("content"))
+    whole = cut_out.where("NOT crowded").select("mz", "key", "lo", "n", "content")
+    contents = scratch.keep(whole.withColumn("window", F.lit(False)).unionByName(single.withColumn("window", F.lit(True))))
     words = contents.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     # rows of equal id and text cut out the same part more than once, so results are made distinct
     found = scratch.keep(_index(contents, max(1, -(-words // SHARD_WORDS))))
     least = F.col("found")[0]["doc"]
     singles = found.where("window").select("mz", F.col("key").alias("wh"), least.alias("doc"))
-    placed = _with(alone.select("mz", "key", "wh", "i"), singles, ["mz", "wh"], 32).groupBy("mz", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("from"), F.col("i").alias("to"), "doc"))).alias("found"))
+    placed = alone.select("mz", "key", "wh", "i").join(singles, ["mz", "wh"]).groupBy("mz", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("from"), F.col("i").alias("to"), "doc"))).alias("found"))
     results = scratch.keep(found.where("NOT window").select("mz", "key", "found").unionByName(placed))
     # a part's windows that start earlier elsewhere, at their places in each document that has the part
     hit = parts.join(results, ["mz", "key"]).select("doc", "th", "start", F.filter("found", lambda r: r["doc"] < F.col("doc")).alias("hit")).where(F.size("hit") > 0)
@@ -303,9 +299,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     other. An empty table gives an empty one.
     """
     starts = repeated_windows(docs, scratch, id_col=id_col, text_col=text_col)
-    size = starts.agg(F.sum(F.size("starts") * 8 + 40)).first()[0] or 0
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
-    joined = rows.join(F.broadcast(starts) if size <= BROADCAST_BYTES else starts, ["doc", "th"], "left").select("kept", "_text", "starts")
+    joined = rows.join(starts, ["doc", "th"], "left").select("kept", "_text", "starts")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     fields += [T.StructField("kept_text", T.StringType())] if texts else []
     schema = T.StructType([joined.schema["kept"], *fields])

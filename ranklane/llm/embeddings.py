@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ranklane.llm.common import Scratch, components
 
 #: Vectors in a tile: at least, at most (about); between them a vector goes to PAIRS tiles.
-TILE, LARGEST, PAIRS = 2048, 32768, 64
+TILE, LARGEST, PAIRS = 4096, 32768, 64
 #: Rows of a tile that are compared at once, and leading coordinates after which bounds are looked at.
 ROWS, STEPS = 256, (16, 32)
 #: How far rounding may move a bound of single precision.

@@ -49,6 +49,15 @@ class TrieBPE:
         self.id_of = {b: i for i, b in self.bytes_of.items() if i not in set(self.special.values())}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        # each token's place in the order of merges, and the two tokens that merge into it; bytes come before all
+        self.order = {i: -1 for i in self.bytes_of}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.joined: dict[int, int] = {}
+        for (a, b), i in self.rank.items():
+            whole, left, right = self.id_of[a + b], self.id_of[a], self.id_of[b]
+            if whole not in self.halves:
+                self.order[whole], self.halves[whole] = i, (left, right)
+            self.joined[left << 20 | right] = i
         self.words = regex.compile(PRETOKEN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         # the reversed tokens as a trie: node -> byte -> node, with the id of a token that ends there
@@ -66,11 +75,13 @@ class TrieBPE:
                     self.back_id.append(-1)
                 at = nxt
             self.back_id[at] = i
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple] = {}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        self.apart: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}
+        self.text_of: dict[str, str] = {}
 
     def merged(self, word: bytes) -> tuple[bytes, ...]:
-        """The merges applied in rank order: the definition, used on single tokens and on pairs of them."""
+        """The merges applied in rank order: the definition, used on single tokens."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
@@ -89,56 +100,84 @@ class TrieBPE:
         return tuple(parts)
 
     def stays_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            found = self.apart[a, b] = self.merged(x + y) == (x, y)
+        """Whether the encoding of both tokens' bytes is just these two.
+
+        The merges that made them are undone from the latest on. Each undone step shows the two tokens that met
+        at the border at that time; a merge of these that comes before the step would have joined them.
+        """
+        key = a << 20 | b
+        found = self.apart.get(key)
+        if found is not None:
+            return found
+        x, y, before = a, b, len(self.rank) + 1
+        order, halves, joined = self.order, self.halves, self.joined
+        while True:
+            merge = joined.get(x << 20 | y)
+            if merge is not None and merge < before:
+                found = False
+                break
+            if order[x] < 0 and order[y] < 0:
+                found = True
+                break
+            # of equal merges the left one is made first, so the right one is undone first
+            if order[x] > order[y]:
+                before = order[x]
+                x = halves[x][1]
+            else:
+                before = order[y] + 1
+                y = halves[y][0]
+        if len(self.apart) > 2_000_000:
+            self.apart.clear()
+        self.apart[key] = found
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Remembers the encoding of each word: (ids, their text joined by commas)."""
-        children: list[dict[int, int]] = [{}]
-        ends: list[list[str]] = [[]]
+        """Remembers the encoding of each word: its ids, and their text joined by commas."""
+        root: dict = {}
         for word in words:
-            at = 0
+            node = root
             for c in word.encode("utf-8"):
-                nxt = children[at].get(c)
+                nxt = node.get(c)
                 if nxt is None:
-                    nxt = children[at][c] = len(children)
-                    children.append({})
-                    ends.append([])
-                at = nxt
-            ends[at].append(word)
+                    nxt = node[c] = {}
+                node = nxt
+            node[-1] = word  # a word's end; bytes are 0 to 255
         path, last = bytearray(), [-1]  # bytes and last tokens from the root to the node at hand
-        stack = [(node, c, 0) for c, node in children[0].items()]
-        back, back_id, lengths = self.back, self.back_id, self.bytes_of
+        back, back_id, size = self.back, self.back_id, self.size
+        apart, stays_apart = self.apart.get, self.stays_apart
+        stack = [(node, c, 0) for c, node in root.items() if c >= 0]
         while stack:
             node, c, depth = stack.pop()
             del path[depth:], last[depth + 1 :]
             path.append(c)
-            at, i, longest = 0, depth, []
+            at, i, ends = 0, depth, []
             while i >= 0:
                 at = back[at].get(path[i], -1)
                 if at < 0:
                     break
                 if back_id[at] >= 0:
-                    longest.append((back_id[at], i))
+                    ends.append((back_id[at], i))
                 i -= 1
-            for token, start in reversed(longest):
-                if start == 0 or self.stays_apart(last[start], token):
+            for token, start in reversed(ends):
+                if start == 0:
                     last.append(token)
                     break
-            if ends[node]:
-                ids, at = [], depth + 1
-                while at:
-                    ids.append(last[at])
-                    at -= len(lengths[last[at]])
-                ids.reverse()
-                for word in ends[node]:
-                    self.known[word] = (ids, ",".join(map(str, ids)))
-            stack.extend((child, b, depth + 1) for b, child in children[node].items())
+                x = last[start]
+                found = apart(x << 20 | token)
+                if found or (found is None and stays_apart(x, token)):
+                    last.append(token)
+                    break
+            for b, child in node.items():
+                if b >= 0:
+                    stack.append((child, b, depth + 1))
+                else:
+                    ids, at = [], depth + 1
+                    while at:
+                        ids.append(last[at])
+                        at -= size[last[at]]
+                    ids.reverse()
+                    self.known[child] = ids
+                    self.text_of[child] = ",".join(map(str, ids))
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token's own text is one of them."""
@@ -152,15 +191,15 @@ class TrieBPE:
         split = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.text_of.clear()
         for s, i in self.special.items():
-            self.known[s] = ([i], str(i))
+            self.known[s], self.text_of[s] = [i], str(i)
         new = set().union(*split).difference(self.known)
         if new:
             self.learn(new)
-        known = self.known
+        ids_of, text_of = self.known.__getitem__, self.text_of.__getitem__
         for words in split:
-            found = [known[w] for w in words]
-            yield list(chain.from_iterable(x[0] for x in found)), ",".join([x[1] for x in found])
+            yield list(chain.from_iterable(map(ids_of, words))), ",".join(map(text_of, words))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")

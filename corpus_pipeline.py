@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, SimHash near-dedup, personal data, mixing and BPE, one after another.
+"""The corpus pipeline: language ID, near-dedup, personal data, mixing and BPE, one after another.
 
 Each stage gets what the one before it kept, as a table that was written and read again, and works on all
 of it. All but the last return the columns of documents.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklane.llm import bpe, langid, mixing, pii, simhash
+from ranklane.llm import bpe, langid, mixing, nearcopies, pii
 from ranklane.llm.catalogue import VOCABULARY
 from ranklane.llm.common import Scratch, table
 
@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
-    return simhash.keep_first(docs, Scratch(spark))
+    """One document of each group that 5-word Jaccard similarities of 0.8 or more connect."""
+    return nearcopies.keep_first(docs, Scratch(spark))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("personal data", personal_data),
     ("mixing", mixture),
     ("BPE", tokens),

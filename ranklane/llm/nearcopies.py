@@ -1,0 +1,131 @@
+"""Near copies by exact Jaccard similarity of shingle sets.
+
+Two sets of at least SIMILARITY have a common member among the first ones of each, whatever the order of all
+shingles is, as long as it is one (prefix filter): of n shingles the first n - ceil(SIMILARITY n) + 1. So every
+such pair meets in a shingle of its prefixes, and no pair is lost. The order puts shingles that a sample of
+documents has often last, which keeps common passages out of the prefixes.
+
+Documents that meet are first compared with the smallest one of each meeting alone, which joins large groups
+without listing their pairs; then all pairs that meet and are still apart are compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ranklane.llm import simhash
+from ranklane.llm.common import Scratch, components
+
+WORDS, SIMILARITY = 5, Fraction(4, 5)
+#: Documents (about) and shingles of theirs that the order is taken from; it decides what is compared, not what is found.
+SAMPLED, ORDERED = 8_000, 100_000
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The different shingles of a text by their hashes, ascending; a shorter text is one shingle, one without words has none."""
+    blocks = [np.ascontiguousarray(b).view(">i8").ravel().astype(np.int64) for b in simhash.shingle_hashes(text or "", words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.int64)
+
+
+def _node(found: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(found.tobytes())
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of every row of a text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = shingle_set(text, words)
+                yield pa.RecordBatch.from_arrays([pa.array([_node(found)], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the documents has more than once, ascending, and how often."""
+    rate = min(1.0, SAMPLED / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int(rate * (1 << 20))
+    seen = _sets(rows.where(draw).select("text"), words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    top = sorted((r.s, r.n) for r in seen.orderBy(F.desc("n"), "s").limit(ORDERED).collect())
+    return np.array([s for s, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+
+
+def _prefixes(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
+    """(id, tk, node, n, prefix) of every row of (id, text, tk)."""
+    common, often = _common(rows, words)
+    top, whole = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = shingle_set(text, words)
+                rank = np.zeros(len(found), np.int64)
+                if len(common) and len(found):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    rank = np.where(common[at] == found, often[at], 0)
+                n = len(found)
+                nodes.append(_node(found))
+                sizes.append(n)
+                prefixes.append(found[np.lexsort((found, rank))][: n + top * -n // whole + 1] if n else found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "tk", "node", "n", "prefix"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk bigint, node bigint, n bigint, prefix array<bigint>")
+
+
+def _may(a: Column, b: Column, similarity: Fraction) -> Column:
+    """Whether sets that meet first at these places of theirs can be similar enough, from what can still follow."""
+    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return rest * (similarity.numerator + similarity.denominator) >= similarity.numerator * (a["n"] + b["n"])
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """One document of each group that pairs of this similarity or more connect, with the columns of docs: that of the smallest id.
+
+    Texts without words are one group. Rows that repeat an id are all kept or all dropped with it; rows of a null
+    id are kept only where their group has no other. An empty table gives an empty one.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    prints = scratch.keep(_prefixes(rows, similarity, words))
+    one = prints.groupBy("node").agg(F.min("id").alias("id"), F.min("tk").alias("tk"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own = scratch.keep(one.select("node", "id", "tk"))
+    token = one.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    meeting = Window.partitionBy("token")
+    member = F.struct("node", "n", "pos")
+    met = token.select("token", member.alias("m"), F.min(member).over(meeting).alias("least"), F.count("*").over(meeting).alias("members"))
+    met = scratch.keep(met.where("members > 1").drop("members"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = rows.join(own.join(ends, "node").select("tk").distinct(), "tk", "left_semi").dropDuplicates(["tk"])
+        sets = scratch.keep(_sets(texts.select("text"), words).dropDuplicates(["node"]))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        enough = shared * (similarity.numerator + similarity.denominator) >= similarity.numerator * (F.size("x") + F.size("y"))
+        return scratch.keep(both.where(enough).select("a", "b"))
+
+    edges = confirmed(met.where((F.col("m.node") != F.col("least.node")) & _may(F.col("m"), F.col("least"), similarity)).select(F.col("least.node").alias("a"), F.col("m.node").alias("b")))
+    label = components(edges, scratch).withColumnRenamed("node", "of")
+    apart = scratch.keep(met.join(label, F.col("m.node") == F.col("of"), "left").select("token", "m", F.coalesce("component", "m.node").alias("c")))
+    mixed = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    left = apart.join(mixed, "token", "left_semi")
+    other = left.select("token", F.col("m").alias("o"), F.col("c").alias("d"))
+    pairs = left.join(other, "token").where((F.col("m.node") < F.col("o.node")) & (F.col("c") != F.col("d")) & _may(F.col("m"), F.col("o"), similarity))
+    edges = edges.union(confirmed(pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b"))))
+    groups = own.join(components(edges, scratch), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    least = groups.groupBy("root").agg(F.min("id").alias("least"))
+    of_node = groups.join(least, "root").select("node", "least")
+    ids = prints.join(of_node, "node").where(F.col("id").eqNullSafe(F.col("least"))).select("id").distinct()
+    return docs.alias("d").join(ids.alias("i"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("i.id")), "left_semi")

@@ -30,14 +30,14 @@ BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 AT_ONCE = 1 << 15
 
 
-def shingle_hashes(text: str) -> Iterator[np.ndarray]:
-    """XXH64 of every shingle, repeats included, in blocks of AT_ONCE rows of 8 bytes, most significant first."""
+def shingle_hashes(text: str, size: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of size words, repeats included, in blocks of AT_ONCE rows of 8 bytes, most significant first."""
     words = text.encode("utf-8").translate(_LOWER).split()
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(len(words) - WORDS + 1, 1) if words else 0
-    last = ends[WORDS - 1 :] if len(words) >= WORDS else ends[-1:]
+    n = max(len(words) - size + 1, 1) if words else 0
+    last = ends[size - 1 :] if len(words) >= size else ends[-1:]
     digest = xxhash.xxh64_digest
     for at in range(0, n, AT_ONCE):
         block = [digest(joined[s:e], SEED) for s, e in zip(starts[at : min(at + AT_ONCE, n)].tolist(), last[at : at + AT_ONCE].tolist(), strict=True)]

@@ -31,13 +31,13 @@ BASE = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Patterns that only propose: addresses in words, numbers without a country code, card-like numbers in groups.
+#: Patterns that only propose: addresses in words, numbers without a country code.
 WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]{1,64}+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z0-9-]{1,64}+)+",
     "phone": r"(?<![0-9A-Za-z+.)-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9.-]?[0-9])",
 }
-#: A text is searched for a proposing pattern only if it has one of these (null: any text with a digit).
-NEEDS = {"email": r"(?:\(dot\)|\[dot\]| dot |\(at\)|\[at\])", "phone": None}
+#: A text is searched for a proposing pattern only if it has this (null: any text with a digit); every match has it, so the gate decides nothing.
+NEEDS = {"email": r"(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}+(?: ?(?:\(dot\)|\[dot\])| dot |\.)", "phone": None}
 #: Gazetteers.
 DOMAINS = "com org net edu gov io info biz de fr es uk it nl eu us ca co".split()
 #: Words that stand before personal data of a kind.

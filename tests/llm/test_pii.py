@@ -71,3 +71,23 @@ def test_any_text(spark, scratch, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for r in pii.find(df).select("row.doc_id", pii._named(pii.F.col("_base")).alias("b")).collect():
         assert r.b == ",".join(base(texts[r.doc_id]))
+
+
+def test_addresses_with_at_alone(spark, scratch):
+    rows = [(i, f"please reach jane{i}.doe at example.com today") for i in range(30)]
+    rows += [(200 + i, f"we met at {i % 12}.30 and left") for i in range(30)] + [(102, "jane99.doe at example.com (at)")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    proposed = {r.doc_id: [s.span for s in r.found] for r in pii.find(df).select("row.doc_id", pii.F.col("_found").alias("found")).collect()}
+    assert all(proposed[i] == [f"jane{i}.doe at example.com"] for i in range(30)) and proposed[102] == ["jane99.doe at example.com"]
+    masked = {r.doc_id: r.text for r in pii.mask(df, scratch).collect()}
+    assert all(masked[i] == "please reach [EMAIL] today" for i in range(30))
+    assert all(masked[i] == text for i, text in rows if i >= 200)
+
+
+PIECES = st.sampled_from(["jo", "x1", " at ", "(at)", "[at]", " ", ".", " dot ", "(dot)", "[dot]", "com", "-", "@", "at", "dot"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=14).map("".join))
+def test_the_gate_lets_every_match_pass(text):
+    assert not re.search(pii.WIDER["email"], text) or re.search(pii.NEEDS["email"], text)

@@ -3,8 +3,8 @@
 A text is a multiset of passages: its paragraphs, cut further behind words that their last byte marks, so
 that the cuts depend on the content alone and an edit changes the passages it touches and no others. Each
 passage is hashed to a wide vector; a text's fingerprint is the sum of its passages' vectors, modulo 2**64
-in four wide lanes (equality) and modulo 2**16 in LANES narrow ones of +1 and -1 (likeness). Sums do not
-depend on order, and a passage is added or taken away by adding or subtracting its vector.
+in four wide lanes (equality) and modulo 2**32 in LANES narrow ones of +1 and -1 (likeness), which no text of
+less than 2**31 passages fills. Sums do not depend on order, and a passage is added or taken away by adding or subtracting its vector.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Fingerprint:
     __slots__ = ("narrow", "wide")
 
     def __init__(self, narrow: np.ndarray | None = None, wide: np.ndarray | None = None) -> None:
-        self.narrow = np.zeros(LANES, np.int16) if narrow is None else narrow
+        self.narrow = np.zeros(LANES, np.int32) if narrow is None else narrow
         self.wide = np.zeros(WIDE, np.uint64) if wide is None else wide
 
     def add(self, parts: list[bytes], sign: int = 1) -> Fingerprint:
@@ -51,17 +51,17 @@ class Fingerprint:
             d = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=DIGEST).digest() for p in some]), np.uint8).reshape(len(some), DIGEST)
             ones = np.unpackbits(d[:, : LANES // 8], axis=1).sum(axis=0, dtype=np.int32)
             lanes = np.ascontiguousarray(d[:, LANES // 8 :]).view("<u8").sum(axis=0, dtype=np.uint64)
-            narrow += (sign * (2 * ones - len(some))).astype(np.int16)
+            narrow += (sign * (2 * ones - len(some))).astype(np.int32)
             wide = wide + lanes if sign > 0 else wide - lanes
         return Fingerprint(narrow, wide)
 
     def hex(self) -> str:
-        return self.wide.astype(">u8").tobytes().hex() + self.narrow.astype(">i2").tobytes().hex()
+        return self.wide.astype(">u8").tobytes().hex() + self.narrow.astype(">i4").tobytes().hex()
 
     @classmethod
     def parse(cls, told: str) -> Fingerprint:
         raw = bytes.fromhex(told)
-        return cls(np.frombuffer(raw[8 * WIDE :], ">i2").astype(np.int16), np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64))
+        return cls(np.frombuffer(raw[8 * WIDE :], ">i4").astype(np.int32), np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64))
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal multisets, else about the cosine of their counts, from 0 to 1; 0 if one of them is empty."""

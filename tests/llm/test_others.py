@@ -196,3 +196,10 @@ def test_sums_are_homomorphic():
     assert both.add(b, -1).hex() == multisethash.Fingerprint().add(a).hex()
     assert multisethash.Fingerprint.parse(both.hex()).hex() == both.hex()
     assert multisethash.Fingerprint().likeness(both) == 0.0 and both.likeness(both) == 1.0
+
+
+def test_lanes_hold_very_many_equal_passages():
+    words = lambda n: multisethash.Fingerprint().add([b"a"] * n)
+    assert words(40_000).likeness(words(20_000)) > 0.999 and words(65_536).likeness(words(65_535)) > 0.999
+    assert multisethash.fingerprint("a " * 40_000).likeness(multisethash.fingerprint("a " * 20_000)) > 0.999
+    assert multisethash.Fingerprint.parse(words(40_000).hex()).likeness(words(40_000)) == 1.0

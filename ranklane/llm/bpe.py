@@ -5,6 +5,10 @@ t that ends a prefix is the only one of its suffixes that is a token, is its own
 from the last token of the prefix before it (the pair's own encoding is the pair). So the distinct words
 of a batch go into one trie, a depth-first walk gives each node its last token from its ancestors' ones,
 and prefixes that words share are encoded once.
+
+The trie is held as its words in order: each word and the one before it share the path from the root to where
+they part, and going from word to word is the depth-first walk. Only the path at hand is kept, so a word of
+many megabytes costs a few bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from pyspark.sql import types as T
 
 #: The pre-tokenizer's pattern; white space is named so that it is Unicode's own.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words that a worker remembers before it starts anew; keeps memory bounded whatever the corpus.
-REMEMBERED = 400_000
+#: Bytes (about) of words and their ids that a task remembers before it starts anew, and the longest word that is remembered
+#: beyond its batch; the pairs and steps of the automaton that a task remembers. They bound memory and decide no result.
+REMEMBERED, LONG_WORD, STEPS = 40_000_000, 64, 200_000
 #: Rows that are decided at once.
 ROWS = 256
 
@@ -60,25 +65,41 @@ class TrieBPE:
             self.joined[left << 20 | right] = i
         self.words = regex.compile(PRETOKEN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        # the reversed tokens as a trie: node -> byte -> node, with the id of a token that ends there
-        self.back: list[dict[int, int]] = [{}]
-        self.back_id: list[int] = [-1]
-        for b, i in self.id_of.items():
-            if len(b) > 1 and self.merged(b) != (b,):
-                continue  # cannot come out of the merges
-            at = 0
-            for c in reversed(b):
-                nxt = self.back[at].get(c)
-                if nxt is None:
-                    nxt = self.back[at][c] = len(self.back)
-                    self.back.append({})
-                    self.back_id.append(-1)
-                at = nxt
-            self.back_id[at] = i
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        self.name = {i: str(i) for i in self.bytes_of}
+        # tokens that can come out of the merges, and what such tokens start with: the automaton's states
+        whole = [(b, i) for b, i in self.id_of.items() if len(b) == 1 or self.merged(b) == (b,)]
+        self.own = dict(whole)
+        self.starts = {b[:n] for b, _ in whole for n in range(1, len(b) + 1)}
+        del self.rank
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all that was remembered."""
         self.apart: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.text_of: dict[str, str] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+        self.forget_steps()
+
+    def forget_steps(self) -> None:
+        self.states: list[bytes] = [b""]
+        self.number: dict[bytes, int] = {b"": 0}
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.steps: dict[int, int] = {}
+
+    def step(self, state: int, c: int) -> int:
+        """The automaton's next state: the longest start of a token that what was read ends with."""
+        read = self.states[state] + bytes((c,))
+        while read not in self.starts:
+            read = read[1:]
+        found = self.number.get(read)
+        if found is None:
+            found = self.number[read] = len(self.states)
+            self.states.append(read)
+            tails = ((self.own.get(read[k:]), len(read) - k) for k in range(len(read)))
+            self.ends.append(tuple((i, n) for i, n in tails if i is not None))
+        self.steps[state << 8 | c] = found
+        return found
 
     def merged(self, word: bytes) -> tuple[bytes, ...]:
         """The merges applied in rank order: the definition, used on single tokens."""
@@ -109,7 +130,7 @@ class TrieBPE:
         found = self.apart.get(key)
         if found is not None:
             return found
-        x, y, before = a, b, len(self.rank) + 1
+        x, y, before = a, b, len(self.joined) + 1
         order, halves, joined = self.order, self.halves, self.joined
         while True:
             merge = joined.get(x << 20 | y)
@@ -126,58 +147,50 @@ class TrieBPE:
             else:
                 before = order[y] + 1
                 y = halves[y][0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > STEPS:
             self.apart.clear()
         self.apart[key] = found
         return found
 
-    def learn(self, words: set[str]) -> None:
-        """Remembers the encoding of each word: its ids, and their text joined by commas."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word.encode("utf-8"):
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
-            node[-1] = word  # a word's end; bytes are 0 to 255
-        path, last = bytearray(), [-1]  # bytes and last tokens from the root to the node at hand
-        back, back_id, size = self.back, self.back_id, self.size
+    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each word, by a depth-first walk of the words' trie."""
+        out = {}
+        before = b""
+        last, at = [-1], [0]  # last tokens and the automaton's states from the root to the node at hand
+        if len(self.steps) > STEPS:
+            self.forget_steps()
+        size, steps, step, ends = self.size, self.steps, self.step, self.ends
         apart, stays_apart = self.apart.get, self.stays_apart
-        stack = [(node, c, 0) for c, node in root.items() if c >= 0]
-        while stack:
-            node, c, depth = stack.pop()
-            del path[depth:], last[depth + 1 :]
-            path.append(c)
-            at, i, ends = 0, depth, []
-            while i >= 0:
-                at = back[at].get(path[i], -1)
-                if at < 0:
+        for path, word in sorted((w.encode("utf-8"), w) for w in words):
+            depth = 0
+            for x, y in zip(before, path):  # noqa: B905  the shorter one ends it
+                if x != y:
                     break
-                if back_id[at] >= 0:
-                    ends.append((back_id[at], i))
-                i -= 1
-            for token, start in reversed(ends):
-                if start == 0:
-                    last.append(token)
-                    break
-                x = last[start]
-                found = apart(x << 20 | token)
-                if found or (found is None and stays_apart(x, token)):
-                    last.append(token)
-                    break
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((child, b, depth + 1))
-                else:
-                    ids, at = [], depth + 1
-                    while at:
-                        ids.append(last[at])
-                        at -= size[last[at]]
-                    ids.reverse()
-                    self.known[child] = ids
-                    self.text_of[child] = ",".join(map(str, ids))
+                depth += 1
+            del last[depth + 1 :], at[depth + 1 :]
+            state = at[depth]
+            for c in path[depth:]:
+                depth += 1
+                nxt = steps.get(state << 8 | c)
+                state = step(state, c) if nxt is None else nxt
+                for token, n in ends[state]:
+                    if n == depth:
+                        break
+                    x = last[depth - n]
+                    found = apart(x << 20 | token)
+                    if found or (found is None and stays_apart(x, token)):
+                        break
+                last.append(token)
+                at.append(state)
+            ids = []
+            while depth:
+                token = last[depth]
+                ids.append(token)
+                depth -= size[token]
+            ids.reverse()
+            out[word] = tuple(ids)
+            before = path
+        return out
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; a special token's own text is one of them."""
@@ -189,23 +202,28 @@ class TrieBPE:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the ids joined by commas."""
         split = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
-            self.text_of.clear()
-        for s, i in self.special.items():
-            self.known[s], self.text_of[s] = [i], str(i)
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(new)
-        ids_of, text_of = self.known.__getitem__, self.text_of.__getitem__
+            self.held = 0
+        special = {s: (i,) for s, i in self.special.items()}
+        self.known.update(special)
+        new = self.learn(set().union(*split).difference(self.known))
+        self.known.update(new)
+        ids_of, name = self.known.__getitem__, self.name.__getitem__
         for words in split:
-            yield list(chain.from_iterable(map(ids_of, words))), ",".join(map(text_of, words))
+            ids = list(chain.from_iterable(map(ids_of, words)))
+            yield ids, ",".join(map(name, ids))
+        for word, ids in new.items():
+            if len(word) > LONG_WORD:
+                del self.known[word]
+            else:
+                self.held += 220 + 2 * len(word) + 8 * len(ids)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> TrieBPE:
     """One for each worker process, which Spark uses again for the next task."""
     return TrieBPE(path)
@@ -240,5 +258,6 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: tu
                 arrays = [*part.columns[:-1], pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
                 arrays += [pa.array(out[3], pa.list_(pa.int32()))] if ids else []
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        bpe.forget()
 
     return kept.mapInArrow(run, schema)

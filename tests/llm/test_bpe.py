@@ -46,9 +46,20 @@ def test_any_text(library, parts):
 
 
 def test_memory_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5000)
+    monkeypatch.setattr(bpe, "STEPS", 40)
     t = bpe.TrieBPE(PATH)
     for i in range(20):
         for text, (ids, _) in zip([f"word{i} other{i * j}" for j in range(9)], t.encode_batch([f"word{i} other{i * j}" for j in range(9)]), strict=True):
             assert ids == library.encode(text, add_special_tokens=False).ids
-    assert len(t.known) < 120
+    assert len(t.known) < 120 and len(t.apart) < 80
+    t.forget()
+    assert not t.known and len(t.states) == 1
+
+
+def test_a_long_word_is_not_kept(library):
+    t = bpe.TrieBPE(PATH)
+    text = "abcdefghij" * 3000 + " end " + "あいう" * 2000 + "abcdefghik" * 3
+    ((ids, _),) = t.encode_batch([text])
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, t.known)) <= bpe.LONG_WORD

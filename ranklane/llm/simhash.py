@@ -14,18 +14,25 @@ that meet in a name (one more than the dropped positions at most) are linked to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranklane.llm.common import Scratch, components
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
+#: What keep_similar goes by.
+SIMILAR_WORDS, SIMILARITY = 5, Fraction(4, 5)
+#: Documents (about) and shingles of theirs that the prefix filter's order is taken from; it decides what is compared, not what is found.
+SAMPLED, ORDERED = 8_000, 100_000
+#: Numbers of 64 bits in a set's parity sketch.
+PARTS = 4
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
 AT_ONCE = 1 << 15
 
@@ -47,15 +54,19 @@ def shingle_hashes(text: str, size: int = WORDS) -> Iterator[np.ndarray]:
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number: a bit is 1 if set in over half of the shingles' hashes."""
+def _print(blocks: Iterable[np.ndarray]) -> int:
     ones, n = np.zeros(BITS, np.int64), 0
-    for block in shingle_hashes(text or ""):
+    for block in blocks:
         ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int32)
         n += len(block)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None) -> int:
+    """The fingerprint as a signed 64-bit number: a bit is 1 if set in over half of the shingles' hashes."""
+    return _print(shingle_hashes(text or ""))
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and fp, the fingerprint as bigint; a null text has no words and the fingerprint zero."""
     kept = docs.select(*keep, docs[text_col].alias("_text"))
@@ -131,3 +142,143 @@ def keep_first(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", tex
     found = near_duplicates(docs, scratch, id_col=id_col, text_col=text_col)
     ids = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("id")).distinct()
     return docs.alias("d").join(ids.alias("i"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("i.id")), "left_semi")
+
+
+def shingle_set(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    """The different shingles by their hashes, ascending; a short text is one shingle, one without words has none."""
+    found = [np.ascontiguousarray(b).view(">i8").ravel().astype(np.int64) for b in blocks]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of every row of a text column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = shingle_set(shingle_hashes(text, words))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(found)], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the documents has more than once, ascending, and how often."""
+    rate = min(1.0, SAMPLED / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int(rate * (1 << 20))
+    seen = _sets(rows.where(draw).select("text"), words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    top = sorted((r.s, r.n) for r in seen.orderBy(F.desc("n"), "s").limit(ORDERED).collect())
+    return np.array([s for s, _ in top], np.int64), np.array([n for _, n in top], np.int64)
+
+
+_SKETCH = [f"k{i}" for i in range(PARTS)]
+
+
+def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
+    """(id, tk, node, fp, n, the sketch, prefix) of every row of (id, tk, text).
+
+    node names the set of n shingles. A sketch bit is the parity of the shingles that fall on it, so two sketches
+    differ in no more bits than their sets have shingles that are not common. prefix: the shingles of which
+    sets of this similarity share one, those that many documents have last.
+    """
+    common, often = _common(rows, words)
+    top, whole = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told: list[list] = [[] for _ in range(5)]
+            for text in batch.column(2).to_pylist():
+                blocks = list(shingle_hashes(text, words))
+                found = shingle_set(blocks)
+                rank = np.zeros(len(found), np.int64)
+                if len(common) and len(found):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    rank = np.where(common[at] == found, often[at], 0)
+                n = len(found)
+                odd = np.packbits(np.bincount(found & (64 * PARTS - 1), minlength=64 * PARTS) & 1).view(np.int64)
+                prefix = found[np.lexsort((found, rank))][: n + top * -n // whole + 1] if n else found
+                for column, x in zip(told, (_node(found), _print(blocks), n, odd, prefix), strict=True):
+                    column.append(x)
+            sketch = np.stack(told[3]) if told[3] else np.zeros((0, PARTS), np.int64)
+            arrays = [pa.array(c, pa.int64()) for c in told[:3]] + [pa.array(sketch[:, i]) for i in range(PARTS)] + [pa.array(told[4], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tk", "node", "fp", "n", *_SKETCH, "prefix"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk bigint, node bigint, fp bigint, n bigint, {', '.join(k + ' bigint' for k in _SKETCH)}, prefix array<bigint>")
+
+
+def _may(a: str, b: str, similarity: Fraction) -> Column:
+    """Whether sets that meet at these places of theirs can be similar enough, from what can still follow and from their sketches."""
+    a, b = F.col(a), F.col(b)
+    top, whole = similarity.numerator, similarity.denominator
+    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in _SKETCH), F.lit(0))
+    return (rest * (whole + top) >= top * (a["n"] + b["n"])) & (apart * (whole + top) <= (whole - top) * (a["n"] + b["n"]))
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, own: DataFrame, similarity: Fraction, words: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by the sets themselves."""
+    pairs = scratch.keep(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = own.join(ends, "node").select("at.*")
+    texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.tk = w.tk AND r.id <=> w.id"), "left_semi")
+    sets, place = scratch.write(_sets(texts.select("text"), words).dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    enough = shared * (similarity.numerator + similarity.denominator) >= similarity.numerator * (F.size("x") + F.size("y"))
+    found = scratch.keep(both.where(enough).select("a", "b"))
+    scratch.drop(place)
+    return found
+
+
+def keep_similar(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+    """One document of each group that pairs of this similarity or more connect, with the columns of docs: that of the smallest id.
+
+    Similarity is that of the sets of shingles; texts without words are one group. Every row is judged by itself: rows
+    that repeat an id stay where their group has no smaller one, those of a null id where it has no other. An empty
+    table gives an empty one.
+
+    Candidates are confirmed in two steps. First come texts that fingerprints link, and of those that share a
+    shingle of their prefixes each with the smallest one alone; that joins large groups without listing their pairs.
+    Then those that share one and are still apart are compared with each other; sketches keep what is surely less
+    similar from being listed.
+    """
+    key = F.col(f"`{id_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(key.alias("id"), text.alias("text")).withColumn("tk", F.xxhash64("text"))
+    prints, prints_path = scratch.write(_measured(rows, similarity, words))
+    at = F.min(F.struct("tk", "id")).alias("at")
+    one = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("id"), at, F.first("fp").alias("fp"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in _SKETCH], F.first("prefix").alias("prefix")))
+    own = one.select("node", "id", "at")
+    token = one.select(F.explode("prefix").alias("token"), "node")
+    shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    member = F.struct("node", "n", "pos", *_SKETCH).alias("m")
+    met, met_path = scratch.write(one.select("node", "n", *_SKETCH, F.posexplode("prefix").alias("pos", "token")).join(shared, "token").select("token", member))
+    least = met.groupBy("token").agg(F.min("m").alias("least"))
+    stars = met.join(least, "token").where((F.col("m.node") != F.col("least.node")) & _may("m", "least", similarity)).select(F.col("least.node").alias("a"), F.col("m.node").alias("b"))
+
+    classes = scratch.keep(one.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = one.join(classes.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    of = lambda c: classes.select(F.col("fp").alias(f"fp_{c}"), F.col("node").alias(c))
+    linked = links(classes.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+
+    edges = _confirmed(stars.union(equal).union(linked), rows, own, similarity, words, scratch)
+    label = components(edges, scratch).withColumnRenamed("node", "of")
+    apart, apart_path = scratch.write(met.join(label, F.col("m.node") == F.col("of"), "left").select("token", "m", F.coalesce("component", "m.node").alias("c")))
+    scratch.drop(met_path)
+    mixed = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    left = scratch.keep(apart.join(mixed, "token"))
+    scratch.drop(apart_path)
+    other = left.select("token", F.col("m").alias("o"), F.col("c").alias("d"))
+    pairs = left.join(other, "token").where((F.col("m.node") < F.col("o.node")) & (F.col("c") != F.col("d")) & _may("m", "o", similarity))
+    edges = edges.union(_confirmed(pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")), rows, own, similarity, words, scratch))
+    groups = own.join(components(edges, scratch), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    smallest = groups.groupBy("root").agg(F.min("id").alias("smallest"))
+    of_node = groups.join(smallest, "root").select("node", "smallest")
+    dropped = scratch.keep(prints.join(of_node, "node").where(~F.col("id").eqNullSafe(F.col("smallest"))).select("id", "tk").distinct())
+    scratch.drop(prints_path)
+    return docs.alias("d").join(dropped.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("x.tk")), "left_anti")

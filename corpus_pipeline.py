@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklane.llm import bpe, langid, mixing, nearcopies, pii
+from ranklane.llm import bpe, langid, mixing, pii, simhash
 from ranklane.llm.catalogue import VOCABULARY
 from ranklane.llm.common import Scratch, table
 
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word Jaccard similarities of 0.8 or more connect."""
-    return nearcopies.keep_first(docs, Scratch(spark))
+    return simhash.keep_similar(docs, Scratch(spark))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("personal data", personal_data),
     ("mixing", mixture),
     ("BPE", tokens),

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklane.llm.common import Scratch, components
@@ -26,15 +26,18 @@ ROWS, STEPS = 256, (16, 32)
 SLACK = 1e-4
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(v, n, first): the distinct vectors of one length that can link, how many rows have each, and their smallest id.
-
-    Null and empty vectors, those with null or non-finite components and those of norm zero link with nothing.
-    """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+def _fine(v: Column) -> Column:
+    """Whether a vector can link: null and empty vectors, those with null or non-finite components and those of norm zero cannot."""
     limit = F.lit(float("inf"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists("v", lambda x: x != 0)
-    return v.where(F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull()).groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists(v, lambda x: x != 0)
+    return v.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(v, n, first, node): the distinct vectors that can link, how many rows have each, their smallest id (null only
+    if all are), and a number that names the vector once the table is written."""
+    v = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v"))
+    return v.where(_fine(F.col("v"))).groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -128,22 +131,19 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, own: bool, threshold: float, ids
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a subset) that connect what all these connect, found by union-find over rows and columns."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for k, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        a, b = find(i), find(-1 - j)
-        if a != b:
-            parent[a] = b
-            keep.append(k)
-    return left[keep], right[keep]
+    """Few pairs that connect what all these links connect: each row with its first column, and each column with its
+    component's first row. Components come from label propagation, with no step of Python for a link."""
+    rows, first, at = np.unique(left, return_index=True, return_inverse=True)
+    columns, to = np.unique(right, return_inverse=True)
+    label = np.arange(len(rows))
+    while True:
+        low = np.full(len(columns), len(rows))
+        np.minimum.at(low, to, label[at])
+        fresh = label.copy()
+        np.minimum.at(fresh, at, low[to])
+        if (fresh == label).all():
+            return np.concatenate((left[first], rows[low])), np.concatenate((right[first], columns))
+        label = fresh
 
 
 def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -151,41 +151,39 @@ def link(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector
 
     Equal vectors are compared once and count with their copies. Vectors of different lengths do not link;
     each length has its own axes and tiles. Vectors that cannot link have no links and are their own
-    component. Repeated ids count as several vectors in n_links. An empty table gives an empty one.
+    component. Rows are vectors of their own whatever their ids: rows of a repeated id each count in n_links, and so
+    do those of a null id, whose component_id is the smallest id that they reach, or null. An empty table gives an
+    empty one.
     """
     distinct = scratch.keep(usable(vectors, id_col, vector_col))
-    edges, counts = [], []
+    found = None
     for dims, many in sorted((r["d"], r["n"]) for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()):
         same = distinct.where(F.size("v") == dims)
-        found = scratch.keep(_compare(same, dims, many, principal_axes(same, dims), threshold))
-        counts.append(found.groupBy("id").agg(F.sum("links").alias("links")))
-        edges.append(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    if not counts:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    joined = distinct
-    every_count, every_edge = counts[0], edges[0]
-    for c, e in zip(counts[1:], edges[1:], strict=True):
-        every_count, every_edge = every_count.unionByName(c), every_edge.unionByName(e)
-    roots = components(every_edge, scratch)
-    classes = (
-        joined.select("v", "first", "n")
-        .join(every_count.withColumnRenamed("id", "first"), "first", "left")
-        .join(roots.withColumnsRenamed({"node": "first"}), "first", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "first").alias("component"))
-    )
-    out = rows.join(classes, "v", "left").select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+        some = scratch.keep(_compare(same, dims, many, principal_axes(same, dims), threshold))
+        found = some if found is None else found.unionByName(some)
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v"))
+    out = rows.where(~_fine(F.col("v"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    if found is not None:
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), scratch)
+        classes = scratch.keep(
+            distinct.join(counts, "node", "left").join(roots, "node", "left")
+            .select("v", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
+        )
+        smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+        linked = rows.where(_fine(F.col("v"))).join(classes.join(smallest, "root").select("v", "n_links", "component_id"), "v")
+        out = out.unionByName(linked.select("id", "n_links", "component_id"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _compare(distinct: DataFrame, dims: int, many: int, axes: np.ndarray, threshold: float) -> DataFrame:
-    """(id, links, root) from every pair of tiles: a vector goes to each pair that its tile takes part in."""
+    """(node, links, root) from every pair of tiles: a vector goes to each pair that its tile takes part in."""
     tiles = max(1, -(-many // min(LARGEST, max(TILE, many // PAIRS))))
     n_pairs = tiles * (tiles + 1) // 2
-    tile = F.pmod(F.xxhash64("first"), F.lit(tiles)).cast("int")
+    tile = F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int")
     # pair (i, j), i <= j, has the number j (j + 1) / 2 + i
     others = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda o: F.struct((F.greatest(o, F.col("tile")) * (F.greatest(o, F.col("tile")) + 1) / 2).cast("long").alias("base"), F.least(o, F.col("tile")).cast("long").alias("low")))
-    turned = distinct.select("first", "n", "v", tile.alias("tile"))
+    turned = distinct.select("node", "n", "v", tile.alias("tile"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         pair = key[0].as_py()
@@ -195,7 +193,7 @@ def _compare(distinct: DataFrame, dims: int, many: int, axes: np.ndarray, thresh
         while (j + 1) * (j + 2) // 2 <= pair:
             j += 1
         i = pair - j * (j + 1) // 2
-        which, ids, n = table["tile"].to_numpy(), table["first"].to_numpy(), table["n"].to_numpy()
+        which, ids, n = table["tile"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy()
         x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims).astype(np.float64)
         x = unit(x) @ axes
         a = which == i
@@ -203,8 +201,8 @@ def _compare(distinct: DataFrame, dims: int, many: int, axes: np.ndarray, thresh
             out = compare_tiles(x, x, True, threshold, ids, ids, n, n)
         else:
             out = compare_tiles(x[a], x[~a], False, threshold, ids[a], ids[~a], n[a], n[~a]) if a.any() and not a.all() else (ids[:0], n[:0], ids[:0])
-        return pa.table({"id": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
+        return pa.table({"node": pa.array(out[0], pa.int64()), "links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.int64())})
 
-    spread = turned.select("first", "n", "v", "tile", F.explode(others).alias("p")).select("first", "n", "v", "tile", (F.col("p.base") + F.col("p.low")).alias("pair"))
+    spread = turned.select("node", "n", "v", "tile", F.explode(others).alias("p")).select("node", "n", "v", "tile", (F.col("p.base") + F.col("p.low")).alias("pair"))
     slots = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_pairs, 2000))
-    return spread.repartition(slots, "pair").groupBy("pair").applyInArrow(run, "id bigint, links bigint, root bigint")
+    return spread.repartition(slots, "pair").groupBy("pair").applyInArrow(run, "node bigint, links bigint, root bigint")

@@ -46,3 +46,21 @@ def test_against_brute_force(spark, scratch, monkeypatch, tile):
 
 def test_empty(spark, scratch):
     assert embeddings.link(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), scratch).count() == 0
+
+
+def test_null_and_repeated_ids(spark, scratch):
+    rows = [(1, [1.0, 0.0], 0), (None, [1.0, 0.0], 1), (None, [1.0, 0.01], 2), (2, [1.0, 0.02], 3), (7, [0.0, 1.0], 4), (7, [-1.0, 0.0], 5), (None, [-1.0, 0.01], 6), (None, [5.0, -5.0], 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, node bigint").repartition(2)
+    got = sorted(map(tuple, embeddings.link(df, scratch).collect()), key=repr)
+    want = [(1, 3, 1, True), (None, 3, 1, False), (None, 3, 1, False), (2, 3, 1, False), (7, 0, 7, True), (7, 1, 7, True), (None, 1, 7, False), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_forest_connects_what_links_do():
+    r = np.random.default_rng(5)
+    for size in (3, 40, 300):
+        left, right = np.nonzero(r.random((60, 50)) < size / 3000)
+        some = embeddings._forest(left, right)
+        assert len(some[0]) <= 110
+        whole, few = (smallest(110, [(a, 60 + b) for a, b in zip(*x, strict=True)]) for x in ((left.tolist(), right.tolist()), (some[0].tolist(), some[1].tolist())))
+        assert whole == few

@@ -8,9 +8,10 @@ backward search extends every window word by word to the left, giving up where o
 left, and reports the suffix interval of those that reach WINDOW words; the smallest document in the
 interval is where the window starts first.
 
-An anchor that very many different segments share (a line that many documents quote) would fill its shard.
-Its windows are sorted out one by one: hashes of whole windows are counted with partial aggregation, and
-only windows that repeat go to an index, each once and by its own hash.
+An anchor that very many different segments share (a line that many documents quote) would fill its shard, so
+its windows are routed by themselves: those whose hash occurs in several documents are compared word by word,
+with partial aggregation, so that each different one is kept once with its smallest document, and goes to
+the shard of its own hash.
 """
 
 from __future__ import annotations
@@ -224,17 +225,17 @@ def _window_hashes(cut_out: DataFrame) -> DataFrame:
 
 
 def _index(contents: DataFrame, shards: int) -> DataFrame:
-    """(mz, key, window, found): each content's windows' smallest documents, shard by shard."""
+    """(mz, key, wh2, window, found): each content's windows' smallest documents, shard by shard."""
 
     def run(table: pa.Table) -> pa.Table:
         found = first_starts(table["content"].to_pylist(), table["lo"].to_numpy())
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64())]))
-        return pa.table({"mz": table["mz"], "key": table["key"], "window": table["window"], "found": pa.array([_ranges(f) for f in found], kind)})
+        return pa.table({"mz": table["mz"], "key": table["key"], "wh2": table["wh2"], "window": table["window"], "found": pa.array([_ranges(f) for f in found], kind)})
 
     route = F.xxhash64(F.when(F.col("window"), F.col("key")).otherwise(F.col("mz")))
-    dealt = contents.select("mz", "key", "lo", "window", "content", F.pmod(route, F.lit(shards)).cast("int").alias("shard"))
+    dealt = contents.select("mz", "key", "wh2", "lo", "window", "content", F.pmod(route, F.lit(shards)).cast("int").alias("shard"))
     slots = max(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, 4000))
-    return dealt.repartition(slots, "shard").groupBy("shard").applyInArrow(run, f"mz bigint, key bigint, window boolean, found {_RANGES}").distinct()
+    return dealt.repartition(slots, "shard").groupBy("shard").applyInArrow(run, f"mz bigint, key bigint, wh2 bigint, window boolean, found {_RANGES}").distinct()
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,19 +269,25 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id
     wanted = told.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
     cut_out = scratch.keep(_cut_out(texts, wanted))
     scratch.drop(kinds_path)
-    alone = scratch.keep(_window_hashes(cut_out.where("crowded")))
-    # windows of crowded anchors: those that start in several documents, once each, cut out of the part that has them
-    again = alone.groupBy("mz", "wh").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("key", "i")).alias("at")).where("lo < hi").select("mz", "wh", "lo", F.col("at.key").alias("key"), "at.i")
+    alone = _window_hashes(cut_out.where("crowded"))
+    # windows of crowded anchors whose hash several documents have, with their words
+    again = scratch.keep(alone.groupBy("mz", "wh").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("mz", "wh"))
+    places = scratch.keep(alone.join(again, ["mz", "wh"]).select("mz", "key", "lo", "hi", "wh", "i"))
     words_of = F.split(F.col("content").cast("string"), " ")
-    single = again.join(cut_out.where("crowded").select("mz", "key", "content"), ["mz", "key"]).select("mz", F.col("wh").alias("key"), "lo", F.lit(1).alias("n"), F.array_join(F.slice(words_of, F.col("i") + 1, F.lit(WINDOW)), " ").cast("binary").alias("content"))
-    whole = cut_out.where("NOT crowded").select("mz", "key", "lo", "n", "content")
+    window = F.array_join(F.slice(words_of, F.col("i") + 1, F.lit(WINDOW)), " ")
+    told_apart = places.join(cut_out.where("crowded").select("mz", "key", "content"), ["mz", "key"]).select("mz", "key", "lo", "hi", "wh", "i", window.alias("window"))
+    told_apart = told_apart.withColumn("wh2", F.xxhash64("window"))
+    # each different window once: equal hashes do not make them equal, equal words do
+    single = told_apart.groupBy("mz", "wh", "wh2", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    single = single.select("mz", F.col("wh").alias("key"), "wh2", "lo", F.lit(1).alias("n"), F.col("window").cast("binary").alias("content"))
+    whole = cut_out.where("NOT crowded").select("mz", "key", F.lit(0).cast("bigint").alias("wh2"), "lo", "n", "content")
     contents = scratch.keep(whole.withColumn("window", F.lit(False)).unionByName(single.withColumn("window", F.lit(True))))
     words = contents.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     # rows of equal id and text cut out the same part more than once, so results are made distinct
     found = scratch.keep(_index(contents, max(1, -(-words // SHARD_WORDS))))
     least = F.col("found")[0]["doc"]
-    singles = found.where("window").select("mz", F.col("key").alias("wh"), least.alias("doc"))
-    placed = alone.select("mz", "key", "wh", "i").join(singles, ["mz", "wh"]).groupBy("mz", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("from"), F.col("i").alias("to"), "doc"))).alias("found"))
+    singles = found.where("window").select("mz", F.col("key").alias("wh"), "wh2", least.alias("doc"))
+    placed = told_apart.select("mz", "key", "wh", "wh2", "i").join(singles, ["mz", "wh", "wh2"]).groupBy("mz", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("from"), F.col("i").alias("to"), "doc"))).alias("found"))
     results = scratch.keep(found.where("NOT window").select("mz", "key", "found").unionByName(placed))
     # a part's windows that start earlier elsewhere, at their places in each document that has the part
     hit = parts.join(results, ["mz", "key"]).select("doc", "th", "start", F.filter("found", lambda r: r["doc"] < F.col("doc")).alias("hit")).where(F.size("hit") > 0)

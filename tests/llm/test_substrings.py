@@ -37,6 +37,14 @@ def test_against_brute_force(docs, scratch, fixture_rows, monkeypatch, crowded,
     assert got == want and sum(w[2] for w in want) > 500
 
 
+def test_an_anchor_of_very_many_segments(spark, scratch):
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(58)]
+    rows = [(i, " ".join([f"w{r.randrange(9999)}" for _ in range(9)] + passage[r.randrange(3) :][: r.randrange(50, 60)] + [f"w{r.randrange(9999)}" for _ in range(9)])) for i in r.sample(range(5000), 1300)]
+    got = sorted((repr(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), scratch).collect())
+    assert got == brute(rows)
+
+
 def test_texts_and_empty(docs, no_docs, scratch):
     for r in substrings.remove_repeats(docs, scratch, texts=True).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256

@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made: both hold a dictionary trained on ordinary text; one goes on with the
-fragments that mark toxic documents, the other with those that mark ordinary ones. A text is cut into
-windows of a few words, and a window speaks for toxicity by the bytes that it is shorter under the first
-dictionary than under the second. A logistic curve, calibrated on labelled documents that the dictionaries
-have not seen, turns the windows' differences into a score from 0 to 1.
+Two zstandard dictionaries are trained, one on windows of toxic documents, the other on windows of ordinary
+ones. Both go on with the same dictionary of ordinary text, which evens out what toxic documents have in
+common with others, and end with the fragments that mark their class. A text is cut into windows of a few
+words, and a window speaks for toxicity by the bytes that it is shorter under the toxic dictionary than under the
+ordinary one. The sizes of the trained and the marking parts, and a logistic curve that turns the windows'
+differences into a score from 0 to 1, are calibrated on labelled documents that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,10 +29,14 @@ from ranklane.llm.langid import sample_by_label
 WINDOW = 32
 #: Labelled documents of each class that training draws at most (about).
 PER_CLASS = 4000
-#: Bytes of marking fragments that calibration may choose from, and of the ordinary dictionary.
-MARKS, BASE = (64, 128, 256, 512), 12_000
-#: Ordinary windows for the ordinary dictionary, fragments that are ranked, both at most.
+#: Bytes of the classes' own dictionaries and of marking fragments that calibration may choose from, and of the common dictionary.
+OWN, MARKS, BASE = (256, 1024), (128, 512, 1024), 12_000
+#: Windows of each class that dictionaries are trained on, fragments that are ranked, both at most.
 WINDOWS, RANKED = 30_000, 600
+#: What a fragment's likelihood ratio must reach for its windows to train the toxic dictionary (a chance of 0.001).
+MARKING = 10.8 / 2
+#: What lies between fragments.
+APART = re.compile(r"[\s!-/:-@\[-`{-~]+")
 
 
 def windows(text: str) -> list[bytes]:
@@ -108,12 +114,20 @@ def _joined(fragments: list[str], most: int) -> bytes:
     return b"".join(reversed(out))
 
 
+def _trained(drawn: list[bytes], size: int) -> bytes:
+    """A dictionary of this size that zstandard trains on windows; with too few to train on, the windows themselves."""
+    try:
+        return zstandard.train_dictionary(size, drawn, level=3).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(drawn)[-size:]
+
+
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, scratch: Scratch, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """Fits on about per_class labelled documents of each class; None if a class has none.
 
     labels may repeat an id, whose largest label counts. Texts that occur more than once count once.
     Document frequencies, windows and measures come from Spark jobs over the sample; the driver gets at
-    most RANKED fragments, WINDOWS windows and a few numbers for each sampled document.
+    most RANKED fragments and WINDOWS windows of each class, and a few numbers for each sampled document.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learnable & F.col("id").isNotNull() & F.col("label").isin(0, 1))
     drawn = sample_by_label(known.groupBy("id").agg(F.max("label").alias("label")), "label", per_class, "id")
@@ -129,20 +143,21 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, scratch: Scratc
     part = lambda k, n: f"(CASE WHEN {k} > 0 THEN {k} * ln({k} / {n}) ELSE 0 END + CASE WHEN {k} < {n} THEN ({n} - {k}) * ln(1 - {k} / {n}) ELSE 0 END)"
     gain = F.expr(f"{part('a', n1)} + {part('b', n0)} - (CASE WHEN a + b < {n1 + n0} THEN (a + b) * ln((a + b) / {n1 + n0}) + ({n1 + n0} - a - b) * ln(1 - (a + b) / {n1 + n0}) ELSE 0 END)")
     ranked = counted.withColumn("gain", gain).withColumn("toxic", F.col("a") / n1 > F.col("b") / n0)
-    best = {side: [r.w for r in ranked.where(F.col("toxic") == side).orderBy(F.col("gain").desc(), "w").limit(RANKED).collect()] for side in (True, False)}
+    ends = {side: ranked.where(F.col("toxic") == side).orderBy(F.col("gain").desc(), "w").limit(RANKED).collect() for side in (True, False)}
+    best = {side: [r.w for r in found] for side, found in ends.items()}
+    marking = {r.w for r in ends[True] if r.gain >= MARKING}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(windows(text), pa.binary())], names=["w"])
-
-    cuts = sample.where("first AND label = 0").select("text").mapInArrow(cut, "w binary")
-    drawn_windows = [bytes(r.w) for r in cuts.orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()]
-    try:
-        base = zstandard.train_dictionary(BASE, drawn_windows, level=3).as_bytes()[-BASE:]
-    except zstandard.ZstdError:  # too few windows to train on: they are the dictionary
-        base = b"".join(drawn_windows)[-BASE:]
-    pairs = [(base + _joined(best[True], size), base + _joined(best[False], size)) for size in MARKS]
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [w for w in windows(text) if not (label and marking) or not marking.isdisjoint(APART.split(w.decode("utf-8", "ignore")))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([label == 1] * len(found), pa.bool_())], names=["w", "toxic"])
+
+    cuts = scratch.keep(sample.where("first").select("text", "label").mapInArrow(cut, "w binary, toxic boolean"))
+    drawn_windows = {side: [bytes(r.w) for r in cuts.where(F.col("toxic") == side).orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()] for side in (True, False)}
+    base = _trained(drawn_windows[False], BASE)
+    own = {side: [_trained(drawn_windows[side], size) for size in OWN] for side in (True, False)}
+    pairs = [tuple(own[side][k] + base + _joined(best[side], size) for side in (True, False)) for k in range(len(OWN)) for size in MARKS]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

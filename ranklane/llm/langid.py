@@ -2,8 +2,9 @@
 
 Byte n-grams of a text are hashed into BUCKETS cells; a text is the average of its n-grams' embeddings,
 and a linear layer with a softmax gives each language's probability. Embeddings and layer are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled documents; a temperature and the
-limit under which a prediction is rejected are calibrated on a part of the sample that training left out.
+stochastic gradient descent in numpy on a bounded sample of labelled documents. A temperature and the limit
+under which a prediction is rejected are calibrated on a part of the sample that training left out: the limit lies
+between what these documents score and what halves of two languages' documents, put together, do.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ from pyspark.sql import types as T
 from ranklane.llm.common import crc_mod
 
 BUCKETS, GRAMS, DIM = 1 << 13, (2, 3, 4), 16
-#: Labelled documents for each language that training draws at most (about; drawn by a hash of the row).
-PER_LANGUAGE = 600
-#: Share of the sample that calibration keeps for itself, and of it that rejection may cost.
-HELD, REJECTED = 0.25, 0.002
-#: A prediction above this is never rejected: it is documents of several languages that come out lower, not clean ones.
-HIGHEST = 0.35
+#: Labelled documents for each language, and of all languages together, that training draws at most (about; drawn by a hash
+#: of the row). Each sends at most 6 bytes a bucket to the driver.
+PER_LANGUAGE, SAMPLE = 600, 6_000
+#: Share of the sample that calibration keeps for itself, share of it that rejection may cost, and share of mixed texts that it should catch.
+HELD, REJECTED, CAUGHT = 0.25, 0.002, 0.9
 LETTER = re.compile(r"[^\W\d_]+")  # letters, and a few signs that count as numbers
 UNKNOWN = "und"
 #: Bytes counted at once, so that a very long text needs no more memory than a short one.
@@ -57,6 +57,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     limit: float
+    lost: float = 0.0  # shares of calibration's documents and of its mixed texts that the limit rejects
+    caught: float = 0.0
 
     def probabilities(self, text: str) -> np.ndarray:
         c = counts(text)
@@ -115,9 +117,22 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 9, epochs: i
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 41)}
     temperature = float(min(losses, key=losses.get))
     best = softmax(logits / temperature)
-    right = np.sort(best.max(axis=1)[best.argmax(axis=1) == truth])
-    limit = float(right[int(REJECTED * len(right))]) * 0.9 if len(right) else 0.0
-    return Model(languages, table, bias.astype(np.float64), temperature, min(limit, HIGHEST))
+    clean = np.sort(best.max(axis=1)[best.argmax(axis=1) == truth])
+    # texts of two languages, half and half: a text's logits are linear in its n-grams' shares
+    other = rng.permutation(len(held))
+    two = truth != truth[other]
+    mixed = np.sort(softmax((logits[two] + logits[other[two]]) / 2 / temperature).max(axis=1))
+    limit = float(clean[int(REJECTED * len(clean))]) if len(clean) else 0.0
+    if len(mixed) and len(clean):  # where both are told apart, halfway between them
+        apart = float(mixed[int(CAUGHT * (len(mixed) - 1))])
+        limit = _between(min(apart, limit), limit)
+    return Model(languages, table, bias.astype(np.float64), temperature, limit, float((clean < limit).mean()) if len(clean) else 0.0, float((mixed < limit).mean()) if len(mixed) else 0.0)
+
+
+def _between(a: float, b: float) -> float:
+    """The probability halfway between two by log odds."""
+    odds = lambda p: np.log(max(p, 1e-12)) - np.log(max(1 - p, 1e-12))
+    return float(1 / (1 + np.exp(-(odds(a) + odds(b)) / 2)))
 
 
 def sample_by_label(labelled: DataFrame, label: str, per_label: int, *key: str, seed: int = 7) -> DataFrame:
@@ -128,13 +143,14 @@ def sample_by_label(labelled: DataFrame, label: str, per_label: int, *key: str,
 
 
 def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """Fits a model on about per_language labelled documents of each language among the learnable ones.
+    """Fits a model on about per_language labelled documents of each language among the learnable ones, and SAMPLE in all.
 
     Whole texts are turned into bucket counts where they lie; only those of the sample, BUCKETS numbers
     each at most, come to the driver.
     """
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_by_label(labelled, "lang", per_language, "id", "text")
+    languages = labelled.select("lang").distinct().count()
+    sample = sample_by_label(labelled, "lang", max(1, min(per_language, SAMPLE // max(1, languages))), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +169,7 @@ def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """(row, lang_pred, score, rejected) for every row of docs: the row as a struct, and what its whole text alone says.
 
-    A text that is null or has no letter gets 'und', score 0 and is rejected. Rows stay whole in their
+    A text that is null or has no letter gets 'und', score 0 and is rejected. A model of one language rejects no other. Rows stay whole in their
     struct, so columns of any name are allowed.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

@@ -1,10 +1,12 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-A text is a multiset of passages: its paragraphs, cut further behind words that their last byte marks, so
-that the cuts depend on the content alone and an edit changes the passages it touches and no others. Each
-passage is hashed to a wide vector; a text's fingerprint is the sum of its passages' vectors, modulo 2**64
-in four wide lanes (equality) and modulo 2**32 in LANES narrow ones of +1 and -1 (likeness), which no text of
-less than 2**31 passages fills. Sums do not depend on order, and a passage is added or taken away by adding or subtracting its vector.
+A text is a multiset of paragraphs, its lines that are not blank. Each is hashed to a wide vector, and the sum of
+these vectors modulo 2**64, in WIDE lanes, tells whether two texts have the same paragraphs. An edit within a
+paragraph would change all that it gives, so likeness is read from further lanes: paragraphs are cut into
+passages behind words that their last byte marks, so that the cuts depend on the content alone and an edit
+changes the passages it touches and no others, and each passage adds a vector of LANES lanes of +1 and -1,
+modulo 2**32, which no text of less than 2**31 passages fills. Sums do not depend on order, and a paragraph is
+added or taken away by adding or subtracting its vectors.
 """
 
 from __future__ import annotations
@@ -18,9 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANES, WIDE = 128, 4
-DIGEST = LANES // 8 + 8 * WIDE
-#: Passages that are hashed at once, so that a very long text needs no more memory than a short one.
+#: Vectors that are summed at once, so that a very long text needs no more memory than a short one.
 AT_ONCE = 1 << 14
+#: Bytes of text in a slot (about), and slots at most; more bytes than that make larger slots.
+SLOT_BYTES, SLOTS = 64 << 20, 40_000
+
+
+def paragraphs(text: str) -> list[bytes]:
+    """The lines of a whole text without white space around them; blank ones are none."""
+    return [p for p in (line.strip() for line in text.encode("utf-8").split(b"\n")) if p]
 
 
 def passages(text: str) -> list[bytes]:
@@ -35,7 +43,7 @@ def passages(text: str) -> list[bytes]:
 
 
 class Fingerprint:
-    """A sum of passages' vectors."""
+    """A sum of the vectors of paragraphs (wide) and of their passages (narrow)."""
 
     __slots__ = ("narrow", "wide")
 
@@ -43,16 +51,15 @@ class Fingerprint:
         self.narrow = np.zeros(LANES, np.int32) if narrow is None else narrow
         self.wide = np.zeros(WIDE, np.uint64) if wide is None else wide
 
-    def add(self, parts: list[bytes], sign: int = 1) -> Fingerprint:
-        """With these passages added, or taken away for sign -1."""
+    def add(self, text: str, sign: int = 1) -> Fingerprint:
+        """With a text's paragraphs added, or taken away for sign -1."""
         narrow, wide = self.narrow.copy(), self.wide.copy()
-        for start in range(0, len(parts), AT_ONCE):
-            some = parts[start : start + AT_ONCE]
-            d = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=DIGEST).digest() for p in some]), np.uint8).reshape(len(some), DIGEST)
-            ones = np.unpackbits(d[:, : LANES // 8], axis=1).sum(axis=0, dtype=np.int32)
-            lanes = np.ascontiguousarray(d[:, LANES // 8 :]).view("<u8").sum(axis=0, dtype=np.uint64)
-            narrow += (sign * (2 * ones - len(some))).astype(np.int32)
+        for some in _blocks(paragraphs(text)):
+            lanes = _digests(some, 8 * WIDE).view("<u8").sum(axis=0, dtype=np.uint64)
             wide = wide + lanes if sign > 0 else wide - lanes
+        for some in _blocks(passages(text)):
+            ones = np.unpackbits(_digests(some, LANES // 8), axis=1).sum(axis=0, dtype=np.int32)
+            narrow += (sign * (2 * ones - len(some))).astype(np.int32)
         return Fingerprint(narrow, wide)
 
     def hex(self) -> str:
@@ -72,8 +79,17 @@ class Fingerprint:
         return min(1.0, max(0.0, float(a @ b) / size)) if size else 0.0
 
 
+def _blocks(parts: list[bytes]) -> Iterator[list[bytes]]:
+    return (parts[start : start + AT_ONCE] for start in range(0, len(parts), AT_ONCE))
+
+
+def _digests(parts: list[bytes], size: int) -> np.ndarray:
+    """One row of size bytes for each part."""
+    return np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=size).digest() for p in parts]), np.uint8).reshape(len(parts), size)
+
+
 def fingerprint(text: str) -> Fingerprint:
-    return Fingerprint().add(passages(text))
+    return Fingerprint().add(text)
 
 
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,11 +101,17 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     learns is two numbers for each slot. Null ids come last, equal ids in the order of their text's hash.
     """
     spark = docs.sparkSession
-    slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    held = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    slots = min(SLOTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SLOT_BYTES)))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     quantiles = rows.select("id").approxQuantile("id", [i / slots for i in range(1, slots)], 0.2 / slots)
     bounds = sorted({int(b) for b in quantiles})
-    larger = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b > F.col("id")))
+    # how many bounds are larger: first among every width-th of them, then among those between two of these
+    falling, width = bounds[::-1], max(1, round(len(bounds) ** 0.5))
+    larger_than = lambda some: F.size(F.filter(some, lambda b: b > F.col("id")))
+    listed = lambda some: F.array(*[F.lit(b) for b in some]).cast("array<bigint>")
+    coarse = larger_than(listed(falling[width - 1 :: width]))
+    larger = coarse * width + larger_than(F.slice(listed(falling), coarse * width + 1, F.lit(width)))
     rows = rows.withColumn("slot", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(larger))
     order = F.struct(F.col("id").isNull().alias("n"), (-F.coalesce(F.col("id"), F.lit(0))).alias("k"), F.col("tie").alias("tie"))
     heads = sorted(((r.slot, r.head) for r in rows.groupBy("slot").agg(F.min(order).alias("head")).collect()), key=lambda x: x[0])

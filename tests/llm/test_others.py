@@ -51,6 +51,35 @@ def test_mix_meets_its_targets(spark, scratch):
     assert mixed.columns == df.columns and mixed.count() == sum(x.copies for x in got)
 
 
+def test_inclusion_follows_the_weights(spark, scratch):
+    r = random.Random(12)
+    rows = [(i, "w " * r.choice([5, 20, 80]), f"s{i % 3}", float(r.choice([1, 2, 4]))) for i in range(6000)] + [(9000, "a b", "s0", None), (9001, "a b", "s0", -1.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, weight double").repartition(4)
+    got = mixing.plan_mix(df, scratch, weight_col="weight", share=0.35).select("row.doc_id", "row.weight", "row.source", "_mix.*").collect()
+    assert all(int(x.expected) <= x.copies <= int(x.expected) + 1 and x.copies <= 3 for x in got)
+    assert {x.copies for x in got if x.doc_id >= 9000} == {0}
+    groups, taken = defaultdict(list), defaultdict(int)
+    for x in got:
+        groups[x.source, x.weight, x.size].append(x)
+        taken[x.source, x.target] += x.size * x.copies
+    assert all(abs(n - target) <= 80 for (_, target), n in taken.items())
+    off = []
+    for (_, weight, _), members in groups.items():
+        want, n = members[0].expected, len(members)
+        assert weight is None or weight < 0 or any(abs(want / m.expected - weight / m.weight) < 1e-6 for m in got if m.source == members[0].source and m.weight == 1.0)
+        off.append((sum(m.copies for m in members) - n * want) / max(1.0, (n * (want % 1) * (1 - want % 1)) ** 0.5))
+    assert max(map(abs, off)) < 4 and abs(sum(off) / len(off)) < 0.5  # drawn as intended, short and long ones alike
+
+
+def test_pareto_keys(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(0.3, 0.3), (0.2, 0.5), (0.5, 0.2), (1e-12, 1.0), (0.999999, 0.0)], "u double, p double").select(mixing.pareto_rank(F.col("u"), F.col("p")).alias("k")).collect()
+    odds = lambda x: x / (1 - x)
+    assert [round(x.k / (1 - x.k), 9) for x in got[:3]] == [round(odds(u) / odds(p), 9) for u, p in ((0.3, 0.3), (0.2, 0.5), (0.5, 0.2))]
+    assert got[3].k < 1e-15 and 0.999 < got[4].k < 1
+
+
 def test_mix_edges(docs, no_docs, scratch, fixture_rows):
     assert mixing.plan_mix(docs, scratch).count() == len(fixture_rows)
     assert mixing.plan_mix(no_docs, scratch).count() == 0
@@ -80,6 +109,25 @@ def test_language_edges(docs, no_docs, fixture_rows):
     assert langid.identify(no_docs).count() == 0
 
 
+def test_texts_of_two_languages_are_rejected(spark):
+    r = random.Random(3)
+    word = lambda lang: "".join(r.choices(SYLLABLES[lang], k=3))
+    rows = [(i, " ".join(word(lang) for _ in range(r.randrange(20, 60))), lang) for i in range(900) for lang in [r.choice(list(SYLLABLES))]]
+    mixed = [(5000 + i, " ".join(word(lang) for lang in r.sample(sorted(SYLLABLES), 2) for _ in range(30)), None) for i in range(100)]
+    got = langid.identify(spark.createDataFrame(rows + mixed, "doc_id bigint, text string, lang string")).collect()
+    clean, two = [[x for x in got if (x.row.doc_id >= 5000) == side] for side in (False, True)]
+    assert sum(x.rejected for x in clean) <= 0.005 * len(clean)
+    assert sum(x.rejected for x in two) >= 0.3 * len(two)  # halves by words are seldom halves by n-grams
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.append(rows))
+    langid.learn(spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 10) AS lang"), mixing.F.lit(True))
+    assert 10 < len(seen[0]) < 90
+
+
 def test_counts_do_not_depend_on_blocks(monkeypatch):
     text = "some text é " * 50
     whole = langid.counts(text)
@@ -190,16 +238,25 @@ def test_edits_against_brute_force(spark, docs, no_docs, fixture_rows, parts):
 
 
 def test_sums_are_homomorphic():
-    a, b = multisethash.passages("One is here. Two are\nthere and more"), multisethash.passages("Three come by")
+    a, b = "One is here. Two are\nthere and more", "Three come by"
     both = multisethash.Fingerprint().add(b).add(a)
-    assert both.hex() == multisethash.Fingerprint().add(a + b).hex()
-    assert both.add(b, -1).hex() == multisethash.Fingerprint().add(a).hex()
+    assert both.hex() == multisethash.fingerprint(f"{a}\n\n  {b} ").hex() == multisethash.fingerprint(f"{b}\n{a}").hex()
+    assert both.add(b, -1).hex() == multisethash.fingerprint(a).hex()
     assert multisethash.Fingerprint.parse(both.hex()).hex() == both.hex()
     assert multisethash.Fingerprint().likeness(both) == 0.0 and both.likeness(both) == 1.0
+    # one paragraph more or less is told apart, whatever its passages are
+    assert multisethash.fingerprint(f"{a} {b}").wide.tolist() != both.wide.tolist()
 
 
 def test_lanes_hold_very_many_equal_passages():
-    words = lambda n: multisethash.Fingerprint().add([b"a"] * n)
-    assert words(40_000).likeness(words(20_000)) > 0.999 and words(65_536).likeness(words(65_535)) > 0.999
-    assert multisethash.fingerprint("a " * 40_000).likeness(multisethash.fingerprint("a " * 20_000)) > 0.999
-    assert multisethash.Fingerprint.parse(words(40_000).hex()).likeness(words(40_000)) == 1.0
+    of = lambda n: multisethash.fingerprint("a " * n)
+    assert of(40_000).likeness(of(20_000)) > 0.999 and of(65_536).likeness(of(65_535)) > 0.999
+    assert multisethash.Fingerprint.parse(of(40_000).hex()).likeness(of(40_000)) == 1.0
+
+
+def test_slots_follow_the_bytes(spark, monkeypatch):
+    df = spark.range(0, 400).selectExpr("id * 7 % 401 AS doc_id", "concat('text ', id) AS text")
+    whole = sorted(map(tuple, multisethash.compare_edits(df).collect()))
+    monkeypatch.setattr(multisethash, "SLOT_BYTES", 100)
+    assert multisethash.in_id_order(df, "doc_id", "text").select("slot").distinct().count() > 30
+    assert sorted(map(tuple, multisethash.compare_edits(df).collect())) == whole

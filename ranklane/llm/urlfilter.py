@@ -132,7 +132,7 @@ def learn(urls: DataFrame, seeds: tuple[str, ...] = tuple(SEEDS), lexicon: tuple
     names = distinct.select("host", F.lit("").alias("path")).unionByName(distinct.select(F.lit("").alias("host"), "path")).distinct().withColumn("n", F.lit(1))
 
     def parts(host: str, path: str) -> list[tuple[int, int]]:
-        return [(0, cell(run)) for run in RUN.findall((host.rpartition(".")[0] or host) + " " + path.lower()) if len(run) <= LONGEST]
+        return [(0, cell(run[i : i + LONGEST])) for run in RUN.findall((host.rpartition(".")[0] or host) + " " + path.lower()) for i in range(0, len(run), LONGEST)]
 
     counts = _partial(names, parts, 1)[0]
     floor = max(1.0, counts.sum() / 200)

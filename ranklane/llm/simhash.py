@@ -20,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,9 @@ SIMILAR_WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Documents (about) and shingles of theirs that the prefix filter's order is taken from; it decides what is compared, not what is found.
 SAMPLED, ORDERED = 8_000, 100_000
 #: Numbers of 64 bits in a set's parity sketch.
-PARTS = 4
+PARTS = 16
+#: Rounds that join groups by comparing with one member for each shingle, before pairs are listed.
+STARS = 2
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
 AT_ONCE = 1 << 15
 
@@ -211,20 +213,19 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
     return rows.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk bigint, node bigint, fp bigint, n bigint, {', '.join(k + ' bigint' for k in _SKETCH)}, prefix array<bigint>")
 
 
-def _may(a: str, b: str, similarity: Fraction) -> Column:
-    """Whether sets that meet at these places of theirs can be similar enough, from what can still follow and from their sketches."""
-    a, b = F.col(a), F.col(b)
+def _may(a: Column, b: Column, similarity: Fraction) -> Column:
+    """Whether the sets of two structs (n and the sketch) can be similar enough: what sketches differ in is not common."""
     top, whole = similarity.numerator, similarity.denominator
-    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
     apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in _SKETCH), F.lit(0))
-    return (rest * (whole + top) >= top * (a["n"] + b["n"])) & (apart * (whole + top) <= (whole - top) * (a["n"] + b["n"]))
+    return apart * (whole + top) <= (whole - top) * (a["n"] + b["n"])
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, own: DataFrame, similarity: Fraction, words: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by the sets themselves."""
-    pairs = scratch.keep(pairs.distinct())
+def _confirmed(pairs: DataFrame, rows: DataFrame, info: DataFrame, similarity: Fraction, words: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough: by their sketches first, then by the sets themselves."""
+    of = lambda c: info.select(F.col("node").alias(c), F.col("m").alias(f"m_{c}"))
+    pairs = scratch.keep(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_may(F.col("m_a"), F.col("m_b"), similarity)).select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = own.join(ends, "node").select("at.*")
+    wanted = info.join(ends, "node").select("at.*")
     texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.tk = w.tk AND r.id <=> w.id"), "left_semi")
     sets, place = scratch.write(_sets(texts.select("text"), words).dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -242,43 +243,52 @@ def keep_similar(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     that repeat an id stay where their group has no smaller one, those of a null id where it has no other. An empty
     table gives an empty one.
 
-    Candidates are confirmed in two steps. First come texts that fingerprints link, and of those that share a
-    shingle of their prefixes each with the smallest one alone; that joins large groups without listing their pairs.
-    Then those that share one and are still apart are compared with each other; sketches keep what is surely less
-    similar from being listed.
+    Candidates are texts that fingerprints link and texts that share a shingle of their prefixes. Of the latter each is
+    compared with one for each shingle first, in rounds that each take another; that joins large groups without listing
+    their pairs. Then those that share one and are still apart are compared with each other; sketches keep what is
+    surely less similar from being listed, and a pair is listed once for each run of shingles that it shares.
     """
     key = F.col(f"`{id_col}`")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(key.alias("id"), text.alias("text")).withColumn("tk", F.xxhash64("text"))
     prints, prints_path = scratch.write(_measured(rows, similarity, words))
     at = F.min(F.struct("tk", "id")).alias("at")
-    one = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("id"), at, F.first("fp").alias("fp"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in _SKETCH], F.first("prefix").alias("prefix")))
-    own = one.select("node", "id", "at")
+    one, one_path = scratch.write(prints.groupBy("node").agg(F.min("id").alias("id"), at, *[F.first(c).alias(c) for c in ("fp", "n", *_SKETCH, "prefix")]))
+    of_row = scratch.keep(prints.select("id", "tk", "node"))
+    scratch.drop(prints_path)
+    info = scratch.keep(one.select("node", "id", "at", "fp", F.struct("n", *_SKETCH).alias("m")))
     token = one.select(F.explode("prefix").alias("token"), "node")
     shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    member = F.struct("node", "n", "pos", *_SKETCH).alias("m")
-    met, met_path = scratch.write(one.select("node", "n", *_SKETCH, F.posexplode("prefix").alias("pos", "token")).join(shared, "token").select("token", member))
-    least = met.groupBy("token").agg(F.min("m").alias("least"))
-    stars = met.join(least, "token").where((F.col("m.node") != F.col("least.node")) & _may("m", "least", similarity)).select(F.col("least.node").alias("a"), F.col("m.node").alias("b"))
+    left, left_path = scratch.write(token.join(shared, "token").select("token", "node", F.col("node").alias("c")))
+    scratch.drop(one_path)
 
-    classes = scratch.keep(one.groupBy("fp").agg(F.min("node").alias("node")))
-    equal = one.join(classes.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    classes = scratch.keep(info.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = info.join(classes.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
     of = lambda c: classes.select(F.col("fp").alias(f"fp_{c}"), F.col("node").alias(c))
     linked = links(classes.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
-
-    edges = _confirmed(stars.union(equal).union(linked), rows, own, similarity, words, scratch)
-    label = components(edges, scratch).withColumnRenamed("node", "of")
-    apart, apart_path = scratch.write(met.join(label, F.col("m.node") == F.col("of"), "left").select("token", "m", F.coalesce("component", "m.node").alias("c")))
-    scratch.drop(met_path)
-    mixed = apart.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    left = scratch.keep(apart.join(mixed, "token"))
-    scratch.drop(apart_path)
-    other = left.select("token", F.col("m").alias("o"), F.col("c").alias("d"))
-    pairs = left.join(other, "token").where((F.col("m.node") < F.col("o.node")) & (F.col("c") != F.col("d")) & _may("m", "o", similarity))
-    edges = edges.union(_confirmed(pairs.select(F.col("m.node").alias("a"), F.col("o.node").alias("b")), rows, own, similarity, words, scratch))
-    groups = own.join(components(edges, scratch), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
+    edges, pairs = None, equal.union(linked)
+    for turn in range(STARS):
+        centre = left.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("turn"), "node", "c")).alias("o"))
+        star = left.join(centre, "token").where("c <> o.c").select(F.col("o.node").alias("a"), F.col("node").alias("b"))
+        found = _confirmed(star if turn else pairs.union(star), rows, info, similarity, words, scratch)
+        edges = found if edges is None else edges.union(found)
+        label = components(edges, scratch)
+        named = left.select("token", "node").join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"))
+        mixed = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+        still, still_path = scratch.write(named.join(mixed, "token"))
+        scratch.drop(left_path)
+        left, left_path = still, still_path
+    # who meets at the shingle before as well need not be listed again
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("token"))
+    member = F.struct("node", "c", "before", "m.*")
+    met = left.join(info.select("node", "m"), "node").withColumn("before", before).select("token", member.alias("x"))
+    other = met.select("token", F.col("x").alias("y"))
+    fresh = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+    listed = met.join(other, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fresh & _may(F.col("x"), F.col("y"), similarity))
+    edges = edges.union(_confirmed(listed.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), rows, info, similarity, words, scratch))
+    scratch.drop(left_path)
+    groups = info.select("node", "id").join(components(edges, scratch), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     smallest = groups.groupBy("root").agg(F.min("id").alias("smallest"))
     of_node = groups.join(smallest, "root").select("node", "smallest")
-    dropped = scratch.keep(prints.join(of_node, "node").where(~F.col("id").eqNullSafe(F.col("smallest"))).select("id", "tk").distinct())
-    scratch.drop(prints_path)
+    dropped = scratch.keep(of_row.join(of_node, "node").where(~F.col("id").eqNullSafe(F.col("smallest"))).select("id", "tk").distinct())
     return docs.alias("d").join(dropped.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("x.tk")), "left_anti")

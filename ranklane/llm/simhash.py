@@ -31,8 +31,12 @@ BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 SIMILAR_WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Documents (about) and shingles of theirs that the prefix filter's order is taken from; it decides what is compared, not what is found.
 SAMPLED, ORDERED = 8_000, 100_000
-#: Numbers of 64 bits in a set's parity sketch.
-PARTS = 16
+#: Numbers of 64 bits in a set's parity sketch, and bits of a large set's wide one at most.
+PARTS, WIDEST = 16, 1 << 20
+#: Cells of the map of shingles that several sets have; it is as large for any input, and decides only what is shuffled.
+CELLS = 1 << 25
+#: Rows of 40 bytes (about) that may be broadcast.
+FEW = 500_000
 #: Rounds that join groups by comparing with one member for each shingle, before pairs are listed.
 STARS = 2
 #: Shingles that are counted at once, so that a very long text needs no more memory than a short one.
@@ -181,10 +185,11 @@ _SKETCH = [f"k{i}" for i in range(PARTS)]
 
 
 def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
-    """(id, tk, node, fp, n, the sketch, prefix) of every row of (id, tk, text).
+    """(id, tk, node, fp, n, the sketch, the wide sketch, prefix) of every row of (id, tk, text).
 
     node names the set of n shingles. A sketch bit is the parity of the shingles that fall on it, so two sketches
-    differ in no more bits than their sets have shingles that are not common. prefix: the shingles of which
+    differ in no more bits than their sets have shingles that are not common; a wide one has at least a bit a shingle,
+    and folded it is the sketch. prefix: the shingles of which
     sets of this similarity share one, those that many documents have last.
     """
     common, often = _common(rows, words)
@@ -192,7 +197,7 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told: list[list] = [[] for _ in range(5)]
+            told: list[list] = [[] for _ in range(6)]
             for text in batch.column(2).to_pylist():
                 blocks = list(shingle_hashes(text, words))
                 found = shingle_set(blocks)
@@ -201,16 +206,18 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     rank = np.where(common[at] == found, often[at], 0)
                 n = len(found)
-                odd = np.packbits(np.bincount(found & (64 * PARTS - 1), minlength=64 * PARTS) & 1).view(np.int64)
+                bits = min(WIDEST, max(64 * PARTS, 1 << (n - 1).bit_length()))
+                wide = np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1)
+                odd = np.bitwise_xor.reduce(wide.view(np.int64).reshape(-1, PARTS))
                 prefix = found[np.lexsort((found, rank))][: n + top * -n // whole + 1] if n else found
-                for column, x in zip(told, (_node(found), _print(blocks), n, odd, prefix), strict=True):
+                for column, x in zip(told, (_node(found), _print(blocks), n, odd, prefix, wide.tobytes()), strict=True):
                     column.append(x)
             sketch = np.stack(told[3]) if told[3] else np.zeros((0, PARTS), np.int64)
-            arrays = [pa.array(c, pa.int64()) for c in told[:3]] + [pa.array(sketch[:, i]) for i in range(PARTS)] + [pa.array(told[4], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tk", "node", "fp", "n", *_SKETCH, "prefix"])
+            arrays = [pa.array(c, pa.int64()) for c in told[:3]] + [pa.array(sketch[:, i]) for i in range(PARTS)] + [pa.array(told[5], pa.binary()), pa.array(told[4], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tk", "node", "fp", "n", *_SKETCH, "wide", "prefix"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk bigint, node bigint, fp bigint, n bigint, {', '.join(k + ' bigint' for k in _SKETCH)}, prefix array<bigint>")
+    return rows.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk bigint, node bigint, fp bigint, n bigint, {', '.join(k + ' bigint' for k in _SKETCH)}, wide binary, prefix array<bigint>")
 
 
 def _may(a: Column, b: Column, similarity: Fraction) -> Column:
@@ -220,12 +227,59 @@ def _may(a: Column, b: Column, similarity: Fraction) -> Column:
     return apart * (whole + top) <= (whole - top) * (a["n"] + b["n"])
 
 
+def _wide_may(pairs: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b) of the pairs whose wide sketches say that they can be similar enough; the wider one is folded."""
+    top, whole = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, size)) for z in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (whole + top) <= (whole - top) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """Keys that texts are looked up by, broadcast if they are few; else Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
+
+
+def _mapped(one: DataFrame, shared: DataFrame) -> DataFrame:
+    """(token, node) of the prefixes' shingles, without most of those that are not shared: a map of bits tells them."""
+    cell = F.pmod(F.col("token"), F.lit(CELLS))
+    told = shared.select(F.floor(cell / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(pmod(token, 64) AS INT))").alias("bit"))
+    words = told.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(CELLS // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(1)
+            token = prefix.flatten().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), prefix.value_lengths().fill_null(0).to_numpy())
+            at = token & (CELLS - 1)
+            may = bits[at >> 6] >> (at & 63) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(token[may]), pa.array(node[may])], names=["token", "node"])
+
+    return one.select("node", "prefix").mapInArrow(run, "token bigint, node bigint")
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, info: DataFrame, similarity: Fraction, words: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough: by their sketches first, then by the sets themselves."""
     of = lambda c: info.select(F.col("node").alias(c), F.col("m").alias(f"m_{c}"))
-    pairs = scratch.keep(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_may(F.col("m_a"), F.col("m_b"), similarity)).select("a", "b"))
+    pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_may(F.col("m_a"), F.col("m_b"), similarity)).select("a", "b", F.greatest("m_a.n", "m_b.n").alias("n"))
+    pairs = scratch.keep(pairs)
+    large = pairs.where(F.col("n") > 64 * PARTS)
+    of = lambda c: info.where(F.col("m.n") > 32 * PARTS).select(F.col("node").alias(c), F.col("m.n").alias(f"n_{c}"), F.col("wide").alias(f"w_{c}"))
+    large = _wide_may(large.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "w_a", "w_b"), similarity)
+    pairs = scratch.keep(pairs.where(F.col("n") <= 64 * PARTS).select("a", "b").union(large))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = info.join(ends, "node").select("at.*")
+    wanted = _sized(scratch.keep(info.join(ends, "node").select("at.*")))
     texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.tk = w.tk AND r.id <=> w.id"), "left_semi")
     sets, place = scratch.write(_sets(texts.select("text"), words).dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -253,13 +307,13 @@ def keep_similar(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     rows = docs.select(key.alias("id"), text.alias("text")).withColumn("tk", F.xxhash64("text"))
     prints, prints_path = scratch.write(_measured(rows, similarity, words))
     at = F.min(F.struct("tk", "id")).alias("at")
-    one, one_path = scratch.write(prints.groupBy("node").agg(F.min("id").alias("id"), at, *[F.first(c).alias(c) for c in ("fp", "n", *_SKETCH, "prefix")]))
+    one, one_path = scratch.write(prints.groupBy("node").agg(F.min("id").alias("id"), at, *[F.first(c).alias(c) for c in ("fp", "n", *_SKETCH, "wide", "prefix")]))
     of_row = scratch.keep(prints.select("id", "tk", "node"))
     scratch.drop(prints_path)
-    info = scratch.keep(one.select("node", "id", "at", "fp", F.struct("n", *_SKETCH).alias("m")))
-    token = one.select(F.explode("prefix").alias("token"), "node")
-    shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    left, left_path = scratch.write(token.join(shared, "token").select("token", "node", F.col("node").alias("c")))
+    info = scratch.keep(one.select("node", "id", "at", "fp", F.struct("n", *_SKETCH).alias("m"), "wide"))
+    token = one.select(F.explode("prefix").alias("token"))
+    shared = scratch.keep(token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"))
+    left, left_path = scratch.write(_mapped(one, shared).join(shared, "token").select("token", "node", F.col("node").alias("c")))
     scratch.drop(one_path)
 
     classes = scratch.keep(info.groupBy("fp").agg(F.min("node").alias("node")))
@@ -290,5 +344,5 @@ def keep_similar(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     groups = info.select("node", "id").join(components(edges, scratch), "node", "left").select("node", "id", F.coalesce("component", "node").alias("root"))
     smallest = groups.groupBy("root").agg(F.min("id").alias("smallest"))
     of_node = groups.join(smallest, "root").select("node", "smallest")
-    dropped = scratch.keep(of_row.join(of_node, "node").where(~F.col("id").eqNullSafe(F.col("smallest"))).select("id", "tk").distinct())
+    dropped = _sized(scratch.keep(of_row.join(of_node, "node").where(~F.col("id").eqNullSafe(F.col("smallest"))).select("id", "tk").distinct()))
     return docs.alias("d").join(dropped.alias("x"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("x.id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("x.tk")), "left_anti")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ranklane.operators import encode, profiles
 
 START, GOAL = "AFRICA", "ASIA"
-LONG, SHORT = 256, 24
+#: Keys that a list keeps at most.
+LONG, SHORT = 2048, 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
 
 
+def counts_of(spark: SparkSession, sf_dir: str, which) -> DataFrame:
+    """(cell, token, v): the quantities of the order lines that a condition holds for."""
+    lines = table(spark, sf_dir, "lineitem").where(which)
+    return lines.groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("token")).agg(F.sum("l_quantity").alias("v"))
+
+
 def customer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, gene, cnt) of customers."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))

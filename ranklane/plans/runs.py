@@ -81,26 +81,26 @@ def conditional_specific_gain(spark, sf_dir):
     return out.select("n_cells", *[F.round(c, 5).alias(c) for c in out.columns[1:]])
 
 
-@query("WITH s AS (SELECT p_size AS target, p_partkey AS token FROM part WHERE p_size <= 5), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('3:' || target || ':' || token)) - 1 AS rn, count(*) OVER (PARTITION BY target) AS n FROM s) SELECT chain::INTEGER AS chain, target, token FROM r, (SELECT unnest(range(0, 6)) AS chain) WHERE rn < 6 AND chain % least(n, 6) = rn")
+@query("WITH s AS (SELECT p_size AS target, p_partkey AS token FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('3:' || target || ':' || token)) - 1 AS rn, count(*) OVER (PARTITION BY target) AS n FROM s) SELECT chain::INTEGER AS chain, target, token FROM r, (SELECT unnest(range(0, 6)) AS chain) WHERE rn < 6 AND chain % least(n, 6) = rn")
 def random_chain_draw(spark, sf_dir):
-    s = inputs.table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_size").alias("target"), F.col("p_partkey").alias("token"))
+    s = inputs.table(spark, sf_dir, "part").select(F.col("p_size").alias("target"), F.col("p_partkey").alias("token"))
     return chains.draw_random_chains(s, 6, 3)
 
 
-@query("WITH s AS (SELECT p_size AS target, p_partkey AS token, p_retailprice AS v FROM part WHERE p_size <= 5), p AS (SELECT * FROM s WHERE token % 2 = 0) SELECT target, round((SELECT avg(v) FROM p WHERE p.target = t.target), 4) AS picks_mean, round(avg(v), 4) AS stratum_mean, round(((SELECT avg(v) FROM p WHERE p.target = t.target) - avg(v)) / sqrt(((SELECT var_samp(v) FROM p WHERE p.target = t.target) + var_samp(v)) / 2), 4) AS smd FROM s t GROUP BY target")
+@query("WITH s AS (SELECT p_size AS target, p_partkey AS token, p_retailprice AS v FROM part), p AS (SELECT * FROM s WHERE token % 2 = 0) SELECT target, round((SELECT avg(v) FROM p WHERE p.target = t.target), 4) AS picks_mean, round(avg(v), 4) AS stratum_mean, round(((SELECT avg(v) FROM p WHERE p.target = t.target) - avg(v)) / sqrt(((SELECT var_samp(v) FROM p WHERE p.target = t.target) + var_samp(v)) / 2), 4) AS smd FROM s t GROUP BY target")
 def covariate_balance(spark, sf_dir):
-    p = inputs.table(spark, sf_dir, "part").where("p_size <= 5")
+    p = inputs.table(spark, sf_dir, "part")
     s = p.select(F.col("p_size").alias("target"), F.col("p_partkey").alias("token"))
     out = chains.balance(s.where("token % 2 = 0"), s, p.select(F.col("p_partkey").alias("token"), F.col("p_retailprice").alias("v")))
     return out.select("target", *[F.round(c, 4).alias(c) for c in ("picks_mean", "stratum_mean", "smd")])
 
 
-_FIN = f"WITH {C_LISTS}, s AS (SELECT cell, unnest(ids) AS token, generate_subscripts(ids, 1) AS i, len(ids) AS n FROM lists WHERE cell % 5 = 0), f AS (SELECT 1 AS seed, cell, token, i AS pos FROM s UNION ALL SELECT 2, cell, token, i + 3 * (token % 4) FROM s UNION ALL SELECT 3, cell, token, -i FROM s WHERE token % 3 <> 0)"
+_FIN = f"WITH {C_LISTS}, s AS (SELECT cell, unnest(ids) AS token, generate_subscripts(ids, 1) AS i, len(ids) AS n FROM lists), f AS (SELECT 1 AS seed, cell, token, i AS pos FROM s UNION ALL SELECT 2, cell, token, i + 3 * (token % 4) FROM s UNION ALL SELECT 3, cell, token, -i FROM s WHERE token % 3 <> 0)"
 
 
 @query(f"{_FIN}, b AS (SELECT x.seed AS seed_a, y.seed AS seed_b, x.cell, x.pos AS pa, y.pos AS pb FROM f x JOIN f y ON x.cell = y.cell AND x.token = y.token AND x.seed < y.seed), r AS (SELECT *, rank() OVER (PARTITION BY seed_a, seed_b, cell ORDER BY pa) + (count(*) OVER (PARTITION BY seed_a, seed_b, cell, pa) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY seed_a, seed_b, cell ORDER BY pb) + (count(*) OVER (PARTITION BY seed_a, seed_b, cell, pb) - 1) / 2.0 AS rb FROM b) SELECT seed_a, seed_b, cell, count(*) AS n_shared, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 5) AS spearman FROM r GROUP BY 1, 2, 3")
 def cross_seed_agreement(spark, sf_dir):
-    s = encode.from_lists(inputs.customer_lists(spark, sf_dir).where("cell % 5 = 0")).select("cell", "token", (F.col("pos") + 1).alias("i"))
+    s = encode.from_lists(inputs.customer_lists(spark, sf_dir)).select("cell", "token", (F.col("pos") + 1).alias("i"))
     f = s.select(F.lit(1).alias("seed"), "cell", "token", F.col("i").cast("bigint").alias("pos")).unionByName(s.select(F.lit(2).alias("seed"), "cell", "token", (F.col("i") + 3 * (F.col("token") % 4)).alias("pos"))).unionByName(s.where("token % 3 <> 0").select(F.lit(3).alias("seed"), "cell", "token", (-F.col("i")).cast("bigint").alias("pos")))
     return chains.seed_agreement(f).withColumn("spearman", F.round("spearman", 5))
 
@@ -131,17 +131,18 @@ def baseline_predictions(spark, sf_dir):
 
 @query()
 def decoder_fit(spark, sf_dir):
-    """A decoder trained by aggregated gradients on embeddings' first coordinates, and its predictions."""
-    e = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("delta_h"))
+    """A decoder trained by aggregated gradients on embeddings, and its predictions."""
+    e = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("delta_h"))
     e = e.withColumn("target", 0.3 * F.tanh(F.col("delta_h")[0] - F.col("delta_h")[1]))
-    w = chains.fit_decoder(e, 4, 0.3, 8, 50.0)
+    w = chains.fit_decoder(e, 64, 0.3, 8, 50.0)
     return e.select("vec_id", "target", chains.decode(F.col("delta_h"), w, 0.3).alias("predicted"))
 
 
-@query("SELECT (0.48 > 0.42) AND (0.31 > 0) AS supported")
+@query("WITH m AS (SELECT l_returnflag AS method, corr(l_quantity, l_extendedprice) AS rho, min(l_quantity) AS low FROM lineitem GROUP BY 1) SELECT coalesce((SELECT rho FROM m WHERE method = 'R') > (SELECT max(rho) FROM m WHERE method <> 'R') AND (SELECT low FROM m WHERE method = 'R') > 0, false) AS supported")
 def direction_verdict(spark, sf_dir):
-    m = spark.createDataFrame([("linear", 0.48, 0.31), ("base_rank", 0.42, 0.0), ("norm", 0.04, -0.1)], "method string, rho double, ci_low double")
-    return chains.direction_verdict(m, "linear", ["base_rank", "norm"])
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    m = lines.groupBy(F.col("l_returnflag").alias("method")).agg(F.corr("l_quantity", "l_extendedprice").alias("rho"), F.min("l_quantity").alias("ci_low"))
+    return chains.direction_verdict(m, "R", ["A", "N"])
 
 
 @query(f"WITH {C_LISTS} SELECT cell, array_to_string(list_transform(range(0, len(ids)), lambda i: format('{{:.4f}}', i / greatest(len(ids) - 1, 1))), ' ') AS norm FROM lists")

@@ -145,7 +145,7 @@ def direction_verdict(spark, sf_dir):
     return chains.direction_verdict(m, "R", ["A", "N"])
 
 
-@query(f"WITH {C_LISTS} SELECT cell, array_to_string(list_transform(range(0, len(ids)), lambda i: format('{{:.4f}}', i / greatest(len(ids) - 1, 1))), ' ') AS norm FROM lists")
+@query(f"WITH {C_LISTS} SELECT cell, array_to_string(list_transform(range(0, len(ids)), lambda i: format('{{:.12f}}', i / greatest(len(ids) - 1, 1))), ' ') AS norm FROM lists")
 def base_rank_norm(spark, sf_dir):
-    norm = F.transform(lists.base_rank_norm(F.col("ids")), lambda x: F.format_string("%.4f", x))
+    norm = F.transform(lists.base_rank_norm(F.col("ids")), lambda x: F.format_string("%.12f", x))
     return inputs.customer_lists(spark, sf_dir).select("cell", F.array_join(norm, " ").alias("norm"))

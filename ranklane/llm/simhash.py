@@ -31,8 +31,10 @@ BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 SIMILAR_WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Documents (about) and shingles of theirs that the prefix filter's order is taken from; it decides what is compared, not what is found.
 SAMPLED, ORDERED = 8_000, 100_000
-#: Numbers of 64 bits in a set's parity sketch, and bits of a large set's wide one at most.
-PARTS, WIDEST = 16, 1 << 20
+#: Numbers of 64 bits in a set's parity sketch, and bits of a large set's wide and fine ones at most.
+PARTS, WIDEST, FINEST = 16, 1 << 20, 1 << 22
+#: Bits a shingle (at least) of a fine sketch, which only sets that are looked up have.
+FINE = 4
 #: Cells of the map of shingles that several sets have; it is as large for any input, and decides only what is shuffled.
 CELLS = 1 << 25
 #: Rows of 40 bytes (about) that may be broadcast.
@@ -160,16 +162,24 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def _parity(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The bits, packed, that an odd number of cells (modulo bits, a power of two) falls on."""
+    return np.packbits(np.bincount(cells & (bits - 1), minlength=bits) & 1)
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of every row of a text column."""
+    """(node, n, fine, shingles) of every row of a text column: the n shingles and a sketch of FINE bits a shingle or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = shingle_set(shingle_hashes(text, words))
-                yield pa.RecordBatch.from_arrays([pa.array([_node(found)], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["node", "shingles"])
+                n = len(found)
+                fine = _parity(found >> 20, min(FINEST, max(64 * PARTS, FINE << (n - 1).bit_length()))).tobytes()
+                arrays = [pa.array([_node(found)], pa.int64()), pa.array([n], pa.int64()), pa.array([fine], pa.binary()), pa.array([found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "fine", "shingles"])
 
-    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return texts.mapInArrow(run, "node bigint, n bigint, fine binary, shingles array<bigint>")
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +217,7 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
                     rank = np.where(common[at] == found, often[at], 0)
                 n = len(found)
                 bits = min(WIDEST, max(64 * PARTS, 1 << (n - 1).bit_length()))
-                wide = np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1)
+                wide = _parity(found, bits)
                 odd = np.bitwise_xor.reduce(wide.view(np.int64).reshape(-1, PARTS))
                 prefix = found[np.lexsort((found, rank))][: n + top * -n // whole + 1] if n else found
                 for column, x in zip(told, (_node(found), _print(blocks), n, odd, prefix, wide.tobytes()), strict=True):
@@ -221,14 +231,15 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
 
 
 def _may(a: Column, b: Column, similarity: Fraction) -> Column:
-    """Whether the sets of two structs (n and the sketch) can be similar enough: what sketches differ in is not common."""
+    """Whether the sets of two structs (n and the sketch) can be similar enough: by their sizes, and what sketches differ in is not common."""
     top, whole = similarity.numerator, similarity.denominator
     apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in _SKETCH), F.lit(0))
-    return apart * (whole + top) <= (whole - top) * (a["n"] + b["n"])
+    sized = F.least(a["n"], b["n"]) * whole >= F.greatest(a["n"], b["n"]) * top
+    return sized & (apart * (whole + top) <= (whole - top) * (a["n"] + b["n"]))
 
 
 def _wide_may(pairs: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b) of the pairs whose wide sketches say that they can be similar enough; the wider one is folded."""
+    """(a, b) of the pairs (a, b, sizes, wide or fine sketches) whose sketches say that they can be similar enough; the wider one is folded."""
     top, whole = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +281,11 @@ def _mapped(one: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, info: DataFrame, similarity: Fraction, words: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough: by their sketches first, then by the sets themselves."""
+    """The pairs (a, b) of nodes whose sets are similar enough: by their sketches first, then by the sets themselves.
+
+    A set goes with each pair that it is compared in, so the fine sketches, which tell nearly all that sets would at a
+    tenth of their bytes, leave few pairs to the sets.
+    """
     of = lambda c: info.select(F.col("node").alias(c), F.col("m").alias(f"m_{c}"))
     pairs = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(_may(F.col("m_a"), F.col("m_b"), similarity)).select("a", "b", F.greatest("m_a.n", "m_b.n").alias("n"))
     pairs = scratch.keep(pairs)
@@ -282,6 +297,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, info: DataFrame, similarity: F
     wanted = _sized(scratch.keep(info.join(ends, "node").select("at.*")))
     texts = rows.alias("r").join(wanted.alias("w"), F.expr("r.tk = w.tk AND r.id <=> w.id"), "left_semi")
     sets, place = scratch.write(_sets(texts.select("text"), words).dropDuplicates(["node"]))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"w_{c}"))
+    pairs = scratch.keep(_wide_may(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "w_a", "w_b"), similarity))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     enough = shared * (similarity.numerator + similarity.denominator) >= similarity.numerator * (F.size("x") + F.size("y"))

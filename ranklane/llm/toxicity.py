@@ -125,7 +125,8 @@ def _trained(drawn: list[bytes], size: int) -> bytes:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, scratch: Scratch, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
     """Fits on about per_class labelled documents of each class; None if a class has none.
 
-    labels may repeat an id, whose largest label counts. Texts that occur more than once count once.
+    labels may repeat an id, whose largest label counts. Texts that occur more than once count once, with the largest of
+    their labels, however the table is partitioned.
     Document frequencies, windows and measures come from Spark jobs over the sample; the driver gets at
     most RANKED fragments and WINDOWS windows of each class, and a few numbers for each sampled document.
     """
@@ -133,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, scratch: Scratc
     drawn = sample_by_label(known.groupBy("id").agg(F.max("label").alias("label")), "label", per_class, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # bounded by per_class, so the sample may be broadcast
-    sample = scratch.keep(texts.join(F.broadcast(drawn), "id").dropDuplicates(["text"]).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("first")))
+    sample = scratch.keep(texts.join(F.broadcast(drawn), "id").groupBy("text").agg(F.max("label").alias("label")).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("first")))
     sizes = {(r.label, r.first): r.n for r in sample.groupBy("label", "first").agg(F.count("*").alias("n")).collect()}
     if any(sizes.get((k, part), 0) == 0 for k in (0, 1) for part in (True, False)):
         return None

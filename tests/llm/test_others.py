@@ -158,6 +158,17 @@ def test_toxic_words_are_found(spark, scratch):
     assert got[2001].predicted == got[2000].predicted == 0
 
 
+def test_toxicity_of_copies(spark, scratch):
+    """Equal texts with both labels count once, as toxic, so the model is the same however the table is partitioned."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("vile", "filth", "scum") if i % 3 == 0 and r.random() < 0.4 else ("tree", "house", "river", "cloud")) for _ in range(60)) for i in range(300)]
+    rows = [(i + 1000 * copy, t) for i, t in enumerate(texts) for copy in (0, 1)]
+    labels = spark.createDataFrame([(i + 1000 * copy, int(i % 3 == 0 and copy == 1)) for i in range(300) for copy in (0, 1)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, seven = ({x.doc_id: x.score for x in toxicity.classify(docs.repartition(n), labels, scratch).collect()} for n in (1, 7))
+    assert one == seven and max(one.values()) > 0.5 > min(one.values())
+
+
 def test_toxicity_without_labels(docs, no_docs, spark, scratch, fixture_rows):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {x.score for x in toxicity.classify(docs, none, scratch).collect()} == {0.0}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ranklane.functions import lists
 from ranklane.operators import profiles
 from ranklane.operators.ranking import average_rank
+from ranklane.sources.shared import kept
 
 
 def run_chain(start: DataFrame, steps: Sequence[tuple[str, Sequence[int]]], rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None, pin: bool = False, on_event: Callable[[str, int, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -123,7 +124,7 @@ def fit_decoder(samples: DataFrame, dims: int, bound: float, epochs: int = 20, r
 
     samples: (delta_h, target). Each epoch is one aggregate of `dims` sums; nothing else comes to the driver.
     """
-    w = np.zeros(dims)
+    w, samples = np.zeros(dims), kept(samples.select("delta_h", "target"))
     for _ in range(epochs):
         p = decode(F.col("delta_h"), w, bound)
         slope = (p - F.col("target")) * (bound - p * p / bound)
@@ -132,10 +133,3 @@ def fit_decoder(samples: DataFrame, dims: int, bound: float, epochs: int = 20, r
             break
         w -= rate * (np.array(sums[1:], float) / sums[0] + smooth * w)
     return w
-
-
-def direction_verdict(methods: DataFrame, candidate: str, required: Sequence[str]) -> DataFrame:
-    """(supported): whether the candidate's rho beats that of all required methods and its partial interval lies above 0. methods: (method, rho, ci_low)."""
-    best = F.max(F.when(F.col("method").isin(*required), F.col("rho")))
-    own, low = F.max(F.when(F.col("method") == candidate, F.col("rho"))), F.max(F.when(F.col("method") == candidate, F.col("ci_low")))
-    return methods.agg(F.coalesce((own > best) & (low > 0), F.lit(False)).alias("supported"))

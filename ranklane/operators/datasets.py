@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklane.operators.ranking import numbered
+
 
 def keep_listed(rows: DataFrame, wanted: Mapping[str, Sequence]) -> DataFrame:
     """Rows whose every named column has one of its listed values."""
@@ -37,12 +39,11 @@ def apply_metadata(rows: DataFrame, rename: Mapping[str, str] | None = None, add
 def train_eval_split(rows: DataFrame, key: str, label: str, train_share: float, order: Column) -> DataFrame:
     """rows with part: the first round(n * share) in the given order are 'train'; others 'eval' if train has their label, else they go.
 
-    The place of the cut comes from a quantile of the order's values, so no global sort is needed: order must be
-    a column of distinct numbers.
+    order must tell all rows apart. Rows are numbered by ranges of it, so the cut is exact and no task sorts them all.
     """
-    numbered = rows.withColumn("_o", order)
-    cut = numbered.agg(F.percentile("_o", F.lit(train_share)).alias("_cut"))
-    parted = numbered.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("_o") <= F.col("_cut"), "train").otherwise("eval")).drop("_o", "_cut")
+    many = rows.agg(F.round(F.count("*") * F.lit(train_share)).alias("_cut"))
+    placed = numbered(rows.withColumn("_o", order), "_o").crossJoin(F.broadcast(many))
+    parted = placed.withColumn("part", F.when(F.col("position") < F.col("_cut"), "train").otherwise("eval")).drop("_o", "_cut", "position")
     known = parted.where("part = 'train'").select(F.col(label).alias("_label")).distinct()
     evals = parted.where("part = 'eval'").join(known, F.col(label) == F.col("_label"), "left_semi")
     return parted.where("part = 'train'").unionByName(evals)

@@ -6,10 +6,14 @@ for each token and task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklane.functions.aggregates import correlation
+from ranklane.operators import sketches
+from ranklane.operators.ranking import numbered, quantiles
 
 
 def norm_pos() -> Column:
@@ -22,6 +26,28 @@ def position_sums(encoded: DataFrame, *by: str) -> DataFrame:
     return encoded.groupBy(*by, "token").agg(F.sum(norm_pos()).alias("sum_norm_pos"), F.count("*").alias("n_cells"))
 
 
+def capped_position_sums(encoded: DataFrame, cells: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """(state, token, sum_norm_pos, n_cells) over at most `most` cells of each state, drawn by a hash of the cell.
+
+    cells: (cell, state), of which only those with a list count. The draw is a mergeable sample, so no state's cells are sorted.
+    """
+    listed = encoded.where("pos = 0").select("cell").join(cells.select("cell", "state"), "cell")
+    return position_sums(encoded.join(sketches.bottom_k(listed, "state", "cell", most, seed), "cell"), "state")
+
+
+def write_positions(encoded: DataFrame, cells: DataFrame, symbols: DataFrame, folder: str, most: int = 3000, states: Mapping[str, str] | None = None) -> None:
+    """Position sums of each state as `<name>_positions` and the vocabulary (token, symbol) as `genes`, as gzipped CSV.
+
+    states: file name by state, such as {"Control": "start"}; each is read, summed and written apart from the others' rows.
+    """
+    sums = capped_position_sums(encoded, cells.where(F.col("state").isin(*states)) if states else cells, most)
+    named = states or {r[0]: r[0] for r in cells.select("state").distinct().collect()}
+    out = lambda df, name: df.coalesce(1).write.mode("overwrite").option("compression", "gzip").csv(f"{folder}/{name}", header=True)
+    for state, name in named.items():
+        out(sums.where(F.col("state") == state).select("token", "sum_norm_pos", "n_cells").orderBy("token"), f"{name}_positions")
+    out(symbols.select("token", "symbol").orderBy("token"), "genes")
+
+
 def merge_position_sums(*parts: DataFrame) -> DataFrame:
     """Partial sums of several runs added up."""
     out = parts[0]
@@ -69,7 +95,8 @@ def observed_delta(control: DataFrame, observed: DataFrame, least: int = 5) -> D
 
 def start_profiles(encoded: DataFrame, totals: DataFrame) -> DataFrame:
     """(token, detection, med_pos): share of cells that have the token, median normalised position there."""
-    seen = encoded.groupBy("token").agg(F.count("*").alias("c"), F.percentile(norm_pos(), F.lit(0.5)).alias("med_pos"))
+    middle = quantiles(encoded.select("token", norm_pos().alias("p")), "p", [0.5], "token").select("token", F.col("quantiles")[0].alias("med_pos"))
+    seen = encoded.groupBy("token").agg(F.count("*").alias("c")).join(middle, "token")
     return seen.crossJoin(F.broadcast(totals)).select("token", (F.col("c") / F.col("n")).alias("detection"), "med_pos")
 
 
@@ -119,9 +146,9 @@ def rank_table(tokens: DataFrame, start: DataFrame, goal: DataFrame, delta: Data
 
 def top_fraction(scores: DataFrame, fraction: float) -> DataFrame:
     """The ceil(fraction * n) lowest scores, ties by token; scores is one row a token."""
-    n = F.count("*").over(Window.partitionBy())
-    rn = F.row_number().over(Window.orderBy("score", "token"))
-    return scores.where("score IS NOT NULL").withColumns({"_n": n, "_rn": rn}).where(F.col("_rn") <= F.ceil(F.col("_n") * fraction)).drop("_n", "_rn")
+    told = scores.where("score IS NOT NULL")
+    many = told.agg(F.count("*").alias("_n"))
+    return numbered(told, "score", "token").crossJoin(F.broadcast(many)).where(F.col("position") < F.ceil(F.col("_n") * fraction)).drop("_n", "position")
 
 
 def align_left(left: DataFrame, right: DataFrame) -> DataFrame:

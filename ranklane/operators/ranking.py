@@ -1,15 +1,20 @@
-"""Ranks, rank correlations, top-k metrics, quotas and samples.
+"""Ranks, rank correlations, quantiles, top-k metrics, quotas and samples.
 
-Windows without a partition only run over aggregates (tokens, terms, bins); values of whole corpora are
-ranked over their distinct values, whose counts are partially aggregated (average_ranks).
+What is ordered over a whole table is dealt by ranges of the order, and sorted and counted range by range; what lies before a range
+comes from the ranges' sums, a row for each. Values are ranked and quantiles found over their distinct values, whose
+counts are partially aggregated. Windows without a partition run over such sums, or over tokens' or groups'
+aggregates, never over rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklane.functions.aggregates import correlation
+from ranklane.sources.shared import kept
 
 
 def average_rank(value: Column | str, *by: str) -> Column:
@@ -18,11 +23,60 @@ def average_rank(value: Column | str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+def running(rows: DataFrame, amount: Column, *order: str | Column) -> DataFrame:
+    """rows with before: the sum of amount over the rows that precede in the order, which must tell all rows apart.
+
+    Rows are dealt by ranges of the order and written; each range is summed, and its rows add to what earlier ranges hold.
+    """
+    dealt = rows.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = kept(dealt)
+    sums = dealt.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    inside = F.coalesce(F.sum("_amount").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_inside", inside).join(F.broadcast(sums.select("_range", earlier.alias("_earlier"))), "_range")
+    return placed.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_range", "_amount", "_inside", "_earlier")
+
+
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with position, from 0, in an order that tells all rows apart."""
+    return running(rows, F.lit(1).cast("bigint"), *order).withColumnRenamed("before", "position")
+
+
 def average_ranks(values: DataFrame, column: str) -> DataFrame:
     """(value, n, rank): average rank of each distinct value over all rows, from a running sum of counts."""
     counts = values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("value", "n", (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
+    return running(counts, F.col("n"), "value").select("value", "n", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
+def with_ranks(rows: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """rows with the average rank of each named column over all rows, under its given name; rows with a null there are left out."""
+    for column, name in ranks.items():
+        told = average_ranks(rows.where(F.col(column).isNotNull()), column).select(F.col("value").alias(column), F.col("rank").alias(name))
+        rows = rows.join(told, column)
+    return rows
+
+
+def quantiles(rows: DataFrame, column: str, shares: Sequence[float], *by: str) -> DataFrame:
+    """(by, quantiles): the exact quantiles of a column over each group, or over all rows, interpolated between neighbours.
+
+    Found among the distinct values in order of group and value; no group's values are gathered. Nulls and NaN are left
+    out; a group without a value has no row, and neither has an empty table.
+    """
+    v = rows.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    counts = v.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = kept(running(counts, F.col("_n"), *by, "_v"))
+    groups = placed.groupBy(*by).agg(F.min("before").alias("_first"), F.sum("_n").alias("_all"))
+    joined = placed.join(groups, list(by)) if by else placed.crossJoin(F.broadcast(groups))  # one row
+    at = F.col("before") - F.col("_first")
+    place = [F.lit(float(q)) * (F.col("_all") - 1) for q in shares]
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil(h) if up else F.floor(h)).alias("k"), (h - F.floor(h)).alias("part")) for i, h in enumerate(place) for up in (False, True)])
+    hit = joined.withColumn("_e", F.explode(F.filter(ends, lambda e: (e["k"] >= at) & (e["k"] < at + F.col("_n")))))
+    of = lambda up: F.max(F.when(F.col("_e.up") == up, F.col("_v")))
+    low, high = of(False), of(True)
+    each = hit.groupBy(*by, F.col("_e.i").alias("_i")).agg((low + (high - low) * F.max("_e.part")).alias("_q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda x: x["_q"]).alias("quantiles")
+    out = each.groupBy(*by).agg(listed)
+    return out if by else out.where(F.size("quantiles") > 0)
 
 
 def spearman_by(rows: DataFrame, a: str, b: str, by: str, least: int = 2) -> DataFrame:
@@ -34,19 +88,40 @@ def spearman_by(rows: DataFrame, a: str, b: str, by: str, least: int = 2) -> Dat
 
 def base_bins(rows: DataFrame, base: str, bins: int) -> DataFrame:
     """rows with bin: how many of the inner quantile edges are at most the base value. The edges are one small row."""
-    edges = rows.agg(F.percentile(base, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges"))
+    edges = quantiles(rows, base, [i / bins for i in range(1, bins)]).withColumnRenamed("quantiles", "_edges")
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_edges", lambda e: e <= F.col(base)))).drop("_edges")
 
 
-def demean(column: Column | str, *by: str) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return column - F.avg(column).over(Window.partitionBy(*by))
+def demeaned(rows: DataFrame, column: str, name: str, *by: str) -> DataFrame:
+    """rows with name: the column less its mean in the group, from means that are aggregated and joined, so no group's rows meet."""
+    means = rows.groupBy(*by).agg(F.avg(column).alias("_mean"))
+    return rows.join(means, list(by)).withColumn(name, F.col(column) - F.col("_mean")).drop("_mean")
+
+
+def partial_of_sums(sums: DataFrame, *by: str) -> DataFrame:
+    """(by, partial): the correlation of p and t without their bins' means, from n, p, t, pp, tt and pt summed over each bin."""
+    part = lambda ab, a, b: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.nullif(F.col("n"), F.lit(0)))
+    size = F.sqrt(F.greatest(part("pp", "p", "p"), F.lit(0.0)) * F.greatest(part("tt", "t", "t"), F.lit(0.0)))
+    return sums.groupBy(*by).agg((part("pt", "p", "t") / F.nullif(size, F.lit(0.0))).alias("partial"))
+
+
+def partial_sums(weight: Column | None = None) -> list[Column]:
+    """The aggregates that partial_of_sums() reads, of columns p and t."""
+    w = F.lit(1) if weight is None else weight
+    p, t = F.col("p"), F.col("t")
+    return [F.sum(w).alias("n"), *[F.sum(w * x).alias(a) for a, x in (("p", p), ("t", t), ("pp", p * p), ("tt", t * t), ("pt", p * t))]]
 
 
 def partial_spearman(rows: DataFrame, pred: str, target: str, base: str, bins: int = 20) -> DataFrame:
-    """(partial): correlation of the ranks of pred and target, both without their mean in a bin of the base rank."""
-    binned = base_bins(rows, base, bins).select("bin", average_rank(pred).alias("p"), average_rank(target).alias("t"))
-    return binned.select(demean("p", "bin").alias("p"), demean("t", "bin").alias("t")).agg(correlation("p", "t").alias("partial"))
+    """(partial): correlation of the ranks of pred and target, both without their mean in a bin of the base rank.
+
+    Ranks are centred on their overall mean before they are squared, which leaves the result as it is and keeps its digits.
+    """
+    binned = base_bins(rows.select(pred, target, base), base, bins)
+    mean = rows.agg(((F.count("*") + 1) / 2.0).alias("_mean"))
+    ranked = with_ranks(binned, {pred: "_p", target: "_t"} if pred != target else {pred: "_p"}).crossJoin(F.broadcast(mean))
+    centred = ranked.select("bin", (F.col("_p") - F.col("_mean")).alias("p"), (F.col("_t" if pred != target else "_p") - F.col("_mean")).alias("t"))
+    return partial_of_sums(centred.groupBy("bin").agg(*partial_sums()))
 
 
 def crossfit_base(rows: DataFrame, token: str, base: str, target: str, bins: int = 20) -> DataFrame:
@@ -58,24 +133,30 @@ def crossfit_base(rows: DataFrame, token: str, base: str, target: str, bins: int
 
 def calibration_bins(rows: DataFrame, pred: str, obs: str, bins: int, tie: str) -> DataFrame:
     """(bin, n, pred_mean, obs_mean): bins of like size in order of the prediction; bin b begins at floor(b n / bins)."""
-    everything = Window.partitionBy()
-    rn, n = F.row_number().over(Window.orderBy(pred, tie)) - 1, F.count("*").over(everything)
-    b = F.floor(((F.col("_rn") + 1) * bins - 1) / F.col("_n")).cast("long")
-    binned = rows.withColumns({"_rn": rn, "_n": n}).withColumn("bin", b)
+    many = rows.agg(F.count("*").alias("_n"))
+    b = F.floor(((F.col("position") + 1) * bins - 1) / F.col("_n")).cast("long")
+    binned = numbered(rows.select(pred, obs, tie), pred, tie).crossJoin(F.broadcast(many)).withColumn("bin", b)
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(pred).alias("pred_mean"), F.avg(obs).alias("obs_mean"))
 
 
 def precision_ndcg(rows: DataFrame, pred: str, obs: str, token: str, k: int, up: bool) -> DataFrame:
-    """(precision, ndcg) of the k most negative (up) or most positive predictions against the observations."""
+    """(precision, ndcg) of the k most negative (up) or most positive predictions against the observations; null for fewer than k rows.
+
+    Each of the three orders is cut to its k first rows by every task before they meet.
+    """
     sign = 1 if up else -1
-    rel = F.greatest(F.lit(0.0), -sign * F.col(obs))
-    ranked = rows.select(
-        F.row_number().over(Window.orderBy(sign * F.col(pred), token)).alias("rp"), F.row_number().over(Window.orderBy(sign * F.col(obs), token)).alias("ro"),
-        F.row_number().over(Window.orderBy(rel.desc(), token)).alias("ri"), rel.alias("rel"),
-    )
-    gain = lambda r: F.sum(F.when(F.col(r) <= k, F.col("rel") / F.log2(F.col(r) + 1)))
-    hits = F.count_if((F.col("rp") <= k) & (F.col("ro") <= k))
-    return ranked.agg(F.when(F.count("*") >= k, hits / float(k)).alias("precision"), F.when((F.count("*") >= k) & (gain("ri") > 0), gain("rp") / gain("ri")).alias("ndcg"))
+    x = rows.select(F.col(token).alias("token"), (sign * F.col(pred)).alias("pred"), (sign * F.col(obs)).alias("obs"), F.greatest(F.lit(0.0), -sign * F.col(obs)).alias("rel"))
+
+    def first(*order: str | Column) -> DataFrame:
+        top = x.orderBy(*order).limit(k)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of k rows
+
+    gain = lambda top: top.agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("gain"))
+    by_pred, by_obs = first("pred", "token"), first("obs", "token")
+    hits = by_pred.join(by_obs.select("token"), "token", "left_semi").agg(F.count("*").alias("hits"))
+    told = x.agg(F.count("*").alias("n")).crossJoin(hits).crossJoin(gain(by_pred)).crossJoin(gain(first(F.desc("rel"), "token")).withColumnRenamed("gain", "ideal"))
+    enough = F.col("n") >= k
+    return told.select(F.when(enough, F.col("hits") / float(k)).alias("precision"), F.when(enough & (F.col("ideal") > 0), F.col("gain") / F.col("ideal")).alias("ndcg"))
 
 
 def bh_adjust(rows: DataFrame, p: str, *by: str, tie: str) -> DataFrame:
@@ -109,7 +190,7 @@ def capped_per_state(cells: DataFrame, states: list[str], most: int) -> DataFram
 
 def stride_shard(cells: DataFrame, shards: int) -> DataFrame:
     """cells with shard: the row number in order of falling length, modulo the number of shards."""
-    return cells.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(F.desc("length"), "cell")) - 1, F.lit(shards)))
+    return numbered(cells, F.desc("length"), "cell").withColumn("shard", F.pmod(F.col("position"), F.lit(shards)).cast("int")).drop("position")
 
 
 def hamilton(groups: DataFrame, total: int) -> DataFrame:
@@ -159,9 +240,9 @@ def split_tokens(token: Column, fraction: float, seed: int) -> Column:
 
 def spread_selection(rows: DataFrame, n: int, longest: bool) -> DataFrame:
     """n rows in order of (length, idx): the longest, or evenly spread from the first to the last."""
-    order = Window.orderBy("length", "idx")
-    r = rows.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy())})
     if longest:
-        return r.where(F.col("_i") >= F.col("_n") - n).drop("_i", "_n")
+        return rows.orderBy(F.desc("length"), F.desc("idx")).limit(n)
+    many = rows.agg(F.count("*").alias("_n"))
+    r = numbered(rows, "length", "idx").crossJoin(F.broadcast(many))
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.rint(j * (F.col("_n") - 1) / F.lit(max(n - 1, 1))).cast("int"))
-    return r.where(F.array_contains(steps, F.col("_i").cast("int"))).drop("_i", "_n")
+    return r.where(F.array_contains(steps, F.col("position").cast("int"))).drop("position", "_n")

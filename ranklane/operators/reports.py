@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranklane.operators import ranking, statistics
+from ranklane.functions import text
+from ranklane.operators import ranking, resampling, statistics
 
 #: Fixed values: (organism of the data, organism of the model) and the mapping between them.
 PAIRS = {("mouse", "human"): "mouse_to_human", ("human", "mouse"): "human_to_mouse", ("drosophila", "human"): "drosophila_to_human", ("drosophila", "mouse"): "drosophila_to_mouse"}
@@ -31,8 +32,9 @@ def gene_aggregate(rows: DataFrame, order: str) -> DataFrame:
 
 
 def variation(value: str) -> Column:
-    """The sample deviation over the size of the mean; null for fewer than two values or a mean of 0."""
-    return F.when(F.count(value) >= 2, F.stddev_samp(value) / F.nullif(F.abs(F.avg(value)), F.lit(0.0)))
+    """The sample deviation over the size of the mean; NaN is left out, and fewer than two values or a mean of 0 give null."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    return F.when(F.count(v) >= 2, F.stddev_samp(v) / F.nullif(F.abs(F.avg(v)), F.lit(0.0)))
 
 
 def gap_closed(baseline: str, method: str, ceiling: str) -> Column:
@@ -69,11 +71,16 @@ def conversion(organism: Column, model: Column) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("no conversion: "), organism, F.lit(" to "), model)).cast("string"))
 
 
-def group_order(rows: DataFrame, group: str, shift: str | None = None, least: int = 1) -> DataFrame:
-    """(group, n, mean_shift, ord): groups of at least that many rows, by falling mean shift, or by frequency without one."""
-    counted = rows.groupBy(group).agg(F.count("*").alias("n"), (F.avg(shift) if shift else F.lit(None).cast("double")).alias("mean_shift")).where(F.col("n") >= least)
-    first = F.desc("mean_shift") if shift else F.desc("n")
-    return counted.withColumn("ord", F.row_number().over(Window.orderBy(first, group)))
+def group_order(rows: DataFrame, group: str, shift: str | None = None, least: int = 2, clusters: bool = False) -> DataFrame:
+    """(group, n, mean_shift, ord): detected types of at least that many rows, by falling mean shift, or by frequency without one.
+
+    Clusters are ordered by frequency, whatever their names and sizes.
+    """
+    named = rows if clusters else rows.where(text.is_label(F.col(group).cast("string")))
+    mean = F.avg(shift) if shift else F.lit(None).cast("double")
+    counted = named.groupBy(group).agg(F.count("*").alias("n"), mean.alias("mean_shift")).where(F.col("n") >= (1 if clusters else max(1, least)))
+    first = F.desc("mean_shift") if shift and not clusters else F.desc("n")
+    return counted.withColumn("ord", F.row_number().over(Window.orderBy(first, group)))  # of groups
 
 
 def lollipop(stats: DataFrame, shift: str, key: str, least: int = 20, top: int = 15) -> DataFrame:
@@ -96,24 +103,21 @@ def fan_out(lists: DataFrame, background: DataFrame, sets: DataFrame, universes:
     fdr is adjusted within each list and library.
     """
     upper = F.upper("symbol").alias("symbol")
-    q = lists.select("list", upper).distinct()
-    names = q.select("list").distinct()
+    q, members = lists.select("list", upper).distinct(), sets.select("library", "term", upper).distinct()
     plain = background.select(upper).distinct()
-    own = universes.select("list", upper).distinct() if universes is not None else q.limit(0)
-    # few lists, so the background is repeated for those without a universe
-    universe = names.join(own.select("list").distinct(), "list", "left_anti").crossJoin(plain).unionByName(own.join(names, "list", "left_semi"))
-    hits = q.join(universe, ["list", "symbol"]).withColumn("hit", F.lit(1))
-    sizes = universe.groupBy("list").agg(F.count("*").alias("n_background")).join(hits.groupBy("list").agg(F.count("*").alias("n_query")), "list")
-    members = sets.select("library", "term", upper).distinct().join(universe, "symbol").join(hits, ["list", "symbol"], "left")
-    terms = members.groupBy("list", "library", "term").agg(F.count("hit").alias("k"), F.count("*").alias("term_size")).where("k > 0").join(sizes, "list")
-    most = sizes.agg(F.max("n_background")).first()[0] or 0
-    lf = statistics.log_factorials(lists.sparkSession, most)
-    each = terms.withColumn("x", F.explode(F.sequence("k", F.least("term_size", "n_query")))).withColumn("rest", F.expr("n_background - term_size - n_query + x")).where("rest >= 0")
-    signed = (("term_size", 1), ("x", -1), ("term_size - x", -1), ("n_background - term_size", 1), ("n_query - x", -1), ("rest", -1), ("n_background", -1), ("n_query", 1), ("n_background - n_query", 1))
-    parts = each.select("list", "library", "term", "x", F.explode(F.array(*[F.struct(F.expr(c).cast("bigint").alias("k"), F.lit(s).alias("s")) for c, s in signed])).alias("f"))
-    logs = parts.select("list", "library", "term", "x", "f.k", "f.s").join(lf, "k").groupBy("list", "library", "term", "x").agg(F.sum(F.col("s") * F.col("lf")).alias("l"))
-    tails = logs.groupBy("list", "library", "term").agg(F.least(F.lit(1.0), F.sum(F.exp("l"))).alias("p"))
-    adjusted = ranking.bh_adjust(terms.join(tails, ["list", "library", "term"]), "p", "list", "library", tie="term")
+    own = universes.select("list", upper).distinct().join(q.select("list").distinct(), "list", "left_semi") if universes is not None else q.limit(0)
+    # lists without a universe of their own share the background: its terms are counted once for all of them
+    shared = q.join(own.select("list").distinct(), "list", "left_anti").join(plain, "symbol", "left_semi")
+    special = q.join(own, ["list", "symbol"], "left_semi")
+    count = lambda df, name, *by: df.groupBy(*by).agg(F.count("*").alias(name))
+    term = ("library", "term")
+    overlaps = lambda hits: count(hits.join(members, "symbol"), "k", "list", *term)
+    of_shared = overlaps(shared).join(count(members.join(plain, "symbol"), "term_size", *term), list(term)).join(count(shared, "n_query", "list"), "list").crossJoin(F.broadcast(count(plain, "n_background")))
+    of_special = overlaps(special).join(count(own.join(members, "symbol"), "term_size", "list", *term), ["list", *term]).join(count(special, "n_query", "list"), "list").join(count(own, "n_background", "list"), "list")
+    columns = ("list", *term, "k", "term_size", "n_query", "n_background")
+    terms = of_shared.select(*columns).unionByName(of_special.select(*columns))
+    p = statistics.upper_tail(F.col("k"), F.col("term_size"), F.col("n_query"), F.col("n_background"))
+    adjusted = ranking.bh_adjust(terms.withColumn("p", p), "p", "list", "library", tie="term")
     return adjusted.withColumn("sig", F.col("fdr") < fdr)
 
 
@@ -126,17 +130,6 @@ def compare_methods(rows: DataFrame, base: str) -> DataFrame:
     return told.crossJoin(F.broadcast(told.where(F.col("method") == base).select(F.col("rho").alias("_base")))).select("method", "n_cells", "rho", (F.col("rho") - F.col("_base")).alias("gain"))
 
 
-def resampled(key: Column, draw: Column, seed: int) -> Column:
-    """How often a cluster is drawn in a bootstrap sample: a Poisson number of mean 1, at most 5, from a hash of seed, draw and key."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    out, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for n in range(5):
-        total += term
-        out = F.when(u >= total, n + 1).otherwise(out)
-        term /= n + 1
-    return out
-
-
 def bootstrap_mean(rows: DataFrame, value: str, clusters: tuple[str, ...], draws: int = 200, seed: int = 7) -> DataFrame:
     """(mean, low, high): the mean and the bounds between which 95 % of the bootstrap means lie, clusters being drawn.
 
@@ -147,7 +140,7 @@ def bootstrap_mean(rows: DataFrame, value: str, clusters: tuple[str, ...], draws
     each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     weight = F.lit(1)
     for i, c in enumerate(clusters):
-        weight = weight * resampled(F.col(c), F.col("draw"), seed + i)
+        weight = weight * resampling.times_drawn(resampling.hashed(F.col(c), F.col("draw"), seed + i))
     means = each.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))  # one value a draw
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(bounds))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranklane.functions.aggregates import correlation
-from ranklane.operators.ranking import average_rank, average_ranks, bh_adjust
+from ranklane.operators.ranking import average_rank, average_ranks, bh_adjust, numbered, quantiles, with_ranks
+from ranklane.sources.shared import kept
 
 
 @F.pandas_udf(T.DoubleType())
@@ -61,17 +62,26 @@ def with_significance(stats: DataFrame, level: float = 0.05) -> DataFrame:
     return bh_adjust(stats.withColumn("p", two_sided_p("z")), "p", tie="gene").withColumn("sig", (F.col("fdr") < level).cast("int"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """(k, lf) for k = 0..most: running sums of logarithms; most is the size of the background."""
-    ks = spark.range(0, most + 1).withColumnRenamed("id", "k")
-    return ks.select("k", F.sum(F.ln(F.greatest(F.col("k"), F.lit(1)))).over(Window.orderBy("k")).alias("lf"))
+def log_factorial(k: Column) -> Column:
+    """ln k! of a whole number: a table up to 15, Stirling's series beyond, off by less than 1e-11 there."""
+    few = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = k.cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(k < 16, F.try_element_at(few, (F.greatest(k, F.lit(0)) + 1).cast("int"))).otherwise(series)
+
+
+def upper_tail(k: Column, size: Column, n: Column, total: Column) -> Column:
+    """The chance of k or more of a set of `size` among n drawn from `total`: a sum over k..min(size, n) within the row."""
+    choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    one = lambda x: F.when(total - size - n + x >= 0, F.exp(choose(size, x) + choose(total - size, n - x) - choose(total, n))).otherwise(0.0)
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(k, F.least(size, n)), F.lit(0.0), lambda s, x: s + one(x)))
 
 
 def over_representation(query: DataFrame, background: DataFrame, sets: DataFrame, min_size: int = 1) -> DataFrame:
     """(term, k, term_size, n_query, n_background, odds, p, genes): one-sided hypergeometric tails of the overlaps.
 
     query and background: (symbol); sets: (term, symbol). Query symbols outside the background do not count;
-    terms without overlap give no row. The tail is summed from log factorials, exploded over k..min(K, n).
+    terms without overlap give no row.
     """
     bg = background.select(F.upper("symbol").alias("symbol")).distinct()
     q = query.select(F.upper("symbol").alias("symbol")).distinct().join(bg, "symbol").withColumn("hit", F.lit(1))
@@ -79,16 +89,10 @@ def over_representation(query: DataFrame, background: DataFrame, sets: DataFrame
     terms = members.groupBy("term").agg(F.count("hit").alias("k"), F.count("*").alias("term_size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.col("symbol")))), ";").alias("genes"))
     sizes = bg.agg(F.count("*").alias("n_background")).crossJoin(F.broadcast(q.agg(F.count("*").alias("n_query"))))
     t = terms.where((F.col("k") > 0) & (F.col("term_size") >= min_size)).crossJoin(F.broadcast(sizes))
-    lf = log_factorials(query.sparkSession, bg.count())
-    each = t.select("term", "term_size", "n_query", "n_background", F.explode(F.sequence("k", F.least("term_size", "n_query"))).alias("x"))
-    # the nine factorials of each tail term, summed with their signs
-    signed = [("term_size", 1), ("x", -1), (F.col("term_size") - F.col("x"), -1), (F.col("n_background") - F.col("term_size"), 1), (F.col("n_query") - F.col("x"), -1), (F.col("n_background") - F.col("term_size") - F.col("n_query") + F.col("x"), -1), ("n_background", -1), ("n_query", 1), (F.col("n_background") - F.col("n_query"), 1)]
-    parts = each.where(F.col("n_background") - F.col("term_size") - F.col("n_query") + F.col("x") >= 0).select("term", "x", F.explode(F.array(*[F.struct((F.col(c) if isinstance(c, str) else c).alias("k"), F.lit(s).alias("s")) for c, s in signed])).alias("f"))
-    logs = parts.select("term", "x", "f.k", "f.s").join(lf, "k").groupBy("term", "x").agg(F.sum(F.col("s") * F.col("lf")).alias("l"))
-    tails = logs.groupBy("term").agg(F.least(F.lit(1.0), F.sum(F.exp("l"))).alias("p"))
+    p = upper_tail(F.col("k"), F.col("term_size"), F.col("n_query"), F.col("n_background"))
     b, c = F.col("n_query") - F.col("k"), F.col("term_size") - F.col("k")
     odds = F.when(b * c == 0, F.lit(float("inf"))).otherwise(F.col("k") * (F.col("n_background") - F.col("n_query") - c) / (b * c))
-    return t.join(tails, "term").select("term", "k", "term_size", "n_query", "n_background", odds.alias("odds"), "p", "genes")
+    return t.select("term", "k", "term_size", "n_query", "n_background", odds.alias("odds"), p.alias("p"), "genes")
 
 
 def profile_metrics(result: DataFrame, reference: DataFrame, fdr: float) -> DataFrame:
@@ -107,8 +111,9 @@ def closeness(rows: DataFrame, d: str, goal: str, top: float = 0.2) -> DataFrame
 
     toward_goal looks at the tokens whose goal change is in the largest `top` share by size and not 0.
     """
-    cut = rows.agg(F.percentile(F.abs(goal), F.lit(1.0 - top)).alias("_cut"))
-    x = rows.select(F.col(d).alias("d"), F.col(goal).alias("g"), average_rank(d).alias("rd"), average_rank(goal).alias("rg")).crossJoin(F.broadcast(cut))
+    named = rows.select(F.col(d).alias("d"), F.col(goal).alias("g"))
+    cut = quantiles(named.select(F.abs("g").alias("g")), "g", [1.0 - top]).select(F.col("quantiles")[0].alias("_cut"))
+    x = with_ranks(named, {"d": "rd", "g": "rg"}).crossJoin(F.broadcast(cut))
     big = (F.abs("g") >= F.col("_cut")) & (F.col("g") != 0)
     dg, gg, dd = F.sum(F.col("d") * F.col("g")), F.nullif(F.sum(F.col("g") * F.col("g")), F.lit(0.0)), F.nullif(F.sum(F.col("d") * F.col("d")), F.lit(0.0))
     gap = F.col("g") - F.col("d")
@@ -120,12 +125,13 @@ def closeness(rows: DataFrame, d: str, goal: str, top: float = 0.2) -> DataFrame
 
 def auc_goal_gain(rows: DataFrame, d: str, goal: str, token: str, fraction: float = 0.1) -> DataFrame:
     """(auc): chance that d of a token of lowest goal change is below that of one of highest, ties counting half."""
-    n = F.count("*").over(Window.partitionBy())
-    x = rows.select(F.col(d).alias("d"), F.row_number().over(Window.orderBy(goal, token)).alias("rn"), n.alias("n")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)))
-    ends = x.where((F.col("rn") <= F.col("k")) | (F.col("rn") > F.col("n") - F.col("k"))).withColumn("r", average_rank("d"))
-    high = F.sum(F.when(F.col("rn") > F.col("n") - F.col("k"), F.col("r")))
+    many = rows.agg(F.count("*").alias("n"))
+    placed = numbered(rows.select(F.col(d).alias("d"), F.col(goal).alias("_goal"), F.col(token).alias("_token")), "_goal", "_token")
+    x = placed.crossJoin(F.broadcast(many)).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * fraction)))
+    ends = x.where((F.col("position") < F.col("k")) | (F.col("position") >= F.col("n") - F.col("k")))
+    high = F.sum(F.when(F.col("position") >= F.col("n") - F.col("k"), F.col("r")))
     k = F.first("k")
-    return ends.agg(((high - k * (k + 1) / 2.0) / (k * k)).alias("auc"))
+    return with_ranks(ends, {"d": "r"}).agg(((high - k * (k + 1) / 2.0) / (k * k)).alias("auc"))
 
 
 def set_means(values: DataFrame, sets: DataFrame, least: int = 10) -> DataFrame:
@@ -187,33 +193,13 @@ def sign_flip_test(diffs: DataFrame, key: str, draws: int) -> DataFrame:
     return hit
 
 
-def bootstrap_partial(rows: DataFrame, pred: str, target: str, bins: str, cell: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """(draw, partial): partial rank correlations of resampled cells, bins fixed beforehand.
-
-    A draw gives each cell a Poisson(1) weight from a hash, so no cell list is gathered; the correlation is that
-    of weighted, bin-demeaned ranks of the full sample, from sums by draw and bin.
-    """
-    ranked = rows.select(cell, F.col(bins).alias("bin"), average_rank(pred).alias("p"), average_rank(target).alias("t"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(cell), F.col("draw")), 11).cast("double") + 0.5) / float(1 << 53)
-    weight = F.lit(0)
-    total, term = 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        term /= k + 1
-        weight = weight + (u >= total).cast("int")
-    x = ranked.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight).where("w > 0")
-    sums = x.groupBy("draw", "bin").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * e).alias(a) for a, e in (("p", F.col("p")), ("t", F.col("t")), ("pp", F.col("p") * F.col("p")), ("tt", F.col("t") * F.col("t")), ("pt", F.col("p") * F.col("t")))])
-    part = lambda ab, a, b: F.sum(F.col(ab) - F.col(a) * F.col(b) / F.col("n"))
-    return sums.groupBy("draw").agg((part("pt", "p", "t") / F.sqrt(part("pp", "p", "p") * part("tt", "t", "t"))).alias("partial"))
-
-
 def mixture(values: DataFrame, column: str, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(means, variances, weights) of two normal components, the lower mean first, by expectation-maximisation.
 
     Each round is one aggregate over the values; six sums come back.
     """
-    v = values.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    lo, hi, var = v.agg(F.percentile("v", F.lit(0.25)), F.percentile("v", F.lit(0.75)), F.var_pop("v")).first()
+    v = kept(values.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
+    (lo, hi), var = quantiles(v, "v", [0.25, 0.75]).first().quantiles, v.agg(F.var_pop("v")).first()[0]
     mean, var, weight = np.array([lo, hi], float), np.array([max(var, 1e-6)] * 2, float), np.array([0.5, 0.5])
     for _ in range(rounds):
         like = [F.lit(float(weight[i] / math.sqrt(var[i]))) * F.exp(-(F.col("v") - float(mean[i])) * (F.col("v") - float(mean[i])) / float(2 * var[i])) for i in (0, 1)]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklane.sources.shared import kept
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -82,7 +84,7 @@ def cluster(rows: DataFrame, vector: str, k_min: int = 2, k_max: int = 6, seed:
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    v = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    v = kept(rows).withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     best = None
     for k in range(k_min, k_max + 1):
         fitted = KMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v)

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from ranklane.plans import encoding, mapping, reports, runs, statistics, vectors  # noqa: E402, F401  they register their queries
+from ranklane.plans import contexts, encoding, mapping, reports, resampling, runs, statistics, vectors  # noqa: E402, F401  they register their queries

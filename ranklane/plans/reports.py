@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ranklane.operators import reports
 from ranklane.plans import inputs
 from ranklane.plans.catalogue import query
+from ranklane.plans.resampling import poisson_sql
 
 
 @query("WITH s AS (SELECT l_partkey AS token, count(*) AS n, avg(l_discount) > 0.05 AS sig FROM lineitem WHERE l_quantity >= 40 GROUP BY 1) SELECT p_partkey AS token, n, coalesce(sig, false) AS sig FROM part LEFT JOIN s ON token = p_partkey")
@@ -94,14 +95,14 @@ o AS (SELECT u.*, least(1.0, p) AS p FROM u JOIN l USING (list, library, term)),
 fd AS (SELECT *, least(1.0, min(p * n / rn) OVER (PARTITION BY list, library ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM adj)"""
 
 
-@query(f"WITH {_LISTS} SELECT list, library, term, k, term_size, n_query, n_background, round(p, 6) AS p FROM fd")
+@query(f"WITH {_LISTS} SELECT list, library, term, k, term_size, n_query, n_background, round(log10(p), 6) AS log_p, round(log10(fdr), 6) AS log_fdr, fdr < 0.05 AS sig FROM fd")
 def ora_fan_out(spark, sf_dir):
     lines, part = inputs.table(spark, sf_dir, "lineitem"), inputs.table(spark, sf_dir, "part")
     symbol = lambda c: F.concat(F.col(c).cast("string"), F.lit("-X")).alias("symbol")
     sets = part.select(F.lit("brand").alias("library"), F.col("p_brand").alias("term"), symbol("p_partkey")).union(part.select(F.lit("size"), F.concat(F.lit("s"), F.col("p_size").cast("string")), symbol("p_partkey")))
     own = lines.where("l_quantity > 30").select(F.lit("N").alias("list"), symbol("l_partkey"))
     out = reports.fan_out(lines.where("l_quantity >= 49").select(F.col("l_returnflag").alias("list"), symbol("l_partkey")), lines.where("l_quantity > 10").select(symbol("l_partkey")), sets, own)
-    return out.select("list", "library", "term", "k", "term_size", "n_query", "n_background", F.round("p", 6).alias("p"))
+    return out.select("list", "library", "term", "k", "term_size", "n_query", "n_background", F.round(F.log10("p"), 6).alias("log_p"), F.round(F.log10("fdr"), 6).alias("log_fdr"), "sig")
 
 
 _RANK = "rank() OVER (PARTITION BY method, cell ORDER BY {v}) + (count(*) OVER (PARTITION BY method, cell, {v}) - 1) / 2.0"
@@ -118,34 +119,11 @@ def method_comparison(spark, sf_dir):
     return reports.compare_methods(rows, "tax").select("method", "n_cells", F.round("rho", 6).alias("rho"), F.round("gain", 6).alias("gain"))
 
 
-def _weight(key: str, seed: int) -> str:
-    u = f"CAST('0x' || substr(md5('{seed}:' || draw || ':' || {key}), 1, 8) AS BIGINT) / 4294967296.0"
-    totals, term = [], 0.36787944117144233
-    for n in range(5):
-        totals.append((totals[-1] if totals else 0.0) + term)
-        term /= n + 1
-    return "(" + " + ".join(f"({u} >= {t!r})::INT" for t in totals) + ")"
-
-
-_DELTA = "lines AS (SELECT l_suppkey AS cell, l_extendedprice AS target, l_quantity AS q, l_tax AS t FROM lineitem), r AS (SELECT cell, " + ", ".join(f"rank() OVER (PARTITION BY cell ORDER BY {v}) + (count(*) OVER (PARTITION BY cell, {v}) - 1) / 2.0 AS r_{v}" for v in ("target", "q", "t")) + " FROM lines), d AS (SELECT cell, corr(r_q, r_target) - corr(r_t, r_target) AS v FROM r GROUP BY 1)"
-
-
 def _bootstrap_sql(head: str, rows: str, keys: str, weight: str) -> str:
     return f"WITH {head}, s AS (SELECT {keys}, sum(v) AS s, count(*) AS n FROM {rows} WHERE v IS NOT NULL GROUP BY ALL), e AS (SELECT *, unnest(range(0, 200)) AS draw FROM s), w AS (SELECT *, {weight} AS w FROM e), m AS (SELECT draw, sum(w * s) / nullif(sum(w * n), 0) AS m FROM w GROUP BY 1) SELECT round((SELECT sum(s) / sum(n) FROM s), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"
 
 
-@query(_bootstrap_sql(_DELTA, "d", "cell", _weight("cell", 7)))
-def bootstrap_delta_rho(spark, sf_dir):
-    """How much better quantity than tax ranks the lines of a cell, with cells drawn again and again."""
-    from ranklane.operators import ranking
-
-    lines = inputs.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "cell")
-    rho = lambda a: ranking.spearman_by(lines, a, "l_extendedprice", "cell").select("cell", F.col("rho").alias(a))
-    both = rho("l_quantity").join(rho("l_tax"), "cell").select("cell", (F.col("l_quantity") - F.col("l_tax")).alias("v"))
-    return reports.bootstrap_mean(both, "v", ("cell",)).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
-
-
-@query(_bootstrap_sql("g AS (SELECT l_suppkey AS cell, l_linenumber AS chain, l_quantity - 25 AS v FROM lineitem WHERE l_returnflag = 'R')", "g", "cell, chain", f"{_weight('cell', 7)} * {_weight('chain', 8)}"))
+@query(_bootstrap_sql("g AS (SELECT l_suppkey AS cell, l_linenumber AS chain, l_quantity - 25 AS v FROM lineitem WHERE l_returnflag = 'R')", "g", "cell, chain", f"{poisson_sql('cell', 'draw', 7)} * {poisson_sql('chain', 'draw', 8)}"))
 def bootstrap_two_way(spark, sf_dir):
     """A gain's mean, with cells and chains drawn independently."""
     g = inputs.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("chain"), (F.col("l_quantity") - 25).alias("v"))

@@ -23,10 +23,10 @@ def metadata_derive(spark, sf_dir):
     return datasets.apply_metadata(c, {"c_mktsegment": "state", "absent": "x"}, {"batch": "study", "cell": "no"}, {"label": ("state", {"BUILDING": "b", "MACHINERY": "m"})})
 
 
-@query("WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS label, o_orderkey * 7919 % 1000003 AS r FROM orders), c AS (SELECT *, CASE WHEN r <= (SELECT quantile_cont(r, 0.8) FROM o) THEN 'train' ELSE 'eval' END AS part FROM o) SELECT k, label, part FROM c WHERE part = 'train' OR label IN (SELECT label FROM c WHERE part = 'train')")
+@query("WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS label, row_number() OVER (ORDER BY o_orderkey * 7919 % 1000003, o_orderkey) - 1 AS r FROM orders), c AS (SELECT k, label, CASE WHEN r < (SELECT round(count(*) * 0.8) FROM o) THEN 'train' ELSE 'eval' END AS part FROM o) SELECT k, label, part FROM c WHERE part = 'train' OR label IN (SELECT label FROM c WHERE part = 'train')")
 def train_eval_split(spark, sf_dir):
     o = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("label"))
-    return datasets.train_eval_split(o, "k", "label", 0.8, F.col("k") * 7919 % 1000003)
+    return datasets.train_eval_split(o, "k", "label", 0.8, F.struct((F.col("k") * 7919 % 1000003).alias("h"), "k"))
 
 
 @query("WITH c AS (SELECT l_suppkey AS cell, count(DISTINCT l_partkey) AS length FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 20) SELECT cell, length, row_number() OVER (ORDER BY length DESC, cell) - 1 AS ord FROM c")
@@ -138,13 +138,6 @@ def decoder_fit(spark, sf_dir):
     return e.select("vec_id", "target", chains.decode(F.col("delta_h"), w, 0.3).alias("predicted"))
 
 
-@query("WITH m AS (SELECT l_returnflag AS method, corr(l_quantity, l_extendedprice) AS rho, min(l_quantity) AS low FROM lineitem GROUP BY 1) SELECT coalesce((SELECT rho FROM m WHERE method = 'R') > (SELECT max(rho) FROM m WHERE method <> 'R') AND (SELECT low FROM m WHERE method = 'R') > 0, false) AS supported")
-def direction_verdict(spark, sf_dir):
-    lines = inputs.table(spark, sf_dir, "lineitem")
-    m = lines.groupBy(F.col("l_returnflag").alias("method")).agg(F.corr("l_quantity", "l_extendedprice").alias("rho"), F.min("l_quantity").alias("ci_low"))
-    return chains.direction_verdict(m, "R", ["A", "N"])
-
-
 @query(f"WITH {C_LISTS} SELECT cell, array_to_string(list_transform(range(0, len(ids)), lambda i: format('{{:.12f}}', i / greatest(len(ids) - 1, 1))), ' ') AS norm FROM lists")
 def base_rank_norm(spark, sf_dir):
     norm = F.transform(lists.base_rank_norm(F.col("ids")), lambda x: F.format_string("%.12f", x))

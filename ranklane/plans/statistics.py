@@ -44,7 +44,8 @@ def _edges(bins: int) -> str:
 
 @query(f"WITH {_edges(20)} SELECT bin, token, round(target - avg(target) OVER (PARTITION BY bin), 6) AS demeaned FROM binned")
 def base_bins_demean(spark, sf_dir):
-    return ranking.base_bins(_parts(spark, sf_dir), "base", 20).select("bin", "token", F.round(ranking.demean("target", "bin"), 6).alias("demeaned"))
+    binned = ranking.base_bins(_parts(spark, sf_dir), "base", 20)
+    return ranking.demeaned(binned, "target", "demeaned", "bin").select("bin", "token", F.round("demeaned", 6).alias("demeaned"))
 
 
 @query(f"WITH {_edges(20)}, r AS (SELECT bin, {_AVG.format(p='1', v='pred')} AS p, {_AVG.format(p='1', v='target')} AS t FROM binned), d AS (SELECT p - avg(p) OVER (PARTITION BY bin) AS p, t - avg(t) OVER (PARTITION BY bin) AS t FROM r) SELECT round(corr(p, t), 6) AS partial FROM d")
@@ -251,14 +252,6 @@ def sign_flip_test(spark, sf_dir):
     return stats.sign_flip_test(d, "cell", 200).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    """Quantiles of resampled partial correlations; the draws are Spark hashes."""
-    lines = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_quantity").alias("pred"), F.col("l_extendedprice").alias("target"), F.col("l_discount").alias("base"))
-    drawn = stats.bootstrap_partial(ranking.base_bins(lines, "base", 5), "pred", "target", "bin", "cell", 50)
-    return drawn.agg(F.count("*").alias("n_boot"), F.percentile("partial", F.lit(0.025)).alias("ci_low"), F.percentile("partial", F.lit(0.975)).alias("ci_high"))
-
-
 @query()
 def mixture_impact(spark, sf_dir):
     """Each gene's mean shift in a mixture of two normals; iterative, so without SQL."""

@@ -6,15 +6,20 @@ All go through Spark's own readers, so paths may lie in any store.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ranklane.operators.digests import lines_digest
+
 #: Names a manifest may have in a study's folder, header spellings, and names that are taken.
 MANIFESTS = ("metadata.tsv", "sample-metadata.tsv", "manifest.tsv")
 ID_HEADERS = ("sample_id", "sampleid")
 PATH_HEADERS = ("filepath", "absolute_filepath")
 RESERVED = ("n_counts", "ensembl_id", "input_ids", "length", "cell_id")
+#: Small files whose content always counts.
+KEY_FILES = ("config.json", "dataset_info.json", "state.json", "tokenizer_config.json", "generation_config.json", "special_tokens_map.json")
 
 
 class ManifestError(ValueError):
@@ -94,7 +99,7 @@ def read_10x(spark: SparkSession, folder: str, sample_id: str, ext: str = "") ->
     m = read_mtx(spark, f"{folder}/matrix.mtx{ext}")
     genes = read_numbered(spark, f"{folder}/features.tsv{ext}").select(F.col("at").alias("row"), F.substring_index(F.col("fields")[0], ".", 1).alias("gene"))
     cells = read_numbered(spark, f"{folder}/barcodes.tsv{ext}").select(F.col("at").alias("col"), F.col("fields")[0].alias("barcode"))
-    j = m.join(F.broadcast(genes), "row").join(cells, "col")
+    j = m.join(genes, "row").join(cells, "col")
     return j.select(F.lit(sample_id).alias("sample_id"), F.concat_ws("_", F.lit(sample_id), "barcode").alias("cell"), "gene", F.col("value").alias("cnt"))
 
 
@@ -139,11 +144,32 @@ def with_missing(frames: list[DataFrame], columns: list[str]) -> DataFrame:
     return out
 
 
-def content_fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a tree: of the sorted (path, SHA-256) lines of its files."""
+def content_fingerprint(spark: SparkSession, path: str, fast: bool = False) -> dict[str, object]:
+    """kind, file_count and content_fingerprint_sha256 of a file or a tree.
+
+    A tree's is the SHA-256 of a line for each file in order of the paths within the tree: the path, a zero byte and the content's
+    SHA-256. fast: sizes and times stand for the contents of all but KEY_FILES, which are then not read. Lines are sorted and
+    joined in parts (digests.lines_digest); a file's content is one row, of 2 GB at most.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    one = files.select(F.concat_ws(" ", F.regexp_replace("path", r"^.*/", ""), F.sha2("content", 256)).alias("line"))
-    return one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h")).first().h
+    if fs.getFileStatus(where).isFile():
+        return {"kind": "file", "file_count": 1, "content_fingerprint_sha256": files.select(F.sha2("content", 256).alias("h")).first().h}
+    root = fs.makeQualified(where).toString().rstrip("/") + "/"
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    named = files.withColumn("rel", F.substring(plain("path"), len(re.sub("^file:/+", "/", root)) + 1, 1 << 20))
+    digest = F.sha2("content", 256)
+    told = lambda df, key, h: df.select(F.concat(key, F.lit("\0"), h).alias("line"))
+    if fast:
+        key = F.concat_ws("|", "rel", F.col("length").cast("string"), F.col("modificationTime").cast("double").cast("string"))
+        is_key = F.lower(F.substring_index("rel", "/", -1)).isin(*KEY_FILES)
+        lines = told(named.where(is_key), key, digest).unionByName(told(named.where(~is_key), key, F.lit("metadata_only")))
+    else:
+        lines = told(named, F.col("rel"), digest)
+    return {"kind": "directory", "file_count": named.select("rel").count(), "fingerprint_mode": "fast" if fast else "full", "content_fingerprint_sha256": lines_digest(lines, F.col("line"))}
 
 
 def write_stats(stats: DataFrame, folder: str, top: int = 100) -> None:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from ranklane.functions import text
-from ranklane.operators import annotate, contracts, encode, keymap, profiles, ranking
+from ranklane.operators import annotate, contracts, datasets, encode, keymap, profiles, ranking, reports
 from ranklane.operators import statistics as stats
 from ranklane.sources import readers
 
@@ -145,7 +147,59 @@ def test_readers(spark, tmp_path):
     assert [tuple(r)[:3] for r in readers.read_relation(spark, f"file://{tmp_path}/o.tsv").collect()] == [("ENSM1", "ENSG1", "ortholog_one2one")]
     (tmp_path / "p.json").write_text('{"types": {"A": {"human": ["X", "Y"]}, "B": {"human": {"core": ["Z"], "anti": ["Q"]}}, "G": {"assign": false, "human": ["W"]}}}')
     assert {tuple(r) for r in readers.read_panel(spark, f"file://{tmp_path}/p.json", "human").collect()} == {("A", "core", "X"), ("A", "core", "Y"), ("B", "core", "Z"), ("B", "anti", "Q")}
-    assert len(readers.content_fingerprint(spark, f"file://{tmp_path}/x")) == 64
+
+
+def test_content_fingerprint(spark, tmp_path):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for name, data in (("b.bin", b"12"), ("sub/a b.txt", b"x"), ("sub/config.json", b"{}"), ("sub0", b"y")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    lines = "".join(f"{name}\0{sha(data)}\n" for name, data in (("b.bin", b"12"), ("sub/a b.txt", b"x"), ("sub/config.json", b"{}"), ("sub0", b"y")))
+    assert readers.content_fingerprint(spark, str(tmp_path)) == {"kind": "directory", "file_count": 4, "fingerprint_mode": "full", "content_fingerprint_sha256": sha(lines.encode())}
+    assert readers.content_fingerprint(spark, f"{tmp_path}/b.bin") == {"kind": "file", "file_count": 1, "content_fingerprint_sha256": sha(b"12")}
+    fast = readers.content_fingerprint(spark, f"file://{tmp_path}", fast=True)
+    (tmp_path / "sub/config.json").write_bytes(b"[]")
+    assert readers.content_fingerprint(spark, str(tmp_path), fast=True)["content_fingerprint_sha256"] != fast["content_fingerprint_sha256"]
+    with pytest.raises(FileNotFoundError):
+        readers.content_fingerprint(spark, f"{tmp_path}/none")
+
+
+def test_variation_and_group_order(spark):
+    x = frame(spark, [(2.0,), (4.0,), (math.nan,), (None,)], "v double")
+    assert math.isclose(x.agg(reports.variation("v").alias("c")).first().c, math.sqrt(2) / 3)
+    rows = frame(spark, [("Unknown", 9.0)] * 5 + [("b", 1.0)] * 3 + [("a", 2.0)] * 2 + [("one", 8.0), ("Ambiguous", 8.0)], "g string, s double")
+    told = lambda df: [r.g for r in df.orderBy("ord").collect()]
+    assert told(reports.group_order(rows, "g", "s")) == ["a", "b"]
+    assert told(reports.group_order(rows, "g")) == ["b", "a"]
+    assert told(reports.group_order(rows, "g", "s", least=1)) == ["one", "a", "b"]
+    assert told(reports.group_order(rows, "g", "s", clusters=True)) == ["Unknown", "b", "a", "Ambiguous", "one"]
+
+
+def test_exact_split(spark):
+    for n in (1, 2, 3, 7, 10, 16):
+        rows = frame(spark, [(i, "x", (i * 7) % 17) for i in range(n)], "k int, label string, o int")
+        parts = {r.k: r.part for r in datasets.train_eval_split(rows, "k", "label", 0.8, F.col("o")).collect()}
+        train = sorted(range(n), key=lambda i: i * 7 % 17)[: math.floor(n * 0.8 + 0.5)]
+        assert {k for k, p in parts.items() if p == "train"} == set(train)
+
+
+def test_upper_tail(spark):
+    """Against sums of exact fractions, from small to large backgrounds."""
+    cases = [(3, 10, 20, 100), (1, 5, 5, 12), (0, 3, 4, 30), (7, 7, 9, 40), (25, 60, 300, 2000), (40, 900, 800, 20_000), (12, 12, 12, 12)]
+    df = frame(spark, cases, "k bigint, s bigint, n bigint, t bigint")
+    for r in df.withColumn("p", stats.upper_tail(F.col("k"), F.col("s"), F.col("n"), F.col("t"))).collect():
+        exact = sum(Fraction(math.comb(r.s, x) * math.comb(r.t - r.s, r.n - x), math.comb(r.t, r.n)) for x in range(r.k, min(r.s, r.n) + 1) if r.n - x <= r.t - r.s)
+        assert math.isclose(r.p, float(exact), rel_tol=1e-8), r
+
+
+def test_lists_without_and_with_universes(spark):
+    """A list with a universe of its own is judged in it, the others in the background; nothing is written out for each list."""
+    lists = frame(spark, [("p", "a"), ("p", "b"), ("p", "zz"), ("o", "a"), ("o", "c"), ("none", "q")], "list string, symbol string")
+    background = frame(spark, [(x,) for x in "abcdefgh"], "symbol string")
+    sets = frame(spark, [("L", "T", x) for x in "abc"] + [("L", "U", "h")], "library string, term string, symbol string")
+    universe = frame(spark, [("o", x) for x in "acd"], "list string, symbol string")
+    got = {(r.list, r.term): (r.k, r.term_size, r.n_query, r.n_background) for r in reports.fan_out(lists, background, sets, universe).collect()}
+    assert got == {("p", "T"): (2, 3, 2, 8), ("o", "T"): (2, 2, 2, 3)}
 
 
 def test_entry_imports():

@@ -103,11 +103,13 @@ def collapse_best(counts: DataFrame, table: DataFrame, n_cells: Column | int) ->
     """
     n = F.lit(n_cells) if isinstance(n_cells, int) else n_cells
     ranked = counts.where("cnt > 0").join(table, counts["gene"] == table["source"]).select("cell", "source", "target", "cnt")
+    # distinct values of a source with their cells, so that no source's cells are sorted
+    values = ranked.groupBy("target", "source", "cnt").agg(F.count("*").alias("_n"))
     per = Window.partitionBy("source")
-    at = n - F.count("*").over(per) + F.row_number().over(per.orderBy("cnt", "cell"))
-    low, high = F.floor((n + 1) / 2), F.floor((n + 2) / 2)
-    placed = ranked.withColumn("at", at)
-    med = placed.groupBy("target", "source").agg((F.sum(F.when(F.col("at") == low, F.col("cnt")).otherwise(0.0)) / 2 + F.sum(F.when(F.col("at") == high, F.col("cnt")).otherwise(0.0)) / 2).alias("m"))
+    upto = n - F.sum("_n").over(per) + F.sum("_n").over(per.orderBy("cnt"))
+    placed = values.withColumn("upto", upto)
+    middle = lambda k: F.sum(F.when((k <= F.col("upto")) & (k > F.col("upto") - F.col("_n")), F.col("cnt")).otherwise(0.0)) / 2
+    med = placed.groupBy("target", "source").agg((middle(F.floor((n + 1) / 2)) + middle(F.floor((n + 2) / 2))).alias("m"))
     best = med.withColumn("_rn", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("m"), "source"))).where("_rn = 1").select("target", "source")
     return ranked.join(best, ["target", "source"]).select("cell", F.col("target").alias("gene"), "cnt")
 

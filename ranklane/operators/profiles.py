@@ -6,6 +6,7 @@ for each token and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ranklane.functions.aggregates import correlation
 from ranklane.operators import sketches
 from ranklane.operators.ranking import numbered, quantiles
+from ranklane.sources.shared import kept
 
 
 def norm_pos() -> Column:
@@ -186,19 +188,28 @@ def stratum(targets: DataFrame, population: DataFrame, least: int = 50, windows:
     """(target, token, rank_window): population tokens whose detection is within half and twice the target's and whose
     rank is near; the window widens until `least` match, last without a limit.
 
-    A band join: both sides are cut into octaves of detection, a target meets its own and both neighbouring
-    octaves, so that only near pairs are compared. Population and targets: (token, detection, rank).
+    A band join on octaves of detection and tenths of the range of ranks: a window's pairs are listed, and only for the
+    targets that no narrower window served; the widest, without a limit, meets by octave alone. Population and targets:
+    (token, detection, rank).
     """
     octave = F.floor(F.log2("detection")).cast("int")
-    p = population.where("detection > 0").select(F.col("token"), F.col("detection").alias("d"), F.col("rank").alias("r"), octave.alias("octave"))
-    t = targets.where("detection > 0").select(F.col("token").alias("target"), F.col("detection").alias("td"), F.col("rank").alias("tr"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("octave"))
-    near = t.join(p, "octave").where((F.col("d") >= F.col("td") / 2) & (F.col("d") <= F.col("td") * 2) & (F.col("token") != F.col("target")))
-    gap = F.abs(F.col("r") - F.col("tr"))
-    per = Window.partitionBy("target")
-    chosen = F.lit(float("inf"))
-    for w in reversed(windows):
-        chosen = F.when(F.count_if(gap <= w).over(per) >= least, F.lit(w)).otherwise(chosen)
-    return near.withColumn("rank_window", chosen).where(gap <= F.col("rank_window")).select("target", "token", "rank_window")
+    p = kept(population.where("detection > 0").select("token", F.col("detection").alias("d"), F.col("rank").alias("r"), octave.alias("octave")))
+    t = kept(targets.where("detection > 0").select(F.col("token").alias("target"), F.col("detection").alias("td"), F.col("rank").alias("tr"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("octave")))
+    near = (F.col("d") >= F.col("td") / 2) & (F.col("d") <= F.col("td") * 2) & (F.col("token") != F.col("target"))
+    out = None
+    for window in (*windows, math.inf):
+        if window < math.inf:
+            cell = lambda r: F.floor(r / window).cast("bigint")
+            dealt = t.withColumn("cell", F.explode(F.array(cell(F.col("tr")) - 1, cell(F.col("tr")), cell(F.col("tr")) + 1)))
+            met = dealt.join(p.withColumn("cell", cell(F.col("r"))), ["octave", "cell"]).where(near & (F.abs(F.col("r") - F.col("tr")) <= window))
+        else:
+            met = t.join(p, "octave").where(near)
+        met = kept(met.select("target", "token"))
+        served = met if window == math.inf else met.join(met.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("target"), "target", "left_semi")
+        some = served.select("target", "token", F.lit(window).alias("rank_window"))
+        out = some if out is None else out.unionByName(some)
+        t = kept(t.join(served.select("target").distinct(), "target", "left_anti"))
+    return out
 
 
 def detection_pool(pool: DataFrame, reference: float, low: float = 0.5, high: float = 2.0) -> DataFrame:

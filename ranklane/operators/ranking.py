@@ -56,6 +56,19 @@ def with_ranks(rows: DataFrame, ranks: dict[str, str]) -> DataFrame:
     return rows
 
 
+def ranks_within(rows: DataFrame, ranks: dict[str, str], *by: str) -> DataFrame:
+    """rows with the average rank of each named column within its group, under its given name; rows with a null there are left out.
+
+    From running counts of the distinct values of all groups in order, so no group is gathered.
+    """
+    for column, name in ranks.items():
+        counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+        placed = kept(running(counts, F.col("_n"), *by, column))
+        first = placed.groupBy(*by).agg(F.min("before").alias("_first"))
+        rows = rows.join(placed.join(first, list(by)).select(*by, column, (F.col("before") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias(name)), [*by, column])
+    return rows
+
+
 def quantiles(rows: DataFrame, column: str, shares: Sequence[float], *by: str) -> DataFrame:
     """(by, quantiles): the exact quantiles of a column over each group, or over all rows, interpolated between neighbours.
 

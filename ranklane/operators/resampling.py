@@ -335,14 +335,8 @@ def base_control(rows: DataFrame, methods: Sequence[str], target: str, token: st
 
 
 def stratum_spearman(binned: DataFrame, pred: str, target: str) -> DataFrame:
-    """(bin, spearman) of each bin's own ranks, from running counts of the distinct values of all bins in order; no bin is gathered."""
-    x = binned.select("bin", F.col(pred).cast("double").alias("_p"), F.col(target).cast("double").alias("_t"))
-    for c in ("_p", "_t"):
-        counts = x.groupBy("bin", c).agg(F.count("*").alias("_n"))
-        placed = kept(ranking.running(counts, F.col("_n"), "bin", c))
-        first = placed.groupBy("bin").agg(F.min("before").alias("_first"))
-        told = placed.join(first, "bin").select("bin", c, (F.col("before") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias(f"{c}r"))
-        x = x.join(told, ["bin", c])
+    """(bin, spearman) of each bin's own ranks; null for fewer than three rows."""
+    x = ranking.ranks_within(binned.select("bin", F.col(pred).cast("double").alias("_p"), F.col(target).cast("double").alias("_t")), {"_p": "_pr", "_t": "_tr"}, "bin")
     return x.groupBy("bin").agg(F.when(F.count("*") >= 3, ranking.correlation("_pr", "_tr")).alias("spearman"))
 
 

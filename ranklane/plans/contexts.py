@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklane.functions import lists
-from ranklane.operators import counterfactuals, encode, profiles, sketches
+from ranklane.operators import closeness, counterfactuals, encode, profiles, sketches
 from ranklane.plans import inputs
 from ranklane.plans.catalogue import query
-from ranklane.plans.inputs import CELLS, ENC
+from ranklane.plans.inputs import CELLS, ENC, GOAL, START, STATES
 
 _X = "x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 
@@ -145,3 +145,56 @@ def evaluation_samples(spark, sf_dir):
     sample = counterfactuals.sampled_keys(ordered, e.select("token", F.lit(0.0).alias("target")), 16)
     out = counterfactuals.evaluation_samples(sample, e, control)
     return out.select("cell", "token", F.round("base_rank", 6).alias("base_rank"), F.posexplode("delta_h").alias("i", "d"), F.round("delta_norm", 6).alias("delta_norm")).select("cell", "token", "base_rank", F.col("i").cast("bigint").alias("i"), F.round("d", 6).alias("delta_h"), "delta_norm")
+
+
+# three states stand for chains, of which one is the configured one
+
+_CHANGES = f"""{STATES}, tab AS (SELECT token, r0.rank AS s, r1.rank AS e FROM r0 JOIN r1 USING (token) WHERE r0.n_cells >= 3 AND r1.n_cells >= 3),
+ch AS (SELECT CASE c.chain WHEN 'AMERICA' THEN 'configured' ELSE c.chain END AS chain, tab.token, round(coalesce(pb.rank, 1.0) - s, 9) AS d, round(e - s, 9) AS g FROM tab CROSS JOIN (SELECT DISTINCT state AS chain FROM pb WHERE state NOT IN ('{START}', '{GOAL}')) c LEFT JOIN pb ON pb.state = c.chain AND pb.token = tab.token),
+sets AS (SELECT 'brand' AS library, p_brand AS term, p_partkey + 4 AS token FROM part UNION ALL SELECT 'size', 's' || p_size, p_partkey + 4 FROM part),
+lv AS (SELECT 'gene' AS level, chain, token, d, g FROM ch UNION ALL SELECT library, chain, NULL, round(avg(d), 9), round(avg(g), 9) FROM ch JOIN sets USING (token) GROUP BY library, term, chain HAVING count(*) >= 10),
+cu AS (SELECT level, chain, quantile_cont(abs(g), 0.8) AS cut FROM lv GROUP BY 1, 2),
+rk AS (SELECT *, rank() OVER (PARTITION BY level, chain ORDER BY d) + (count(*) OVER (PARTITION BY level, chain, d) - 1) / 2.0 AS rd, rank() OVER (PARTITION BY level, chain ORDER BY g) + (count(*) OVER (PARTITION BY level, chain, g) - 1) / 2.0 AS rg FROM lv),
+me AS (SELECT level, chain, sum(d * g) / sum(g * g) AS progress, sum(d * g) / sqrt(sum(d * d) * sum(g * g)) AS cosine, corr(rd, rg) AS spearman, 1 - sqrt(sum((g - d) * (g - d))) / sqrt(sum(g * g)) AS distance_closed, avg((sign(d) = sign(g))::INT) FILTER (WHERE abs(g) >= cut AND g <> 0) AS toward_goal FROM rk JOIN cu USING (level, chain) GROUP BY 1, 2),
+po AS (SELECT chain, d, row_number() OVER (PARTITION BY chain ORDER BY g, token) - 1 AS at_, count(*) OVER (PARTITION BY chain) AS n FROM lv WHERE level = 'gene'), en AS (SELECT chain, d, at_ >= n - ceil(n * 0.1) AS hi, ceil(n * 0.1) AS k FROM po WHERE at_ < ceil(n * 0.1) OR at_ >= n - ceil(n * 0.1)),
+er AS (SELECT *, rank() OVER (PARTITION BY chain ORDER BY d) + (count(*) OVER (PARTITION BY chain, d) - 1) / 2.0 AS r FROM en), au AS (SELECT chain, (sum(r) FILTER (WHERE hi) - any_value(k) * (any_value(k) + 1) / 2) / (any_value(k) * any_value(k)) AS v FROM er GROUP BY 1),
+va AS (SELECT level, m AS metric, chain, v AS value FROM (UNPIVOT me ON progress, cosine, spearman, distance_closed, toward_goal INTO NAME m VALUE v) UNION ALL SELECT 'gene', 'auc_goal_gain', chain, v FROM au)"""
+
+
+def _goal_changes(spark, sf_dir):
+    e = inputs.encoded(spark, sf_dir).join(inputs.cells(spark, sf_dir), "cell")
+    pb = profiles.pseudobulk(profiles.position_sums(e, "state"), profiles.cells_per(e, "state"), "state")
+    of = lambda state, name: pb.where((F.col("state") == state) & (F.col("n_cells") >= 3)).select("token", F.col("rank").alias(name))
+    table = of(START, "start_rank").join(of(GOAL, "goal_rank"), "token")
+    chains = ["AMERICA", "EUROPE", "MIDDLE EAST"]
+    wide = pb.groupBy("token").pivot("state", chains).agg(F.first("rank"))
+    each = table.join(wide, "token").select("token", "start_rank", F.explode(F.array(*[F.struct(F.lit(closeness.CONFIGURED if c == "AMERICA" else c).alias("chain"), F.col(c).alias("r")) for c in chains])).alias("x"))
+    changes = each.select("x.chain", "token", F.round(F.coalesce("x.r", F.lit(1.0)) - F.col("start_rank"), 9).alias("d"))
+    return table.select("token", F.round(F.col("goal_rank") - F.col("start_rank"), 9).alias("g")), changes
+
+
+def _sets(spark, sf_dir):
+    part = inputs.table(spark, sf_dir, "part")
+    symbol = (F.col("p_partkey") + 4).cast("string").alias("symbol")
+    return part.select(F.lit("brand").alias("library"), F.col("p_brand").alias("term"), symbol).unionByName(part.select(F.lit("size").alias("library"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("term"), symbol))
+
+
+def _closeness(spark, sf_dir):
+    goal, changes = _goal_changes(spark, sf_dir)
+    symbols = goal.select("token", F.col("token").cast("string").alias("symbol"))
+    by_key = changes.join(goal, "token").select(F.lit("gene").alias("level"), "chain", "token", "d", "g")
+    by_set = closeness.set_changes(changes, goal, _sets(spark, sf_dir), symbols).select(F.col("library").alias("level"), "chain", F.round("d", 9).alias("d"), F.round("g", 9).alias("g"))
+    return closeness.values_of(by_key, by_set)
+
+
+@query(f"WITH {_CHANGES} SELECT level, metric, chain, round(value, 5) AS value FROM va")
+def closeness_values(spark, sf_dir):
+    """Every metric of the configured chain and of the others, over keys and over two libraries of sets."""
+    return _closeness(spark, sf_dir).withColumn("value", F.round("value", 5))
+
+
+@query(f"""WITH {_CHANGES}, q AS (SELECT level, metric, value FROM va WHERE chain = 'configured'), o AS (SELECT level, metric, value AS v FROM va WHERE chain <> 'configured')
+SELECT level, metric, round(any_value(value), 5) AS value, round(avg(v), 5) AS placebo_mean, round(stddev_samp(v), 5) AS placebo_sd, (1 + count(*) FILTER (WHERE v >= value)) / (1.0 + count(*)) AS p_empirical, count(*) AS n_placebos FROM q JOIN o USING (level, metric) GROUP BY 1, 2""")
+def closeness_summary(spark, sf_dir):
+    out = closeness.against_placebos(_closeness(spark, sf_dir)).drop("z")
+    return out.withColumns({c: F.round(c, 5) for c in ("value", "placebo_mean", "placebo_sd")})

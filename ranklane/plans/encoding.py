@@ -233,7 +233,7 @@ def start_profiles(spark, sf_dir):
 
 def _stratum_sql(least: int) -> str:
     n = lambda w: f"count(*) FILTER (WHERE gap <= {w}) OVER (PARTITION BY target)"
-    return f"""WITH {_PROFILES}, near AS (SELECT t.token AS target, p.token, abs(p.med_pos - t.med_pos) AS gap FROM prof t JOIN prof p ON p.detection >= t.detection / 2 AND p.detection <= t.detection * 2 AND p.token <> t.token WHERE t.token % 50 = 0),
+    return f"""WITH {_PROFILES}, near AS (SELECT t.token AS target, p.token, abs(p.med_pos - t.med_pos) AS gap FROM prof t JOIN prof p ON p.detection >= t.detection / 2 AND p.detection <= t.detection * 2 AND p.token <> t.token),
 w AS (SELECT *, CASE WHEN {n(0.1)} >= {least} THEN 0.1 WHEN {n(0.2)} >= {least} THEN 0.2 WHEN {n(0.3)} >= {least} THEN 0.3 ELSE 9.0 END AS lim FROM near)
 SELECT target, token, lim::DOUBLE AS rank_window FROM w WHERE gap <= lim"""
 
@@ -242,7 +242,7 @@ SELECT target, token, lim::DOUBLE AS rank_window FROM w WHERE gap <= lim"""
 def stratum_band_match(spark, sf_dir):
     e = inputs.in_state(spark, sf_dir, START)
     p = profiles.start_profiles(e, profiles.cells_per(e)).select("token", "detection", F.col("med_pos").alias("rank"))
-    out = profiles.stratum(p.where("token % 50 = 0"), p, 200)
+    out = profiles.stratum(p, p, 200)
     return out.withColumn("rank_window", F.when(F.col("rank_window") > 1, 9.0).otherwise(F.col("rank_window")))
 
 

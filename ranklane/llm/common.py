@@ -6,8 +6,10 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch whose texts are Python objects at once.
+ROWS = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ROWS at a time: a worker's memory follows these, not Spark's batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

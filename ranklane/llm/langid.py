@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklane.llm.common import crc_mod
+from ranklane.llm.common import crc_mod, slices
 
 BUCKETS, GRAMS, DIM = 1 << 13, (2, 3, 4), 16
 #: Labelled documents for each language, and of all languages together, that training draws at most (about; drawn by a hash
@@ -153,7 +154,7 @@ def learn(docs: DataFrame, learnable: Column, *, text_col: str = "text", lang_co
     sample = sample_by_label(labelled, "lang", max(1, min(per_language, SAMPLE // max(1, languages))), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = counts(text)
                 at = np.flatnonzero(c)
@@ -173,12 +174,13 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     struct, so columns of any name are allowed.
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text_at = docs.columns.index(text_col)
     schema = T.StructType([kept.schema["row"], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.predict(t) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = [model.predict(t) for t in pc.struct_field(batch.column(0), [text_at]).to_pylist()]
             arrays = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
 

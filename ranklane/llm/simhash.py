@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklane.llm.common import Scratch, components
+from ranklane.llm.common import Scratch, components, slices
 
 BITS, RADIUS, WORDS, SEED = 64, 2, 3, 42
 #: What keep_similar goes by.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=schema.names)
 
@@ -171,7 +171,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, n, fine, shingles) of every row of a text column: the n shingles and a sketch of FINE bits a shingle or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = shingle_set(shingle_hashes(text, words))
                 n = len(found)
@@ -206,7 +206,7 @@ def _measured(rows: DataFrame, similarity: Fraction, words: int) -> DataFrame:
     top, whole = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             told: list[list] = [[] for _ in range(6)]
             for text in batch.column(2).to_pylist():
                 blocks = list(shingle_hashes(text, words))
@@ -243,7 +243,7 @@ def _wide_may(pairs: DataFrame, similarity: Fraction) -> DataFrame:
     top, whole = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -12,17 +12,25 @@ from ranklane.llm import bpe, langid, mixing, pii, simhash
 from ranklane.llm.catalogue import VOCABULARY
 from ranklane.llm.common import Scratch, table
 
+#: Rows of the batches in which texts go to Python: executors and their workers hold whole ones, and a text may be long.
+BATCH = 1_000
 #: Model training, EM and sampling draw on hashes and numpy, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones and those without a letter go."""
+    _small_batches(spark)
     return langid.identify(docs).where("NOT rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word Jaccard similarities of 0.8 or more connect."""
+    _small_batches(spark)
     return simhash.keep_similar(docs, Scratch(spark))
 
 
@@ -38,6 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, checked by decoding."""
+    _small_batches(spark)
     return bpe.encode(docs, VOCABULARY, keep=("doc_id", "lang", "source"))
 
 

@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklane.operators.ranking import running
+from ranklane.sources.shared import kept
+
 LANES, WIDE = 128, 4
 #: Vectors that are summed at once, so that a very long text needs no more memory than a short one.
 AT_ONCE = 1 << 14
-#: Bytes of text in a slot (about), and slots at most; more bytes than that make larger slots.
-SLOT_BYTES, SLOTS = 64 << 20, 40_000
+#: Bytes of text in a slot (about); it is less where that leaves fewer slots than twice the shuffle partitions.
+SLOT_BYTES = 64 << 20
 
 
 def paragraphs(text: str) -> list[bytes]:
@@ -95,39 +98,32 @@ def fingerprint(text: str) -> Fingerprint:
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(slot, carry, id, text), partitioned by slot and sorted by falling id; every slot ends with carry rows.
 
-    Ids are cut into slots of like size at quantiles; each slot also gets the row that follows its last one,
-    the first row of the next slot (behind the last slot, that of the first one), marked as carry. So every
-    row meets its successor in its own partition, one shuffle moves each text once, and what the driver
-    learns is two numbers for each slot. Null ids come last, equal ids in the order of their text's hash.
+    Rows are put in order by id and their text's hash alone, null ids last, and cut into slots of like numbers of bytes; each slot also
+    gets the row that follows its last one, the first row of the next slot (behind the last slot, that of the first
+    one), marked as carry. So every row meets its successor in its own partition and one shuffle moves each text once. Where slots
+    begin is a table of a row for each, which every task gets: it grows with the bytes, not the plan.
     """
     spark = docs.sparkSession
-    held = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    slots = min(SLOTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SLOT_BYTES)))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    quantiles = rows.select("id").approxQuantile("id", [i / slots for i in range(1, slots)], 0.2 / slots)
-    bounds = sorted({int(b) for b in quantiles})
-    # how many bounds are larger: first among every width-th of them, then among those between two of these
-    falling, width = bounds[::-1], max(1, round(len(bounds) ** 0.5))
-    larger_than = lambda some: F.size(F.filter(some, lambda b: b > F.col("id")))
-    listed = lambda some: F.array(*[F.lit(b) for b in some]).cast("array<bigint>")
-    coarse = larger_than(listed(falling[width - 1 :: width]))
-    larger = coarse * width + larger_than(F.slice(listed(falling), coarse * width + 1, F.lit(width)))
-    rows = rows.withColumn("slot", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(larger))
-    order = F.struct(F.col("id").isNull().alias("n"), (-F.coalesce(F.col("id"), F.lit(0))).alias("k"), F.col("tie").alias("tie"))
-    heads = sorted(((r.slot, r.head) for r in rows.groupBy("slot").agg(F.min(order).alias("head")).collect()), key=lambda x: x[0])
-    # where each slot's first row goes as well: to the slot before; the first slot's to the last one
-    goes = {(None if head.n else -head.k): (head.tie, heads[i - 1][0]) for i, (_, head) in enumerate(heads)}
-    to = F.lit(None).cast("int")
-    if None in goes:
-        to = F.when(F.col("id").isNull() & (F.col("tie") == goes[None][0]), F.lit(goes[None][1])).otherwise(to)
-    named = {k: v for k, v in goes.items() if k is not None}
-    if named:
-        found = F.create_map(*[x for k, (tie, slot) in named.items() for x in (F.lit(k).cast("bigint"), F.struct(F.lit(tie).cast("bigint").alias("tie"), F.lit(slot).alias("slot")))])
-        of_id = F.try_element_at(found, F.col("id"))
-        to = F.when(of_id["tie"] == F.col("tie"), of_id["slot"]).otherwise(to)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    # the complement falls as ids rise, and exists for every id
+    rows = rows.withColumn("o", F.struct(F.col("id").isNull().alias("n"), F.bitwise_not(F.coalesce("id", F.lit(0))).alias("k"), F.xxhash64("text").alias("tie")))
+    light = kept(rows.groupBy("o").agg(F.sum(F.octet_length("text").cast("long") + 64).alias("bytes")))
+    held = light.agg(F.sum("bytes")).first()[0] or 0
+    size = max(1, min(SLOT_BYTES, held // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    firsts = kept(running(light, F.col("bytes"), "o").groupBy(F.floor(F.col("before") / size).alias("s")).agg(F.min("o").alias("o")))
+    number = F.row_number().over(Window.orderBy("o")) - 1  # of slots
+    goes = firsts.select("o", number.alias("at")).withColumn("to", F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.max("at").over(Window.partitionBy())))
+    bounds = firsts.agg(F.array_sort(F.collect_list("o")).alias("bounds")).withColumn("width", F.greatest(F.lit(1), F.round(F.sqrt(F.size("bounds"))).cast("int")))
+    bounds = bounds.withColumn("coarse", F.filter("bounds", lambda b, i: i % F.col("width") == 0))
+    # how many slots begin at a row or before it: first among every width-th, then among those between two of these
+    before = lambda some: F.size(F.filter(some, lambda b: b <= F.col("o")))
+    coarse = F.greatest(before(F.col("coarse")) - 1, F.lit(0)) * F.col("width")
+    slot = coarse + before(F.slice("bounds", coarse + 1, F.col("width"))) - 1
+    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("slot", slot).drop("bounds", "width", "coarse").join(F.broadcast(goes.select("o", "to")), "o", "left")
     targets = F.array_compact(F.array(F.struct("slot", F.lit(0).alias("carry")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("slot"), F.lit(1).alias("carry")))))
-    dealt = rows.withColumn("to", to).select(F.explode(targets).alias("at"), "id", "text", "tie").select("at.*", "id", "text", "tie")
-    return dealt.repartition(slots, "slot").sortWithinPartitions("slot", "carry", F.col("id").desc_nulls_last(), "tie").select("slot", "carry", "id", "text")
+    spread = dealt.select(F.explode(targets).alias("at"), "id", "text", "o").select("at.*", "id", "text", "o")
+    slots = max(1, -(-held // size))
+    return spread.repartition(slots, "slot").sortWithinPartitions("slot", "carry", "o").select("slot", "carry", "id", "text")
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +131,8 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document in falling id order; behind the last comes the first, and a lone document follows itself.
-    A null text is empty; its fingerprint is zero. An empty table gives an empty one.
+    A null text is empty; its fingerprint is zero. Ids are whole numbers; rows of one id, or of none, are in the order of their texts' hashes. An empty
+    table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

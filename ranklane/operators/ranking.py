@@ -240,8 +240,9 @@ def rescued(quotas: DataFrame, total: int) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, quotas: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """rows (with grp), each group's quota drawn by a hash of the key."""
-    drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    """rows (with grp), each group's quota drawn in the order of an md5 of seed and key, so reruns and partitions do not matter."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    drawn = F.row_number().over(Window.partitionBy("grp").orderBy(h, key))
     return rows.withColumn("_rn", drawn).join(quotas.select("grp", "quota"), "grp").where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklane.functions import lists
-from ranklane.operators import closeness, counterfactuals, encode, profiles, sketches
+from ranklane.operators import closeness, counterfactuals, encode, profiles, rerank, sketches, vectors
 from ranklane.plans import inputs
 from ranklane.plans.catalogue import query
 from ranklane.plans.inputs import CELLS, ENC, GOAL, START, STATES
@@ -198,3 +198,61 @@ SELECT level, metric, round(any_value(value), 5) AS value, round(avg(v), 5) AS p
 def closeness_summary(spark, sf_dir):
     out = closeness.against_placebos(_closeness(spark, sf_dir)).drop("z")
     return out.withColumns({c: F.round(c, 5) for c in ("value", "placebo_mean", "placebo_sd")})
+
+
+# reordering: the control's vectors are half as long, turned, and every seventh is missing; a key's logit is its vector's first coordinate
+
+_KEYS = """e AS (SELECT label AS cell, vec_id AS token, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS len FROM embeddings),
+c AS (SELECT *, pos / greatest(len - 1, 1) AS base, CASE WHEN token % 7 <> 0 THEN sqrt(list_dot_product(v, v)) * (1 - (token % 5) / 8.0) ELSE 0 END AS dn, CASE WHEN token % 7 <> 0 THEN v[1] - v[6] * (token % 5) / 8.0 ELSE 0 END AS dl FROM e)"""
+_Z = lambda c: f"CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE 0 END"
+_MOVED = f"""{_KEYS}, pr AS (SELECT 'norm' AS rule, cell, token, pos, base + greatest(-0.2, least(0.2, -0.1 * {_Z('dn')})) AS p FROM c WINDOW w AS (PARTITION BY cell)
+UNION ALL SELECT 'delta_mlm', cell, token, pos, base + greatest(-0.2, least(0.2, -0.1 * {_Z('dl')})) FROM c WINDOW w AS (PARTITION BY cell)
+UNION ALL SELECT 'teacher', cell, token, pos, base + greatest(-0.2, least(0.2, CASE WHEN token % 3 = 0 THEN (token % 11 - 5) / 10.0 ELSE 0 END)) FROM c),
+mv AS (SELECT rule, cell, token, pos, row_number() OVER (PARTITION BY rule, cell ORDER BY round_even(p / 0.01, 0) * 0.01, pos) - 1 AS new FROM pr)"""
+
+
+def _reordered(spark, sf_dir):
+    e = inputs.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cell"), F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vec"))
+    ordered = encode.from_lists(e.groupBy("cell").agg(F.array_sort(F.collect_list("token")).alias("ids")))
+    turned = F.concat(F.slice("vec", 6, 59), F.slice("vec", 1, 5))
+    control = e.where("token % 7 <> 0").withColumn("vec", F.transform(turned, lambda x: x * (F.col("token") % 5) / 8.0))
+    logit = lambda df: df.select("cell", "token", F.col("vec")[0].alias("logit"))
+    delta = e.where("token % 3 = 0").select("token", ((F.col("token") % 11 - 5) / 10.0).alias("delta")).distinct()
+    out = None
+    for rule, rows in (("norm", rerank.state_changes(ordered, e, control)), ("delta_mlm", rerank.logit_changes(ordered, logit(e), logit(control))), ("teacher", rerank.with_teacher(ordered, delta))):
+        some = rerank.reorder(rows, rerank.shift_of(rule, 0.1, 0.2), 0.01).withColumn("rule", F.lit(rule))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@query(f"WITH {_MOVED} SELECT rule, cell, string_agg(token::VARCHAR, ',' ORDER BY new) AS ids FROM mv GROUP BY 1, 2")
+def reranked_lists(spark, sf_dir):
+    """Every cell's list in the order that three rules give it."""
+    return _reordered(spark, sf_dir).select("rule", "cell", F.array_join("after", ",").alias("ids"))
+
+
+@query(f"""WITH {_MOVED}, cl AS (SELECT rule, cell, 1 - 6 * sum((new - pos) * (new - pos)) / (count(*) * (count(*) * count(*) - 1.0)) AS rho, avg(abs(new - pos)) AS d, avg((new <> pos)::INT) AS f, count(*) FILTER (WHERE new < 10 AND pos < 10) / (20.0 - count(*) FILTER (WHERE new < 10 AND pos < 10)) AS j FROM mv GROUP BY 1, 2)
+SELECT rule, count(*) AS n_cells, round(avg(rho), 6) AS spearman, round(avg(d), 6) AS mean_abs_displacement, round(avg(f), 6) AS frac_moved, round(avg(j), 6) AS top_jaccard FROM cl GROUP BY 1""")
+def rerank_diagnostics(spark, sf_dir):
+    moved, out = _reordered(spark, sf_dir), None
+    for rule in ("norm", "delta_mlm", "teacher"):
+        some = rerank.diagnostics(moved.where(F.col("rule") == rule), 10).select(F.lit(rule).alias("rule"), "*")
+        out = some if out is None else out.unionByName(some)
+    return out.select("rule", "n_cells", *[F.round(c, 6).alias(c) for c in ("spearman", "mean_abs_displacement", "frac_moved", "top_jaccard")])
+
+
+@query("""WITH e AS (SELECT label AS cell, vec_id AS token, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS len FROM embeddings),
+x AS (SELECT *, unnest(range(64)) AS i FROM e), g AS (SELECT i, avg(v[i + 1]) AS g FROM x WHERE cell = 0 GROUP BY i),
+r AS (SELECT cell, token, len, row_number() OVER (PARTITION BY cell ORDER BY pos) AS rn FROM e WHERE token NOT IN (3, 14, 159)), k AS (SELECT cell, token FROM r WHERE rn <= len - 3),
+m AS (SELECT x.cell, x.i, avg(v[i + 1]) FILTER (WHERE k.token IS NOT NULL) AS ao, avg(v[64 - i]) FILTER (WHERE k.token IS NOT NULL) AS ap, avg(v[i + 1]) AS mo, avg(v[64 - i]) FILTER (WHERE pos >= 2) AS mp FROM x LEFT JOIN k ON k.cell = x.cell AND k.token = x.token GROUP BY 1, 2)
+SELECT cell, round(sum(ap * g) / sqrt(sum(ap * ap) * sum(g * g)) - sum(ao * g) / sqrt(sum(ao * ao) * sum(g * g)), 5) AS aligned, round(sum(mp * g) / sqrt(sum(mp * mp) * sum(g * g)) - sum(mo * g) / sqrt(sum(mo * mo) * sum(g * g)), 5) AS pooled FROM m JOIN g USING (i) GROUP BY cell""")
+def goal_state_shifts(spark, sf_dir):
+    """Cells' shifts to the goal state (the mean of cell 0) after an edit, over the keys in both contexts and over whole lists."""
+    e = inputs.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cell"), F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vec"))
+    cells = e.groupBy("cell").agg(F.array_sort(F.collect_list("token")).alias("ids"))
+    goal = vectors.mean_vectors(e.where("cell = 0"), "cell", "vec").select("vec")
+    after = e.withColumn("vec", F.reverse("vec"))
+    aligned = rerank.aligned_goal_shift(cells, e, after, goal, (3, 14, 159), "overexpress").withColumnRenamed("goal_state_shift", "aligned")
+    placed = lambda df: encode.from_lists(cells).join(df, ["cell", "token"])
+    pooled = rerank.mean_goal_shift(placed(e), placed(after), goal, 2).withColumnRenamed("goal_state_shift", "pooled")
+    return aligned.join(pooled, "cell").select("cell", F.round("aligned", 5).alias("aligned"), F.round("pooled", 5).alias("pooled"))

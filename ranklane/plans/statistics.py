@@ -285,7 +285,7 @@ def hamilton_quota(spark, sf_dir):
     return ranking.hamilton(_groups(spark, sf_dir), 77)
 
 
-@query()
+@query(f"WITH {_HAM}, d AS (SELECT p_partkey, p_brand AS grp, row_number() OVER (PARTITION BY p_brand ORDER BY md5('0:' || p_partkey), p_partkey) AS rn FROM part) SELECT d.grp, p_partkey FROM d JOIN q USING (grp) WHERE rn <= quota")
 def stratified_sample(spark, sf_dir):
     """77 parts by brand quotas, drawn by hashes (the sample is the feature)."""
     rows = inputs.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"))

@@ -208,18 +208,18 @@ def pseudobulk_rank(spark, sf_dir):
 
 @query(f"WITH {STATES} SELECT token, round(coalesce(r1.rank, 1.0) - coalesce(r0.rank, 1.0), 6) AS delta FROM r0 FULL JOIN r1 USING (token)")
 def displacement_outer(spark, sf_dir):
-    return profiles.displacement(inputs.ranks(spark, sf_dir, START), inputs.ranks(spark, sf_dir, GOAL)).withColumn("delta", F.round("delta", 6))
+    return profiles.displacement(*inputs.ranks_of(spark, sf_dir, START, GOAL)).withColumn("delta", F.round("delta", 6))
 
 
 @query(f"WITH {STATES} SELECT token FROM r0 WHERE n_cells >= 3 INTERSECT SELECT token FROM r1 WHERE n_cells >= 3")
 def background_both(spark, sf_dir):
-    return profiles.background(inputs.ranks(spark, sf_dir, START), inputs.ranks(spark, sf_dir, GOAL), 3)
+    return profiles.background(*inputs.ranks_of(spark, sf_dir, START, GOAL), 3)
 
 
 @query(f"WITH {STATES} SELECT token FROM (SELECT token FROM r0 WHERE n_cells >= 3 UNION SELECT token FROM r1 WHERE n_cells >= 3) WHERE token NOT IN (10, 20, 30)")
 def background_either(spark, sf_dir):
     out = spark.createDataFrame([(10,), (20,), (30,)], "token bigint")
-    return profiles.background(inputs.ranks(spark, sf_dir, START), inputs.ranks(spark, sf_dir, GOAL), 3, "either", out)
+    return profiles.background(*inputs.ranks_of(spark, sf_dir, START, GOAL), 3, "either", out)
 
 
 _PROFILES = f"{STATES}, prof AS (SELECT token, count(*) / (SELECT n FROM tot WHERE state = '{START}') AS detection, quantile_cont(pos / greatest(len - 1, 1), 0.5) AS med_pos FROM es WHERE state = '{START}' GROUP BY token)"
@@ -306,7 +306,7 @@ def loo_contrast(spark, sf_dir):
 SELECT token, round(coalesce(r0.rank, 1.0), 6) AS start_rank, round(coalesce(r1.rank, 1.0), 6) AS goal_rank, round(coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS delta_spec, round(coalesce(r0.rank, 1.0) + coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS predicted_rank
 FROM bg LEFT JOIN r0 USING (token) LEFT JOIN r1 USING (token) LEFT JOIN ds USING (token)""")
 def rank_table(spark, sf_dir):
-    r0, r1 = inputs.ranks(spark, sf_dir, START), inputs.ranks(spark, sf_dir, GOAL)
+    r0, r1 = inputs.ranks_of(spark, sf_dir, START, GOAL)
     out = profiles.rank_table(profiles.background(r0, r1, 3), r0, r1, profiles.delta_spec(*_swap(_chains(spark, sf_dir))))
     return out.select("token", *[F.round(c, 6).alias(c) for c in ("start_rank", "goal_rank", "delta_spec", "predicted_rank")])
 

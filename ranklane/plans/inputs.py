@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklane.operators import encode, profiles
+from ranklane.sources.shared import kept
 
 START, GOAL = "AFRICA", "ASIA"
 #: Keys that a list keeps at most.
@@ -74,6 +75,13 @@ def ranks(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
     return profiles.pseudobulk(profiles.position_sums(e), profiles.cells_per(e))
 
 
+def ranks_of(spark: SparkSession, sf_dir: str, *states: str) -> list[DataFrame]:
+    """ranks() of several states, from lists that are encoded once; a row for each state and token is written."""
+    e = encoded(spark, sf_dir).join(cells(spark, sf_dir).where(F.col("state").isin(*states)), "cell")
+    every = kept(profiles.pseudobulk(profiles.position_sums(e, "state"), profiles.cells_per(e, "state"), "state"))
+    return [every.where(F.col("state") == s).drop("state") for s in states]
+
+
 def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, cell, shift): a stand-in for cosine shifts, one for each order line."""
     lines = table(spark, sf_dir, "lineitem")

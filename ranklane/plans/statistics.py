@@ -192,7 +192,8 @@ _CLOSE = f"{STATES}, x AS (SELECT token, coalesce(r1.rank, 1.0) - coalesce(r0.ra
 
 
 def _close(spark, sf_dir):
-    r0, r1, r2 = (inputs.ranks(spark, sf_dir, s).select("token", F.col("rank").alias(n)) for s, n in ((START, "s"), (GOAL, "g"), ("EUROPE", "o")))
+    states = inputs.ranks_of(spark, sf_dir, START, GOAL, "EUROPE")
+    r0, r1, r2 = (r.select("token", F.col("rank").alias(n)) for r, n in zip(states, ("s", "g", "o"), strict=True))
     j = r0.join(r1, "token", "full").join(r2, "token", "full")
     one = F.lit(1.0)
     return j.select("token", (F.coalesce("g", one) - F.coalesce("s", one)).alias("g"), (F.coalesce("o", one) - F.coalesce("s", one)).alias("d"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,6 +173,55 @@ def content_fingerprint(spark: SparkSession, path: str, fast: bool = False) -> d
     return {"kind": "directory", "file_count": named.select("rel").count(), "fingerprint_mode": "fast" if fast else "full", "content_fingerprint_sha256": lines_digest(lines, F.col("line"))}
 
 
+def write_conversion_report(report: DataFrame, unmapped: DataFrame, folder: str, most: int = 50_000) -> None:
+    """conversion_report (JSON lines and text, a row for each file and one for all) and conversion_unmapped_genes (TSV).
+
+    report: of keymap.conversion_report(); unmapped: (source_id, symbol, drop_reason, brief_function), of which the first `most` by id are
+    written; without any there is no such file.
+    """
+    report.coalesce(1).write.mode("overwrite").json(f"{folder}/conversion_report.json")
+    named = F.coalesce(F.col("file").cast("string"), F.lit("all files"))
+    told = F.format_string("%s: %d keys, %d mapped (%.2f %%), %d unmapped, %d targets, %d of them from several keys, %d in the vocabulary", named, "n_input", "n_mapped", "pct_mapped", "n_unmapped", "n_targets", "n_many_to_one", "n_in_vocab")
+    report.orderBy(F.col("file").asc_nulls_first()).select(told.alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/conversion_report.txt")
+    if not unmapped.isEmpty():
+        columns = ("source_id", "symbol", "drop_reason", "brief_function")
+        kept_rows = unmapped.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns]).orderBy("source_id").limit(most)
+        kept_rows.coalesce(1).write.mode("overwrite").csv(f"{folder}/conversion_unmapped_genes.tsv", sep="\t", header=True, emptyValue="")
+
+
+@dataclass(frozen=True)
+class Libraries:
+    """What a gene-set folder's libraries.json says: labels by name, and the names that a species takes by default."""
+
+    labels: dict[str, str]
+    defaults: dict[str, list[str]]
+
+    def default(self, species: str) -> list[str]:
+        """Mouse data take the mouse libraries, all others the human ones."""
+        return list(self.defaults["mouse" if species.lower().startswith("mouse") else "human"])
+
+    def label(self, name: str) -> str:
+        """The library's label, or its name with spaces."""
+        return self.labels.get(name) or name.replace("_", " ")
+
+
+def read_libraries(spark: SparkSession, folder: str) -> Libraries:
+    """The libraries.json of a folder; one small document."""
+    told = json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/libraries.json").collect()))
+    return Libraries({k: str(v.get("label") or "") for k, v in told.get("libraries", {}).items()}, told["default_by_species"])
+
+
+def read_default_sets(spark: SparkSession, folder: str, species: str) -> DataFrame:
+    """(library, term, symbol) of the libraries that a species takes by default, each a GMT file of its name."""
+    out = None
+    for name in read_libraries(spark, folder).default(species):
+        some = read_gmt(spark, f"{folder}/{name}.gmt").select(F.lit(name).alias("library"), "term", "symbol")
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        raise ValueError(f"no default library for {species!r}")
+    return out
+
+
 def write_stats(stats: DataFrame, folder: str, top: int = 100) -> None:
     """The statistics table as Parquet and CSV, its significant rows, and its highest and lowest shifts."""
     stats.write.mode("overwrite").parquet(f"{folder}/stats.parquet")

@@ -164,6 +164,29 @@ def test_content_fingerprint(spark, tmp_path):
         readers.content_fingerprint(spark, f"{tmp_path}/none")
 
 
+def test_conversion_report_is_written(spark, tmp_path):
+    keys = frame(spark, [("f1", "a"), ("f1", "b"), ("f2", "b"), ("f2", "c")], "file string, key string")
+    report = keymap.conversion_report(keys, frame(spark, [("a", "T1"), ("b", "T1")], "key string, target string"), frame(spark, [("T1",)], "gene string"))
+    unmapped = frame(spark, [("z", None, "no_ortholog", "x"), ("c", "C", None, None)], "source_id string, symbol string, drop_reason string, brief_function string")
+    readers.write_conversion_report(report, unmapped, str(tmp_path), most=1)
+    told = [r.value for r in spark.read.text(f"{tmp_path}/conversion_report.txt").collect()]
+    assert told[0] == "all files: 3 keys, 2 mapped (66.67 %), 1 unmapped, 1 targets, 1 of them from several keys, 1 in the vocabulary" and len(told) == 3
+    assert {(r.file, r.n_input) for r in spark.read.json(f"{tmp_path}/conversion_report.json").collect()} == {(None, 3), ("f1", 2), ("f2", 2)}
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/conversion_unmapped_genes.tsv", sep="\t", header=True).collect()] == [("c", "C", None, None)]
+    readers.write_conversion_report(report, unmapped.limit(0), f"{tmp_path}/none")
+    assert not (tmp_path / "none/conversion_unmapped_genes.tsv").exists()
+
+
+def test_libraries(spark, tmp_path):
+    (tmp_path / "libraries.json").write_text('{"libraries": {"GO_x": {"label": "Ontology"}, "KEGG_2": {}}, "default_by_species": {"human": ["GO_x", "KEGG_2"], "mouse": ["GO_x"]}}')
+    (tmp_path / "GO_x.gmt").write_text("T1\t\ta\tb\n")
+    (tmp_path / "KEGG_2.gmt").write_text("T2\t\tc\n")
+    told = readers.read_libraries(spark, str(tmp_path))
+    assert (told.label("GO_x"), told.label("KEGG_2"), told.label("a_b")) == ("Ontology", "KEGG 2", "a b")
+    assert told.default("Mouse") == ["GO_x"] and told.default("drosophila") == ["GO_x", "KEGG_2"]
+    assert {tuple(r) for r in readers.read_default_sets(spark, str(tmp_path), "human").collect()} == {("GO_x", "T1", "A"), ("GO_x", "T1", "B"), ("KEGG_2", "T2", "C")}
+
+
 def test_variation_and_group_order(spark):
     x = frame(spark, [(2.0,), (4.0,), (math.nan,), (None,)], "v double")
     assert math.isclose(x.agg(reports.variation("v").alias("c")).first().c, math.sqrt(2) / 3)

@@ -8,10 +8,10 @@ backward search extends every window word by word to the left, giving up where o
 left, and reports the suffix interval of those that reach WINDOW words; the smallest document in the
 interval is where the window starts first.
 
-An anchor that very many different segments share (a line that many documents quote) would fill its shard, so
-its windows are routed by themselves: those whose hash occurs in several documents are compared word by word,
-with partial aggregation, so that each different one is kept once with its smallest document, and goes to
-the shard of its own hash.
+An anchor that very many different segments share (a line that many documents quote) would fill its shard. Its
+segments are cut again by longer anchors, GRAMS one after another, until what an anchor holds fits: equal windows
+share these as well, and windows whose anchor is in one document only are out. The longest anchor is the window. What is found for the pieces
+is put together for the segments they were cut from.
 """
 
 from __future__ import annotations
@@ -29,15 +29,13 @@ from pyspark.sql import types as T
 
 from ranklane.llm.common import Scratch
 
-WINDOW, GRAM = 50, 8
-#: Windows in a segment at most.
-RUN = WINDOW - GRAM + 1
-#: Different segments of an anchor beyond which its windows are sorted out one by one.
-CROWDED = 100
+WINDOW = 50
+#: Words of an anchor: at first, and where one holds too much.
+GRAMS = (8, 30, 44, WINDOW)
 #: Documents whose results are sent on at once.
 DOCS = 64
-#: Words in a shard (about).
-SHARD_WORDS = 100_000
+#: Words in a shard (about), and different words in order that an anchor may hold there.
+SHARD_WORDS, ROOM = 100_000, 25_000
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -66,22 +64,22 @@ class WordHashes:
         return h
 
 
-def segments(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(words: list[bytes], gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, content hash, first word, windows) of each segment of a text of WINDOW words or more."""
-    hashes = WordHashes(words)
-    low = hashes.of(np.arange(len(words) - GRAM + 1), GRAM)
+    hashes, run = WordHashes(words), WINDOW - gram + 1  # windows in a segment at most
+    low = hashes.of(np.arange(len(words) - gram + 1), gram)
     width = 1
-    while 2 * width <= RUN:
+    while 2 * width <= run:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    rest = RUN - width
+    rest = run - width
     low = np.minimum(low[: len(low) - rest], low[rest:])
     fresh = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     sizes = np.diff(np.append(fresh, len(low)))
-    if (sizes > RUN).any():  # a gram that repeats in the text makes long runs
-        pieces = -(-sizes // RUN)
-        fresh = np.concatenate([f + RUN * np.arange(p) for f, p in zip(fresh.tolist(), pieces.tolist(), strict=True)])
-        sizes = np.minimum(np.diff(np.append(fresh, len(low))), RUN)
+    if (sizes > run).any():  # a gram that repeats in the text makes long runs
+        pieces = -(-sizes // run)
+        fresh = np.concatenate([f + run * np.arange(p) for f, p in zip(fresh.tolist(), pieces.tolist(), strict=True)])
+        sizes = np.minimum(np.diff(np.append(fresh, len(low))), run)
     return low[fresh].view(np.int64), hashes.of(fresh, sizes + WINDOW - 1).view(np.int64), fresh.astype(np.int32), sizes.astype(np.int32)
 
 
@@ -190,52 +188,57 @@ def _ranges(starts: np.ndarray) -> list[dict[str, int]]:
 _RANGES = "array<struct<`from`:int,to:int,doc:bigint>>"
 
 
-def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(mz, key, lo, hi, n, crowded, content): the words of the wanted parts of documents, joined by one space.
+def _cut_out(texts: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """(mz, key, lo, hi, n, content): the words of the wanted parts of texts, joined by one space.
 
-    wanted: doc, th and parts, an array of (mz, key, lo, hi, start, n, crowded).
+    texts: the columns `on` and text; wanted: the same and parts, an array of (mz, key, lo, hi, start, n).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
             rows = []
             for text, parts in zip(batch["text"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-                words = text.encode("utf-8").split()
-                rows += [(p["mz"], p["key"], p["lo"], p["hi"], p["n"], p["crowded"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])) for p in parts]
+                words = text.split()
+                rows += [(p["mz"], p["key"], p["lo"], p["hi"], p["n"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_CUT.values())], names=list(_CUT))
 
-    return texts.join(wanted, ["doc", "th"]).select("text", "parts").mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, n int, crowded boolean, content binary")
+    joined = texts.join(wanted, list(on)).select(F.col("text").cast("binary").alias("text"), "parts")
+    return joined.mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, n int, content binary")
 
 
-_CUT = {"mz": pa.int64(), "key": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "n": pa.int32(), "crowded": pa.bool_(), "content": pa.binary()}
+_CUT = {"mz": pa.int64(), "key": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "n": pa.int32(), "content": pa.binary()}
 
 
-def _window_hashes(cut_out: DataFrame) -> DataFrame:
-    """(mz, key, lo, hi, i, wh) of each window of parts that were cut out."""
+def _cut_again(contents: DataFrame, gram: int) -> DataFrame:
+    """(mz0, key0, mz, key, lo, hi, start, n): the segments of contents (mz, key, lo, hi, content) by anchors of gram words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch["n"].to_numpy()
-            hashes = [WordHashes(c.split()).of(np.arange(k), WINDOW).view(np.int64) for c, k in zip(batch["content"].to_pylist(), n.tolist(), strict=True)]
-            columns = [pa.array(np.repeat(batch[c].to_numpy(), n)) for c in ("mz", "key", "lo", "hi")]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(inside.astype(np.int32)), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)]))], names=["mz", "key", "lo", "hi", "i", "wh"])
+        for batch in (b.slice(at, DOCS) for b in batches for at in range(0, b.num_rows, DOCS)):
+            cut = [segments(c.split(), gram) for c in batch["content"].to_pylist()]
+            many = [len(c[0]) for c in cut]
+            of = lambda name: pa.array(np.repeat(batch[name].to_numpy(), many))  # noqa: B023, E731
+            own = [pa.array(np.concatenate([c[i] for c in cut])) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([of("mz"), of("key"), own[0], own[1], of("lo"), of("hi"), own[2], own[3]], names=["mz0", "key0", "mz", "key", "lo", "hi", "start", "n"])
 
-    return cut_out.select("mz", "key", "lo", "hi", "n", "content").mapInArrow(run, "mz bigint, key bigint, lo bigint, hi bigint, i int, wh bigint")
+    return contents.select("mz", "key", "lo", "hi", "content").mapInArrow(run, "mz0 bigint, key0 bigint, mz bigint, key bigint, lo bigint, hi bigint, start int, n int")
 
 
 def _index(contents: DataFrame, shards: int) -> DataFrame:
-    """(mz, key, wh2, window, found): each content's windows' smallest documents, shard by shard."""
+    """(depth, mz, key, found): each content's windows' smallest documents, shard by shard."""
 
     def run(table: pa.Table) -> pa.Table:
         found = first_starts(table["content"].to_pylist(), table["lo"].to_numpy())
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("doc", pa.int64())]))
-        return pa.table({"mz": table["mz"], "key": table["key"], "wh2": table["wh2"], "window": table["window"], "found": pa.array([_ranges(f) for f in found], kind)})
+        return pa.table({"depth": table["depth"], "mz": table["mz"], "key": table["key"], "found": pa.array([_ranges(f) for f in found], kind)})
 
-    route = F.xxhash64(F.when(F.col("window"), F.col("key")).otherwise(F.col("mz")))
-    dealt = contents.select("mz", "key", "wh2", "lo", "window", "content", F.pmod(route, F.lit(shards)).cast("int").alias("shard"))
+    dealt = contents.select("depth", "mz", "key", "lo", "content", F.pmod(F.xxhash64("mz"), F.lit(shards)).cast("int").alias("shard"))
     slots = max(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, 4000))
-    return dealt.repartition(slots, "shard").groupBy("shard").applyInArrow(run, f"mz bigint, key bigint, wh2 bigint, window boolean, found {_RANGES}").distinct()
+    return dealt.repartition(slots, "shard").groupBy("shard").applyInArrow(run, f"depth int, mz bigint, key bigint, found {_RANGES}").distinct()
+
+
+def _shared(parts: DataFrame, low: str, high: str) -> DataFrame:
+    """(mz): anchors of more than one document."""
+    return parts.groupBy("mz").agg(F.min(low).alias("lo"), F.max(high).alias("hi")).where("lo < hi").select("mz")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,36 +262,41 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id
 
     cut_rows, cut_path = scratch.write(texts.select("doc", "th", "text").mapInArrow(cut, "mz bigint, key bigint, doc bigint, th bigint, start int, n int"))
     # anchors of one document only are out
-    shared = scratch.keep(cut_rows.groupBy("mz").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mz"))
-    parts, parts_path = scratch.write(cut_rows.join(shared, "mz"))
+    parts, parts_path = scratch.write(cut_rows.join(scratch.keep(_shared(cut_rows, "doc", "doc")), "mz"))
     scratch.drop(cut_path)
-    kinds, kinds_path = scratch.write(parts.groupBy("mz", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n")))
-    crowded = scratch.keep(kinds.groupBy("mz").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("mz", F.lit(True).alias("crowded")))
-    told = kinds.join(crowded, "mz", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    part = F.struct("mz", "key", "lo", "hi", F.col("at.start").alias("start"), "n", "crowded")
-    wanted = told.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
-    cut_out = scratch.keep(_cut_out(texts, wanted))
-    scratch.drop(kinds_path)
-    alone = _window_hashes(cut_out.where("crowded"))
-    # windows of crowded anchors whose hash several documents have, with their words
-    again = scratch.keep(alone.groupBy("mz", "wh").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("mz", "wh"))
-    places = scratch.keep(alone.join(again, ["mz", "wh"]).select("mz", "key", "lo", "hi", "wh", "i"))
-    words_of = F.split(F.col("content").cast("string"), " ")
-    window = F.array_join(F.slice(words_of, F.col("i") + 1, F.lit(WINDOW)), " ")
-    told_apart = places.join(cut_out.where("crowded").select("mz", "key", "content"), ["mz", "key"]).select("mz", "key", "lo", "hi", "wh", "i", window.alias("window"))
-    told_apart = told_apart.withColumn("wh2", F.xxhash64("window"))
-    # each different window once: equal hashes do not make them equal, equal words do
-    single = told_apart.groupBy("mz", "wh", "wh2", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    single = single.select("mz", F.col("wh").alias("key"), "wh2", "lo", F.lit(1).alias("n"), F.col("window").cast("binary").alias("content"))
-    whole = cut_out.where("NOT crowded").select("mz", "key", F.lit(0).cast("bigint").alias("wh2"), "lo", "n", "content")
-    contents = scratch.keep(whole.withColumn("window", F.lit(False)).unionByName(single.withColumn("window", F.lit(True))))
-    words = contents.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    part = F.struct("mz", "key", "lo", "hi", F.col("at.start").alias("start"), "n")
+    kinds = parts.groupBy("mz", "key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "th", "start")).alias("at"), F.min("n").alias("n"))
+    wanted = kinds.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
+    level = scratch.keep(_cut_out(texts, wanted, "doc", "th"))
+    contents, cuts = [], []
+    for depth, longer in enumerate((*GRAMS[1:], None)):
+        crowded = None
+        if longer:
+            crowded = scratch.keep(level.groupBy("mz").agg(F.sum(F.col("n") + WINDOW - 1).alias("words")).where(F.col("words") > ROOM).select("mz"))
+        if not longer or crowded.isEmpty():
+            contents.append(level.withColumn("depth", F.lit(depth)))
+            break
+        contents.append(level.join(crowded, "mz", "left_anti").withColumn("depth", F.lit(depth)))
+        above = scratch.keep(level.join(crowded, "mz", "left_semi").dropDuplicates(["mz", "key"]))
+        cut = scratch.keep(_cut_again(above, longer))
+        cut = scratch.keep(cut.join(scratch.keep(_shared(cut, "lo", "hi")), "mz"))
+        cuts.append(cut)
+        kinds = cut.groupBy("mz", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("mz0", "key0", "start")).alias("at"), F.min("n").alias("n"))
+        wanted = kinds.groupBy(F.col("at.mz0").alias("mz0"), F.col("at.key0").alias("key0")).agg(F.collect_list(part).alias("parts"))
+        level = scratch.keep(_cut_out(above.select(F.col("mz").alias("mz0"), F.col("key").alias("key0"), F.col("content").alias("text")), wanted, "mz0", "key0"))
+    every = contents[0]
+    for more in contents[1:]:
+        every = every.unionByName(more)
+    every = scratch.keep(every)
+    words = every.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
     # rows of equal id and text cut out the same part more than once, so results are made distinct
-    found = scratch.keep(_index(contents, max(1, -(-words // SHARD_WORDS))))
-    least = F.col("found")[0]["doc"]
-    singles = found.where("window").select("mz", F.col("key").alias("wh"), "wh2", least.alias("doc"))
-    placed = told_apart.select("mz", "key", "wh", "wh2", "i").join(singles, ["mz", "wh", "wh2"]).groupBy("mz", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("from"), F.col("i").alias("to"), "doc"))).alias("found"))
-    results = scratch.keep(found.where("NOT window").select("mz", "key", "found").unionByName(placed))
+    found = scratch.keep(_index(every, max(1, -(-words // SHARD_WORDS))))
+    results = found.where(F.col("depth") == len(cuts)).select("mz", "key", "found")
+    for depth in reversed(range(len(cuts))):
+        moved = F.transform("found", lambda r: F.struct((r["from"] + F.col("start")).alias("from"), (r["to"] + F.col("start")).alias("to"), r["doc"].alias("doc")))
+        pieces = cuts[depth].select("mz0", "key0", "mz", "key", "start").join(results, ["mz", "key"]).select(F.col("mz0").alias("mz"), F.col("key0").alias("key"), moved.alias("found"))
+        together = pieces.groupBy("mz", "key").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+        results = scratch.keep(found.where(F.col("depth") == depth).select("mz", "key", "found").unionByName(together))
     # a part's windows that start earlier elsewhere, at their places in each document that has the part
     hit = parts.join(results, ["mz", "key"]).select("doc", "th", "start", F.filter("found", lambda r: r["doc"] < F.col("doc")).alias("hit")).where(F.size("hit") > 0)
     hit = hit.select("doc", "th", F.transform("hit", lambda r: F.struct((F.col("start") + r["from"]).alias("from"), (F.col("start") + r["to"]).alias("to"))).alias("starts"))

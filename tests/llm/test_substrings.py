@@ -28,21 +28,55 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("crowded", "shard"), [(100, 100_000), (3, 300)])
-def test_against_brute_force(docs, scratch, fixture_rows, monkeypatch, crowded, shard):
-    monkeypatch.setattr(substrings, "CROWDED", crowded)
+@pytest.mark.parametrize(("room", "shard"), [(25_000, 100_000), (300, 300), (0, 1000)])
+def test_against_brute_force(docs, scratch, fixture_rows, monkeypatch, room, shard):
+    """Whole segments, some cut again by longer anchors, and all of them down to single windows."""
+    monkeypatch.setattr(substrings, "ROOM", room)
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
     got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs, scratch).collect())
     want = brute(fixture_rows)
     assert got == want and sum(w[2] for w in want) > 500
 
 
-def test_an_anchor_of_very_many_segments(spark, scratch):
+def depths(monkeypatch):
+    """The depths of the contents that the index gets."""
+    seen, index = [], substrings._index
+
+    def spy(contents, shards):
+        seen.append({r.depth: r.n for r in contents.groupBy("depth").count().withColumnRenamed("count", "n").collect()})
+        return index(contents, shards)
+
+    monkeypatch.setattr(substrings, "_index", spy)
+    return seen
+
+
+def test_a_line_in_many_copied_documents(spark, scratch, monkeypatch):
+    """A line shorter than a window anchors segments of very many documents, each of which has a copy."""
+    seen = depths(monkeypatch)
+    r = random.Random(2)
+    line = [f"l{i}" for i in range(36)]
+    texts = [" ".join([*[f"w{r.randrange(9999)}" for _ in range(25)], *line, *[f"w{r.randrange(9999)}" for _ in range(25)]]) for _ in range(700)]
+    rows = [(i, t) for i, t in zip(r.sample(range(9000), 1400), texts * 2, strict=True)]
+    got = sorted((repr(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), scratch).collect())
+    assert got == brute(rows) and sum(w[2] for w in got) == 700 * 86 and max(seen[0]) >= 1
+
+
+def test_an_anchor_of_very_many_segments(spark, scratch, monkeypatch):
+    """Over a thousand different segments of one anchor, all searched in the index, where windows inside the passage meet."""
+    seen = depths(monkeypatch)
     r = random.Random(9)
     passage = [f"p{i}" for i in range(58)]
     rows = [(i, " ".join([f"w{r.randrange(9999)}" for _ in range(9)] + passage[r.randrange(3) :][: r.randrange(50, 60)] + [f"w{r.randrange(9999)}" for _ in range(9)])) for i in r.sample(range(5000), 1300)]
     got = sorted((repr(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), scratch).collect())
-    assert got == brute(rows)
+    assert got == brute(rows) and max(seen[0]) >= 1
+
+
+def test_segments_cover_all_windows():
+    r = random.Random(1)
+    words = [str(r.randrange(60)).encode() for _ in range(400)]
+    for gram in substrings.GRAMS:
+        _, _, start, n = substrings.segments(words, gram)
+        assert start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and start[-1] + n[-1] == len(words) - 49 and n.max() <= 51 - gram
 
 
 def test_texts_and_empty(docs, no_docs, scratch):

@@ -22,7 +22,7 @@ def marker_scores(logged: DataFrame, panel: DataFrame, n_genes: int) -> DataFram
     """
     sizes = panel.groupBy("label", "role").agg(F.count("*").alias("m"))
     sums = logged.groupBy("cell").agg(F.sum("x").alias("all_x"))
-    inside = logged.join(F.broadcast(panel), "gene").groupBy("cell", "label", "role").agg(F.sum("x").alias("in_x"), F.count_if(F.col("x") > 0).alias("hits"))
+    inside = logged.join(panel, "gene").groupBy("cell", "label", "role").agg(F.sum("x").alias("in_x"), F.count_if(F.col("x") > 0).alias("hits"))
     every = sums.crossJoin(F.broadcast(sizes))  # panels are small: a row for each cell and label
     j = every.join(inside, ["cell", "label", "role"], "left").withColumn("in_x", F.coalesce("in_x", F.lit(0.0)))
     rest = (F.col("all_x") - F.col("in_x")) / F.nullif(F.lit(n_genes) - F.col("m"), F.lit(0))

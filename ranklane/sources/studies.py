@@ -6,6 +6,7 @@ Listings go two levels down at most and no file is opened, so a study costs one
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ MATRIX = ("matrix.mtx.gz", "matrix.mtx")
 BARCODES = ("barcodes.tsv.gz", "barcodes.tsv", "barcode.tsv.gz", "barcode.tsv")
 FEATURES = ("features.tsv.gz", "features.tsv", "feature.tsv.gz", "feature.tsv")
 FILTERED = "filtered_feature_bc_matrix"
+#: Columns that a sample folder's name gives.
+FROM_FOLDERS = ("state", "genotype", "time", "replicate", "sample_id")
 #: Sample names of at least three parts (time, condition, replicate) are regular.
 REGULAR = re.compile(r"[^/\\]+-[^/\\]+-[^/\\]+")
 SAMPLES = "sample string, label string, path string, matrix string, barcodes string, features string, regular boolean"
@@ -130,6 +133,20 @@ def study_manifest(spark: SparkSession, root: str, explicit: str | None = None)
     return read_manifest(spark, path) if path else None
 
 
+def label_columns(spark: SparkSession, root: str | None, extra: Sequence[str] = ()) -> list[str]:
+    """Columns that may hold a study's labels, in order and once each: the extra ones, the manifest's, those that folders' names give where
+    there are samples, and two usual ones. A manifest that cannot be read gives none."""
+    names = [str(x).strip() for x in extra]
+    if root is not None:
+        try:
+            manifest = study_manifest(spark, root)
+            names += manifest.columns if manifest is not None else []
+        except ManifestError:
+            pass
+        names += FROM_FOLDERS if sample_folders(spark, root) else ()
+    return list(dict.fromkeys(n for n in (*names, "cell_type", "state") if n))
+
+
 @dataclass(frozen=True)
 class Layout:
     root: str

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import os
 import pickle
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklane.operators import digests
-from ranklane.sources import rawshifts, readers, studies
+from ranklane.sources import rawshifts, readers, runs, studies
 
 
 def sample(folder, matrix="matrix.mtx", more=("barcodes.tsv", "features.tsv")):
@@ -80,6 +81,44 @@ def test_manifest(spark, tmp_path):
         studies.find_manifest(spark, str(tmp_path), f"{tmp_path}/absent.tsv")
 
 
+def test_label_columns(spark, tmp_path):
+    assert studies.label_columns(spark, None, (" a ", "", "state", "a")) == ["a", "state", "cell_type"]
+    sample(tmp_path / "1w-Ctrl-R1")
+    assert studies.label_columns(spark, str(tmp_path)) == ["state", "genotype", "time", "replicate", "sample_id", "cell_type"]
+    (tmp_path / "manifest.tsv").write_text("sample-id\tdisease\tspecies\tdonor\ns1\tctrl\tHuman\td\n")
+    assert studies.label_columns(spark, str(tmp_path), ("x",)) == ["x", "sample_id", "state", "species", "donor", "genotype", "time", "replicate", "cell_type"]
+    (tmp_path / "manifest.tsv").write_text("wrong\n")
+    assert studies.label_columns(spark, str(tmp_path))[0] == "state"
+
+
+def test_runs(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        runs.read_seed_positions(spark, str(tmp_path))
+    for seed in (3, 12):
+        (tmp_path / f"seed{seed}").mkdir()
+        with gzip.open(tmp_path / f"seed{seed}" / runs.POSITIONS, "wt") as f:
+            f.write(f"chain,token,sum_norm_pos,n_cells\nc,1,0.5,{seed}\np1,2,0.25,4\n")
+    (tmp_path / "seedless").mkdir()
+    assert sorted(map(tuple, runs.read_seed_positions(spark, str(tmp_path)).collect())) == [(3, "c", 1, 0.5, 3), (3, "p1", 2, 0.25, 4), (12, "c", 1, 0.5, 12), (12, "p1", 2, 0.25, 4)]
+    assert runs.chain_roles({"configured": "c", "chain_tokens": {"c": [1], "p1": [2], "p2": [3]}}) == ("c", ["p1", "p2"])
+    assert runs.chain_roles({"configured": "c", "placebos": [], "chain_tokens": {"c": [1], "p1": [2]}}) == ("c", [])
+    assert runs.read_statistics(spark, str(tmp_path)) is None
+    (tmp_path / runs.STATISTICS).mkdir()
+    (tmp_path / runs.STATISTICS / "a.csv").write_text("Cell,Shift\n1,2\n")
+    assert runs.read_statistics(spark, str(tmp_path)) is None
+    (tmp_path / runs.STATISTICS / "b.csv").write_text("Gene,Gene_name,Shift_to_goal_end\n7,A,0.5\n")
+    assert [tuple(r) for r in runs.read_statistics(spark, f"{tmp_path}/").collect()] == [(7, "A", 0.5)]
+
+
+def test_columns():
+    assert runs.toward_column(["x", "shift_toward_NF", "shift_toward_Ctrl"]) == "shift_toward_Ctrl"
+    assert runs.toward_column(["shift_toward_NF", "shift_toward_A"]) == "shift_toward_NF"
+    assert runs.group_column(["a", "b"], "b", ("a",)) == "b" and runs.group_column(["a", "b"], None, ("c", "b", "a")) == "b"
+    for wrong in (lambda: runs.toward_column(["shift"]), lambda: runs.group_column(["a"], "z", ("a",)), lambda: runs.group_column(["a"], None, ("z",))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_raw_results(spark, tmp_path):
     first = defaultdict(list, {((5, 7), rawshifts.CELL): [0.5, -0.25], ((5, 7), 9): [1.0], (5, rawshifts.CELL): [(0.1, 0.2, 0.3)], (8, 9): []})
     (tmp_path / "b_raw.pickle").write_bytes(pickle.dumps(first))

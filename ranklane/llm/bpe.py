@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 #: The pre-tokenizer's pattern; white space is named so that it is Unicode's own.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Bytes (about) of words and their ids that a task remembers before it starts anew, and the longest word that is remembered
+#: Bytes (about) of words and their ids that a task remembers, of which half are let go at once, and the longest word that is remembered
 #: beyond its batch; the pairs and steps of the automaton that a task remembers. They bound memory and decide no result.
 REMEMBERED, LONG_WORD, STEPS = 40_000_000, 64, 200_000
 #: Rows that are decided at once.
@@ -78,6 +78,7 @@ class TrieBPE:
         """Drops all that was remembered."""
         self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.held = 0
         self.forget_steps()
 
@@ -202,12 +203,13 @@ class TrieBPE:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the ids joined by commas."""
         split = [self.split(t) for t in texts]
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
+        if self.held > REMEMBERED // 2:  # words that are met again come back from the older half, others go with it
+            self.older, self.known, self.held = self.known, {}, 0
         special = {s: (i,) for s, i in self.special.items()}
         self.known.update(special)
-        new = self.learn(set().union(*split).difference(self.known))
+        unknown = set().union(*split).difference(self.known)
+        new = {w: self.older[w] for w in unknown.intersection(self.older)}
+        new |= self.learn(unknown.difference(new))
         self.known.update(new)
         ids_of, name = self.known.__getitem__, self.name.__getitem__
         for words in split:

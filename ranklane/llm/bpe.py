@@ -79,7 +79,7 @@ class TrieBPE:
         self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.held, self.most = 0, REMEMBERED
         self.forget_steps()
 
     def forget_steps(self) -> None:
@@ -203,7 +203,7 @@ class TrieBPE:
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the ids joined by commas."""
         split = [self.split(t) for t in texts]
-        if self.held > REMEMBERED // 2:  # words that are met again come back from the older half, others go with it
+        if self.held > self.most // 2:  # words that are met again come back from the older half, others go with it
             self.older, self.known, self.held = self.known, {}, 0
         special = {s: (i,) for s, i in self.special.items()}
         self.known.update(special)
@@ -231,13 +231,13 @@ def tokenizer(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Encodes every whole text and decodes it again, in one pass without a shuffle.
 
     vocabulary: the place of a tokenizers JSON file, which every executor has. Returns the columns named in
     keep, n_tokens, ids_sha256 and decoded_sha256 (lowercase hex of the joined decimal ids and of the decoded
     text), and with ids=True the ids themselves. A null text counts as empty: no tokens, the hashes of the
-    empty text. Repeated rows give repeated results; other columns are not read.
+    empty text. Repeated rows give repeated results; other columns are not read. remembered: bytes of words that a task keeps.
     """
     kept = docs.select(*keep, docs[text_col].alias("_text"))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -246,6 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(vocabulary)
+        bpe.most = remembered
         hexed = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):

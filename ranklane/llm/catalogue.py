@@ -24,7 +24,7 @@ def op2_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, ids=False, remembered=160_000_000)
 
 
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ranklane.functions import text
 from ranklane.operators import annotate, contracts, datasets, encode, keymap, profiles, ranking, reports
 from ranklane.operators import statistics as stats
 from ranklane.sources import readers
+from ranklane.sources.shared import kept
 
 
 def frame(spark, rows, schema):
@@ -229,3 +230,19 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stratum_counts_matches_before_it_lists_them(spark, monkeypatch):
+    rows = [(i, 0.1 + (i % 7) / 10, (i * 37 % 101) / 100) for i in range(150)]
+    p = spark.createDataFrame(rows, "token long, detection double, rank double")
+    written = []
+    monkeypatch.setattr(profiles, "DEALT", 40)
+    monkeypatch.setattr(profiles, "kept", lambda df: written.append(df.count()) or kept(df))
+    got = {tuple(r) for r in profiles.stratum(p, p, 12).collect()}
+    want = set()
+    for t, td, tr in rows:
+        near = [(x, abs(r - tr)) for x, d, r in rows if x != t and td / 2 <= d <= td * 2]
+        w = next((w for w in (0.1, 0.2, 0.3) if sum(g <= w for _, g in near) >= 12), float("inf"))
+        want |= {(t, x, w) for x, g in near if g <= w}
+    assert got == want and len({w for _, _, w in want}) > 1
+    assert max(written) <= len(rows)  # never the pairs

@@ -39,9 +39,11 @@ def shifts_vs_pool(shifts: DataFrame) -> DataFrame:
     ranked = own.withColumn("below", below).join(pool.select(F.col("value").alias("shift"), "rank"), "shift").withColumn("r", F.col("rank") + F.col("below") + F.col("c") / 2.0)
     total = shifts.agg(F.count("*").alias("np"))
     out = ranked.groupBy("gene").agg(F.sum(F.col("c") * F.col("r")).alias("wg"), F.sum("c").alias("ng"), (F.sum(F.col("c") * F.col("shift")) / F.sum("c")).alias("mean_shift")).crossJoin(F.broadcast(total))
-    n = F.col("np") + F.col("ng")
+    # as doubles: the product of three counts leaves the range of a bigint at some 36 million shifts
+    many, few = F.col("np").cast("double"), F.col("ng").cast("double")
+    n = many + few
     wp = n * (n + 1) / 2 - F.col("wg")
-    return out.select("gene", "mean_shift", F.col("ng").alias("n"), ((wp - F.col("np") * (n + 1) / 2) / F.sqrt(F.col("np") * F.col("ng") * (n + 1) / 12)).alias("z"))
+    return out.select("gene", "mean_shift", F.col("ng").alias("n"), ((wp - many * (n + 1) / 2) / F.sqrt(many * few * (n + 1) / 12)).alias("z"))
 
 
 def rank_sums(test: DataFrame, null: DataFrame) -> DataFrame:
@@ -52,8 +54,9 @@ def rank_sums(test: DataFrame, null: DataFrame) -> DataFrame:
     out = ranked.groupBy("gene").agg(
         F.avg(F.when(is_test, F.col("shift"))).alias("test_mean"), F.avg(F.when(~is_test, F.col("shift"))).alias("null_mean"), F.count_if(is_test).alias("n_test"), F.count_if(~is_test).alias("n_null"), F.sum(F.when(is_test, F.col("r"))).alias("w"),
     )
-    n = F.col("n_test") + F.col("n_null")
-    z = (F.col("w") - F.col("n_test") * (n + 1) / 2) / F.sqrt(F.nullif(F.col("n_test") * F.col("n_null") * (n + 1) / 12.0, F.lit(0.0)))
+    tests, nulls = F.col("n_test").cast("double"), F.col("n_null").cast("double")  # their product with n leaves the range of a bigint
+    n = tests + nulls
+    z = (F.col("w") - tests * (n + 1) / 2) / F.sqrt(F.nullif(tests * nulls * (n + 1) / 12.0, F.lit(0.0)))
     return out.select("gene", "test_mean", "null_mean", (F.col("test_mean") - F.col("null_mean")).alias("difference"), "n_test", "n_null", z.alias("z"))
 
 

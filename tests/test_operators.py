@@ -246,3 +246,12 @@ def test_stratum_counts_matches_before_it_lists_them(spark, monkeypatch):
         want |= {(t, x, w) for x, g in near if g <= w}
     assert got == want and len({w for _, _, w in want}) > 1
     assert max(written) <= len(rows)  # never the pairs
+
+
+def test_rank_sums_of_millions_of_shifts(spark):
+    n = 1_800_000  # n * n * (2 n + 1) leaves the range of a bigint
+    one = stats.shifts_vs_pool(spark.range(n).select(F.lit(1).alias("gene"), (F.col("id") % 3).cast("double").alias("shift"))).first()
+    assert one.n == n and one.z == pytest.approx(0.0, abs=1e-6)
+    half = spark.range(2 * n).select(F.lit(1).alias("gene"), (F.col("id") % 2).cast("double").alias("shift"), (F.col("id") < n).alias("t"))
+    both = stats.rank_sums(half.where("t"), half.where("NOT t")).first()
+    assert both.n_test == both.n_null == n and both.z == pytest.approx(0.0, abs=1e-6)

@@ -9,11 +9,27 @@ from pyspark.sql import functions as F
 
 from ranklane.functions import text
 from ranklane.operators import ranking, resampling, statistics
+from ranklane.sources.shared import kept
 
 #: Fixed values: (organism of the data, organism of the model) and the mapping between them.
 PAIRS = {("mouse", "human"): "mouse_to_human", ("human", "mouse"): "human_to_mouse", ("drosophila", "human"): "drosophila_to_human", ("drosophila", "mouse"): "drosophila_to_mouse"}
 
 
+def above(rows: DataFrame, key: str, column: str, limit: float, name: str, *order: str) -> DataFrame:
+    """(key, n, name): how many rows a key has, and whether their mean is above a limit.
+
+    A sum of doubles depends on its order. Where the mean is so near the limit that this decides, values are added up in the given
+    order, by a running sum over the key's sorted rows; all others are plain aggregates.
+    """
+    told = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(column).alias("_mean"), F.max(F.abs(column)).alias("_most"))
+    close = F.abs(F.col("_mean") - limit) <= F.col("n") * F.greatest(F.col("_most"), F.lit(abs(limit))) * 1e-15
+    told = kept(told.withColumn("_close", F.coalesce(close, F.lit(False))))
+    so_far = F.sum(column).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.join(told.where("_close").select(key), key, "left_semi").select(key, column, *order).where(F.col(column).isNotNull()).withColumn("_sum", so_far)
+    ordered = near.groupBy(key).agg((F.max_by("_sum", F.struct(*order)) / F.count("*")).alias("_ordered"))
+    return told.join(ordered, key, "left").select(key, "n", (F.coalesce("_ordered", "_mean") > limit).alias(name))
+
+
 def with_stats(background: DataFrame, stats: DataFrame, key: str, flags: tuple[str, ...]) -> DataFrame:
     """Every background row with its statistics; flags of rows without any are false, their numbers null."""
     joined = background.join(stats, key, "left")

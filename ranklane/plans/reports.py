@@ -13,7 +13,7 @@ from ranklane.plans.resampling import poisson_sql
 @query("WITH s AS (SELECT l_partkey AS token, count(*) AS n, avg(l_discount) > 0.05 AS sig FROM lineitem WHERE l_quantity >= 40 GROUP BY 1) SELECT p_partkey AS token, n, coalesce(sig, false) AS sig FROM part LEFT JOIN s ON token = p_partkey")
 def stats_rank_table(spark, sf_dir):
     lines = inputs.table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
-    stats = lines.groupBy(F.col("l_partkey").alias("token")).agg(F.count("*").alias("n"), (F.avg("l_discount") > 0.05).alias("sig"))
+    stats = reports.above(lines.select(F.col("l_partkey").alias("token"), "l_discount", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), "token", "l_discount", 0.05, "sig", "_file", "_row")
     return reports.with_stats(inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("token")), stats, "token", ("sig",))
 
 

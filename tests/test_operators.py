@@ -255,3 +255,19 @@ def test_rank_sums_of_millions_of_shifts(spark):
     half = spark.range(2 * n).select(F.lit(1).alias("gene"), (F.col("id") % 2).cast("double").alias("shift"), (F.col("id") < n).alias("t"))
     both = stats.rank_sums(half.where("t"), half.where("NOT t")).first()
     assert both.n_test == both.n_null == n and both.z == pytest.approx(0.0, abs=1e-6)
+
+
+def test_a_mean_at_the_limit_is_taken_in_order(spark):
+    values = {k: [(7 * k + 3 * i * i) % 11 / 100 for i in range(6)] for k in range(60)}
+    values |= {100 + k: [(5 + d) / 100 for d in (k % 5, -(k % 4), -(k % 5), k % 4, 1, -1)] for k in range(60)}
+    rows = [(k, x, i) for k, xs in values.items() for i, x in enumerate(xs)]
+    want = {}
+    for k, xs in values.items():
+        s = 0.0
+        for x in xs:
+            s += x
+        want[k] = s / len(xs) > 0.05
+    backwards = frame(spark, rows[::-1], "k long, x double, i long").coalesce(1)
+    got = {r.k: r.sig for r in reports.above(backwards, "k", "x", 0.05, "sig", "i").collect()}
+    plain = {r.k: r.sig for r in backwards.groupBy("k").agg((F.avg("x") > 0.05).alias("sig")).collect()}
+    assert got == want and plain != want

@@ -20,6 +20,10 @@ from ranklane.sources.shared import kept
 
 #: Draws that travel together: a row carries 8 bytes for each, and for each column that is ranked.
 TOGETHER = 250
+#: Values of a method's column whose ranks every task has.
+FEW = 4096
+#: Rows in order of the target that a task sweeps.
+A_RANGE = 1_000_000
 #: Poisson steps that the 32 bits of a hash tell apart.
 STEPS = 12
 
@@ -58,14 +62,25 @@ def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
 
 
 def _by_value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights of a batch's equal values added up."""
+    """The weights of a task's equal values added up, FEW values at a time."""
+    held = None
+
+    def out(values: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(list(w), pa.list_(pa.float64()))], names=["v", "w"])
+
     for batch in batches:
         if batch.num_rows:
-            values, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            w = _matrix(batch.column(1))
-            total = np.zeros((len(values), w.shape[1]))
-            np.add.at(total, at, w)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(list(total), pa.list_(pa.float64()))], names=["v", "w"])
+            v, w = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            if held:
+                v, w = np.concatenate([held[0], v]), np.concatenate([held[1], w])
+            order = np.argsort(v, kind="stable")
+            values, first = np.unique(v[order], return_index=True)
+            held = values, np.add.reduceat(w[order], first, axis=0)
+            if len(values) > FEW:
+                yield out(*held)
+                held = None
+    if held:
+        yield out(*held)
 
 
 def _cumulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,27 +126,88 @@ def weighted_ranks(rows: DataFrame, column: str) -> DataFrame:
     return ranged.where("v IS NOT NULL").join(F.broadcast(lower), "part").select("v", F.zip_with("r", "o", lambda r, o: r + o).alias("r"))
 
 
-def _summed(names: Sequence[str], first: int):
+def _swept(names: Sequence[str], tables: Sequence[tuple[np.ndarray, np.ndarray] | None], first: int):
+    """Sums over a range of rows in order of the target, whose ranks u are counted from the range's first row.
+
+    tables: the values and ranks of a method of few values, whose column holds values; None: the column holds ranks.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        draws = 0
+        part, m = TaskContext.get().partitionId(), len(names)
+        done: dict[int, np.ndarray] = {}  # by bin: n, u, uu and, for each method, p, pp, pu
+        open_: dict[int, np.ndarray] = {}  # by bin, of the value at hand: n and, for each method, p
+        value, below, own = None, 0.0, 0.0
+
+        def close() -> None:
+            u = below + (own + 1) / 2
+            for b, x in open_.items():
+                at = done[b]
+                at[1] += x[0] * u
+                at[2] += x[0] * u * u
+                at[5::3] += x[1:] * u
+            open_.clear()
+
         for batch in batches:
-            bins = batch.column(0).to_numpy()
-            for start in range(0, batch.num_rows, 1024):
-                some = batch.slice(start, 1024)
-                w, t = _matrix(some.column(1)), _matrix(some.column(2))
-                draws = w.shape[1]
-                for k in range(len(names)):
-                    p = _matrix(some.column(3 + k))
-                    sums = np.stack([w, w * p, w * t, w * p * p, w * t * t, w * p * t], axis=2)
-                    for b in np.unique(bins[start : start + 1024]):
-                        found = sums[bins[start : start + 1024] == b].sum(axis=0)
-                        at = held.setdefault(int(b), np.zeros((len(names), draws, 6)))
-                        at[k] += found
-        for b, sums in held.items():
-            for k, name in enumerate(names):
-                arrays = [pa.array(np.arange(draws, dtype=np.int32) + first), pa.array([name] * draws), pa.array(np.full(draws, b, np.int32)), *[pa.array(sums[k, :, i]) for i in range(6)]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["draw", "method", "bin", "n", "p", "t", "pp", "tt", "pt"])
+            for start in range(0, batch.num_rows, 4096):
+                some = batch.slice(start, 4096)
+                t, bins, w = some.column(0).to_numpy(), some.column(1).to_numpy(), _matrix(some.column(2))
+                ps = [_matrix(some.column(3 + i)) if told is None else told[1][np.searchsorted(told[0], some.column(3 + i).to_numpy() + 0.0)] for i, told in enumerate(tables)]
+                if value is None:
+                    value = t[0]
+                edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                owns = np.add.reduceat(w, edges, axis=0)
+                if t[0] != value:
+                    close()
+                    value, below, own = t[0], below + own, 0.0
+                # the first run may have begun before, the last may go on: both wait until their value is through
+                belows = below + np.r_[np.zeros((1, w.shape[1])), np.cumsum(np.r_[own + owns[:1], owns[1:]], axis=0)[:-1]]
+                inner = np.repeat(belows + (owns + 1) / 2, np.diff(np.r_[edges, len(t)]), axis=0)
+                last = edges[-1]
+                head = edges[1] if len(edges) > 1 else len(t)
+                found, place = np.unique(bins, return_inverse=True)
+                hot = np.zeros((len(found), len(t)))
+                hot[place, np.arange(len(t))] = 1.0
+                for b in found:
+                    done.setdefault(int(b), np.zeros((3 + 3 * m, w.shape[1])))
+
+                def wait(lo: int, hi: int) -> None:
+                    n, each = hot[:, lo:hi] @ w[lo:hi], [hot[:, lo:hi] @ (w[lo:hi] * p[lo:hi]) for p in ps]
+                    for k, b in enumerate(found):
+                        if hot[k, lo:hi].any():
+                            at = open_.setdefault(int(b), np.zeros((1 + m, w.shape[1])))
+                            at[0] += n[k]
+                            for i in range(m):
+                                at[1 + i] += each[i][k]
+
+                wp = [w * p for p in ps]
+                plain = [hot @ w, *[hot @ x for x in wp], *[hot @ (x * p) for x, p in zip(wp, ps, strict=True)]]
+                for k, b in enumerate(found):
+                    at = done[int(b)]
+                    at[0] += plain[0][k]
+                    for i in range(m):
+                        at[3 + 3 * i] += plain[1 + i][k]
+                        at[4 + 3 * i] += plain[1 + m + i][k]
+                wait(0, head)
+                own = own + owns[0]
+                if len(edges) > 1:
+                    close()
+                    wu = w[head:last] * inner[head:last]
+                    mid = [hot[:, head:last] @ wu, hot[:, head:last] @ (wu * inner[head:last]), *[hot[:, head:last] @ (wu * p[head:last]) for p in ps]]
+                    for k, b in enumerate(found):
+                        at = done[int(b)]
+                        at[1] += mid[0][k]
+                        at[2] += mid[1][k]
+                        for i in range(m):
+                            at[5 + 3 * i] += mid[2 + i][k]
+                    value, below, own = t[last], belows[-1], owns[-1]
+                    wait(last, len(t))
+        if value is not None:
+            close()
+        for b, x in done.items():
+            draws = x.shape[1]
+            for i, name in enumerate(names):
+                arrays = [pa.array(np.full(draws, part, np.int32)), pa.array(np.arange(draws, dtype=np.int32) + first), pa.array([name] * draws), pa.array(np.full(draws, b, np.int32)), *[pa.array(x[j]) for j in (0, 3 + 3 * i, 1, 4 + 3 * i, 2, 5 + 3 * i)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "draw", "method", "bin", "n", "p", "u", "pp", "uu", "pu"])
 
     return run
 
@@ -140,26 +216,42 @@ def resampled_sums(rows: DataFrame, methods: Sequence[str], target: str, cell: s
     """(draw, method, bin, n, p, t, pp, tt, pt): sums of the weighted ranks of each method's column and of the target, for draws 0 to `draws`.
 
     Rows with a null or NaN among these columns are left out. Ranks are those of the draw: over all its rows, cells taken as often as
-    they are. bin_col: sums are kept apart by it (one bin without it). TOGETHER draws travel at once; what each task returns is
-    a row for each draw, method and bin.
+    they are. bin_col: sums are kept apart by it (one bin without it). TOGETHER draws travel at once. Rows go by ranges of the target, in
+    order, so its ranks are counted where they lie and what precedes a range is added to the sums; ranks of a method of at most
+    FEW values are a table that every task has, those of others are joined. What a task returns is a row for each draw, method and bin.
     """
     columns = list(dict.fromkeys([*methods, target]))
     fine = F.col(cell).isNotNull()
     for c in columns:
         fine = fine & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     b = F.col(bin_col).cast("int") if bin_col else F.lit(0)
-    rows = kept(rows.where(fine).select(F.col(cell).alias("_cell"), b.alias("_bin"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)]))
+    rows = kept(rows.where(fine).select(F.col(cell).alias("_cell"), b.alias("_bin"), *[(F.col(c).cast("double") + 0.0).alias(f"_c{i}") for i, c in enumerate(columns)]))
+    many = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // A_RANGE))
     out = None
     for first in range(0, draws + 1, TOGETHER):
-        weights = draw_weights(rows, "_cell", first, min(draws, first + TOGETHER - 1), seed)
+        weights = kept(draw_weights(rows, "_cell", first, min(draws, first + TOGETHER - 1), seed))
         drawn = kept(rows.join(weights, "_cell").drop("_cell"))
-        x = drawn
-        for i in range(len(columns)):
-            told = weighted_ranks(drawn, f"_c{i}").select(F.col("v").alias("_v"), F.col("r").alias(f"_r{i}"))
-            x = x.join(told, (F.col(f"_c{i}") + 0.0) == F.col("_v")).drop("_v", f"_c{i}")
-        at = [f"_r{columns.index(m)}" for m in methods]
-        some = x.select("_bin", "w", F.col(f"_r{columns.index(target)}").alias("_t"), *[F.col(a).alias(f"_m{i}") for i, a in enumerate(at)])
-        sums = some.mapInArrow(_summed(list(methods), first), "draw int, method string, bin int, n double, p double, t double, pp double, tt double, pt double")
+        x, tables, carried = drawn, [], []
+        for m in methods:
+            i = columns.index(m)
+            told = weighted_ranks(drawn, f"_c{i}").select(F.col("v").alias(f"_v{i}"), F.col("r").alias(f"_r{i}"))
+            some = told.limit(FEW + 1).collect() if drawn.select(f"_c{i}").distinct().limit(FEW + 1).count() <= FEW else None
+            if some is not None:
+                some.sort(key=lambda r: r[0])
+                tables.append((np.array([r[0] for r in some]), np.array([r[1] for r in some])))
+                carried.append(f"_c{i}")
+            else:
+                tables.append(None)
+                x = x.join(told, F.col(f"_c{i}") == F.col(f"_v{i}")).drop(f"_v{i}")
+                carried.append(f"_r{i}")
+        t = f"_c{columns.index(target)}"
+        dealt = x.select(F.col(t).alias("_t"), "_bin", "w", *[F.col(c).alias(f"_m{k}") for k, c in enumerate(carried)]).repartitionByRange(many, "_t").sortWithinPartitions("_t")
+        swept = kept(dealt.mapInArrow(_swept(list(methods), tables, first), "part int, draw int, method string, bin int, n double, p double, u double, pp double, uu double, pu double"))
+        size = swept.where(F.col("method") == methods[0]).groupBy("draw", "part").agg(F.sum("n").alias("_n"))  # a row for each draw and range
+        o = F.coalesce(F.sum("_n").over(Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        sums = swept.join(size.select("draw", "part", o.alias("o")), ["draw", "part"])
+        o, n, u = F.col("o"), F.col("n"), F.col("u")
+        sums = sums.select("draw", "method", "bin", "n", "p", (u + o * n).alias("t"), "pp", (F.col("uu") + 2 * o * u + o * o * n).alias("tt"), (F.col("pu") + o * F.col("p")).alias("pt"))
         out = sums if out is None else out.unionByName(sums)
     return kept(out.groupBy("draw", "method", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "p", "t", "pp", "tt", "pt")]))
 

@@ -215,3 +215,24 @@ def test_no_window_over_all_rows(spark, clean):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert all("_range" in w and ("[_range" in w.split("], [")[-1] or "_range" in w.split("],")[-2]) for w in windows), plan
+
+
+def test_the_targets_ranks_are_counted_in_its_order_not_joined(spark, monkeypatch):
+    rows = [(c, float((c * 7 + i * i) % 13), float((c + 5 * i) % 31) / 4, i % 3) for c in range(12) for i in range(40)]
+    df = spark.createDataFrame(rows, "cell long, a double, target double, b int").repartition(5)
+    ranked, whole = [], resampling.weighted_ranks
+    monkeypatch.setattr(resampling, "weighted_ranks", lambda d, c: ranked.append(c) or whole(d, c))
+    tell = lambda: {(r.draw, r.bin): r for r in resampling.resampled_sums(df, ["a"], "target", "cell", 3, 1, "b").collect()}
+    plain = tell()
+    assert ranked == ["_c0"]
+    monkeypatch.setattr(resampling, "FEW", 2)  # the method's ranks are joined
+    monkeypatch.setattr(resampling, "A_RANGE", 30)
+    for k, r in tell().items():
+        assert list(r)[3:] == pytest.approx(list(plain[k])[3:])
+    rank = lambda xs: [sum(y < x for y in xs) + (xs.count(x) + 1) / 2 for x in xs]
+    p, t = rank([r[1] for r in rows]), rank([r[2] for r in rows])
+    for b in range(3):
+        at = [i for i, r in enumerate(rows) if r[3] == b]
+        want = [len(at), sum(p[i] for i in at), sum(t[i] for i in at), sum(p[i] ** 2 for i in at), sum(t[i] ** 2 for i in at), sum(p[i] * t[i] for i in at)]
+        r = plain[0, b]
+        assert [r.n, r.p, r.t, r.pp, r.tt, r.pt] == pytest.approx(want)

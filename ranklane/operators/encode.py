@@ -20,12 +20,14 @@ def vocabulary(tokens: DataFrame, medians: DataFrame) -> DataFrame:
     return tokens.join(medians, "gene").select("gene", "token", "med")
 
 
-def normalise(counts: DataFrame, vocab: DataFrame, target: float = 10_000.0) -> DataFrame:
+def normalise(counts: DataFrame, vocab: DataFrame, target: float = 10_000.0, parts: int | None = None) -> DataFrame:
     """(cell, token, w): a count over its cell's sum of counts in the vocabulary, times the target, over the gene's median.
 
     Cells without such counts give no rows; counts outside the vocabulary do not enter the sum.
+    parts: into how many parts cells are dealt, once for this and for rank().
     """
     known = counts.join(vocab, "gene")
+    known = known.repartition(parts, "cell") if parts else known
     total = F.sum("cnt").over(Window.partitionBy("cell"))
     return known.select("cell", "token", (F.col("cnt") / total * target / F.col("med")).alias("w"))
 

@@ -15,15 +15,23 @@ from ranklane.sources.shared import kept
 START, GOAL = "AFRICA", "ASIA"
 #: Keys that a list keeps at most.
 LONG, SHORT = 2048, 2048
+#: Order lines of a task.
+A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many parts the order lines are dealt: as many as hold A_TASK each, so that a task's sorts do not grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // A_TASK))
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell, gene, cnt) of suppliers."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
+    """(cell, gene, cnt) of suppliers, dealt by gene."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").repartition(tasks(spark, sf_dir), "l_partkey")
+    return lines.groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
 
 
 def counts_of(spark: SparkSession, sf_dir: str, which) -> DataFrame:
@@ -33,8 +41,9 @@ def counts_of(spark: SparkSession, sf_dir: str, which) -> DataFrame:
 
 
 def customer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell, gene, cnt) of customers."""
+    """(cell, gene, cnt) of customers, dealt by gene."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("o_custkey", "l_partkey", "l_quantity").repartition(tasks(spark, sf_dir), "l_partkey")
     return lines.groupBy(F.col("o_custkey").alias("cell"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("cnt"))
 
 
@@ -50,13 +59,13 @@ def vocab(counts_df: DataFrame) -> DataFrame:
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, pos, token, len) of suppliers."""
     c = counts(spark, sf_dir)
-    return encode.rank(encode.normalise(c, vocab(c)), LONG)
+    return encode.rank(encode.normalise(c, vocab(c), parts=tasks(spark, sf_dir)), LONG)
 
 
 def customer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, ids) of customers."""
     c = customer_counts(spark, sf_dir)
-    return encode.to_lists(encode.rank(encode.normalise(c, vocab(c)), SHORT))
+    return encode.to_lists(encode.rank(encode.normalise(c, vocab(c), parts=tasks(spark, sf_dir)), SHORT))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

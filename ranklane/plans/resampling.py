@@ -49,7 +49,7 @@ _METHODS = ("quantity", "tax")
 def samples(spark, sf_dir):
     """(cell, token, quantity, discount, tax, target): one row for each pair of supplier and part."""
     cents = lambda c: F.max(F.round(F.col(c) * 100))
-    lines = inputs.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("token"))
+    lines = inputs.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice").repartition(inputs.tasks(spark, sf_dir), "l_suppkey").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_partkey").alias("token"))
     return lines.agg(F.max("l_quantity").alias("quantity"), cents("l_discount").alias("discount"), cents("l_tax").alias("tax"), (cents("l_extendedprice") - 3000000).alias("target"))
 
 

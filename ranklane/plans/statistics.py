@@ -27,7 +27,8 @@ def avg_rank_distinct(spark, sf_dir):
 
 @query("WITH r AS (SELECT l_suppkey AS cell, " + _AVG.format(p="l_suppkey", v="l_quantity") + " AS a, " + _AVG.format(p="l_suppkey", v="l_extendedprice") + " AS b FROM lineitem) SELECT cell, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY cell")
 def spearman_by_cell(spark, sf_dir):
-    out = ranking.spearman_by(inputs.table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "cell"), "l_quantity", "l_extendedprice", "cell")
+    lines = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), "l_quantity", "l_extendedprice").repartition(inputs.tasks(spark, sf_dir), "cell")
+    out = ranking.spearman_by(lines, "l_quantity", "l_extendedprice", "cell")
     return out.withColumn("rho", F.round("rho", 6))
 
 

@@ -271,3 +271,14 @@ def test_a_mean_at_the_limit_is_taken_in_order(spark):
     got = {r.k: r.sig for r in reports.above(backwards, "k", "x", 0.05, "sig", "i").collect()}
     plain = {r.k: r.sig for r in backwards.groupBy("k").agg((F.avg("x") > 0.05).alias("sig")).collect()}
     assert got == want and plain != want
+
+
+def test_tasks_grow_with_the_order_lines(spark, monkeypatch):
+    from ranklane.plans import catalogue, inputs
+
+    where = "/root/testdata/sf0.001"
+    monkeypatch.setattr(inputs, "A_TASK", 500)
+    many = inputs.tasks(spark, where)
+    assert many >= 8
+    assert inputs.counts(spark, where).rdd.getNumPartitions() == many
+    assert catalogue.QUERIES["spearman_by_cell"](spark, where).rdd.getNumPartitions() == many

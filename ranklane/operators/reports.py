@@ -137,11 +137,12 @@ def fan_out(lists: DataFrame, background: DataFrame, sets: DataFrame, universes:
     return adjusted.withColumn("sig", F.col("fdr") < fdr)
 
 
-def compare_methods(rows: DataFrame, base: str) -> DataFrame:
+def compare_methods(rows: DataFrame, base: str, parts: int | None = None) -> DataFrame:
     """(method, n_cells, rho, gain): each method's mean over cells of the rank correlation of prediction and target, and
-    what it has over the base method. rows: (method, cell, token, pred, target)."""
+    what it has over the base method. rows: (method, cell, token, pred, target). parts: into how many parts methods' cells are dealt."""
     cell = F.struct("method", "cell").alias("by")
-    by_cell = ranking.spearman_by(rows.select(cell, "pred", "target"), "pred", "target", "by").select("by.method", "rho")
+    dealt = rows.select(cell, "pred", "target")
+    by_cell = ranking.spearman_by(dealt.repartition(parts, "by") if parts else dealt, "pred", "target", "by").select("by.method", "rho")
     told = by_cell.groupBy("method").agg(F.count("rho").alias("n_cells"), F.avg("rho").alias("rho"))
     return told.crossJoin(F.broadcast(told.where(F.col("method") == base).select(F.col("rho").alias("_base")))).select("method", "n_cells", "rho", (F.col("rho") - F.col("_base")).alias("gain"))
 

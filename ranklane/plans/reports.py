@@ -116,7 +116,7 @@ def method_comparison(spark, sf_dir):
     for name in ("quantity", "discount", "tax"):
         some = lines.select(F.lit(name).alias("method"), F.col("l_suppkey").alias("cell"), F.col(f"l_{name}").alias("pred"), F.col("l_extendedprice").alias("target"))
         rows = some if rows is None else rows.unionByName(some)
-    return reports.compare_methods(rows, "tax").select("method", "n_cells", F.round("rho", 6).alias("rho"), F.round("gain", 6).alias("gain"))
+    return reports.compare_methods(rows, "tax", 3 * inputs.tasks(spark, sf_dir)).select("method", "n_cells", F.round("rho", 6).alias("rho"), F.round("gain", 6).alias("gain"))
 
 
 def _bootstrap_sql(head: str, rows: str, keys: str, weight: str) -> str:

@@ -83,19 +83,27 @@ def balance(picks: DataFrame, strata: DataFrame, covariates: DataFrame) -> DataF
     return p.unionByName(s).groupBy("target").agg(F.avg("p").alias("picks_mean"), F.avg("s").alias("stratum_mean"), F.when(sd > 0, (F.avg("p") - F.avg("s")) / sd).when(sd == 0, 0.0).alias("smd"))
 
 
-def seed_agreement(finals: DataFrame) -> DataFrame:
-    """(seed_a, seed_b, cell, n_shared, spearman) of the final lists of each pair of seeds. finals: (seed, cell, pos, token)."""
+def seed_agreement(finals: DataFrame, parts: int | None = None) -> DataFrame:
+    """(seed_a, seed_b, cell, n_shared, spearman) of the final lists of each pair of seeds. finals: (seed, cell, pos, token).
+
+    parts: into how many parts the cells' keys, and then the cells, are dealt.
+    """
     a, b = finals.select(F.col("seed").alias("seed_a"), "cell", "token", F.col("pos").alias("pa")), finals.select(F.col("seed").alias("seed_b"), "cell", "token", F.col("pos").alias("pb"))
+    if parts:
+        a, b = (x.repartition(parts, "cell", "token") for x in (a, b))
     both = a.join(b, ["cell", "token"]).where("seed_a < seed_b")
+    both = both.repartition(parts, "cell") if parts else both
     ranked = both.select("seed_a", "seed_b", "cell", average_rank("pa", "seed_a", "seed_b", "cell").alias("ra"), average_rank("pb", "seed_a", "seed_b", "cell").alias("rb"))
     return ranked.groupBy("seed_a", "seed_b", "cell").agg(F.count("*").alias("n_shared"), profiles.correlation("ra", "rb").alias("spearman"))
 
 
-def shuffled_within(rows: DataFrame, cell: str, pos: str, value: str, seed: int) -> DataFrame:
-    """rows with the value of another row of the same cell: each cell's values in the order of a hash."""
+def shuffled_within(rows: DataFrame, cell: str, pos: str, value: str, seed: int, parts: int | None = None) -> DataFrame:
+    """rows with the value of another row of the same cell: each cell's values in the order of a hash. parts: into how many parts the places are dealt."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cell).cast("string"), F.col(pos).cast("string")))
     numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(cell).orderBy(pos)))
     dealt = rows.select(F.col(cell), F.col(value).alias("shuffled"), F.row_number().over(Window.partitionBy(cell).orderBy(order)).alias("_rn"))
+    if parts:
+        numbered, dealt = (x.repartition(parts, cell, "_rn") for x in (numbered, dealt))
     return numbered.join(dealt, [cell, "_rn"]).drop("_rn")
 
 

@@ -102,13 +102,13 @@ _FIN = f"WITH {C_LISTS}, s AS (SELECT cell, unnest(ids) AS token, generate_subsc
 def cross_seed_agreement(spark, sf_dir):
     s = encode.from_lists(inputs.customer_lists(spark, sf_dir)).select("cell", "token", (F.col("pos") + 1).alias("i"))
     f = s.select(F.lit(1).alias("seed"), "cell", "token", F.col("i").cast("bigint").alias("pos")).unionByName(s.select(F.lit(2).alias("seed"), "cell", "token", (F.col("i") + 3 * (F.col("token") % 4)).alias("pos"))).unionByName(s.where("token % 3 <> 0").select(F.lit(3).alias("seed"), "cell", "token", (-F.col("i")).cast("bigint").alias("pos")))
-    return chains.seed_agreement(f).withColumn("spearman", F.round("spearman", 5))
+    return chains.seed_agreement(f, 3 * inputs.tasks(spark, sf_dir)).withColumn("spearman", F.round("spearman", 5))
 
 
 @query(f"WITH {C_LISTS}, x AS (SELECT cell, unnest(ids) AS token, generate_subscripts(ids, 1) - 1 AS pos FROM lists), a AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY pos) AS rn FROM x), b AS (SELECT cell, token AS shuffled, row_number() OVER (PARTITION BY cell ORDER BY md5('7:' || cell || ':' || pos)) AS rn FROM x) SELECT cell, pos, token, shuffled FROM a JOIN b USING (cell, rn)")
 def shuffle_control(spark, sf_dir):
     x = encode.from_lists(inputs.customer_lists(spark, sf_dir)).select("cell", F.col("pos").cast("bigint").alias("pos"), "token")
-    return chains.shuffled_within(x, "cell", "pos", "token", 7).select("cell", "pos", "token", "shuffled")
+    return chains.shuffled_within(x, "cell", "pos", "token", 7, inputs.tasks(spark, sf_dir)).select("cell", "pos", "token", "shuffled")
 
 
 @query(f"""WITH {C_LISTS}, e AS (SELECT cell, list_concat([15]::BIGINT[], list_filter(ids, lambda x: x <> 15))[1:len(ids)] AS ids FROM lists), r AS (SELECT cell, list_concat(list_filter(ids, lambda x: x = 15), list_filter(list_reverse(ids), lambda x: x <> 15)) AS ids FROM e), d AS (SELECT cell, list_filter(ids, lambda x: x NOT IN (9, 12)) AS ids FROM r),

@@ -72,6 +72,13 @@ def pseudobulk(sums: DataFrame, totals: DataFrame, *by: str) -> DataFrame:
     return joined.select(*by, "token", ((F.col("sum_norm_pos") + F.col("n") - F.col("n_cells")) / F.col("n")).alias("rank"), "n_cells")
 
 
+def state_ranks(encoded: DataFrame, *by: str) -> DataFrame:
+    """(by, token, rank, n_cells): pseudobulk() of lists that are read once and whose sums are written; a cell is counted at its first key."""
+    first = F.count_if(F.col("pos") == 0).alias("_first")
+    sums = kept(encoded.groupBy(*by, "token").agg(F.sum(norm_pos()).alias("sum_norm_pos"), F.count("*").alias("n_cells"), first))
+    return pseudobulk(sums.drop("_first"), sums.groupBy(*by).agg(F.sum("_first").alias("n")), *by)
+
+
 def displacement(start: DataFrame, final: DataFrame) -> DataFrame:
     """(token, delta): final minus start rank over the tokens of either side, absent ones at 1."""
     s, f = start.select("token", F.col("rank").alias("r0")), final.select("token", F.col("rank").alias("r1"))

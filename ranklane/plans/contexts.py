@@ -13,6 +13,7 @@ from ranklane.operators import closeness, counterfactuals, encode, profiles, rer
 from ranklane.plans import inputs
 from ranklane.plans.catalogue import query
 from ranklane.plans.inputs import CELLS, ENC, GOAL, START, STATES
+from ranklane.sources.shared import kept
 
 _X = "x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)"
 
@@ -163,13 +164,13 @@ va AS (SELECT level, m AS metric, chain, v AS value FROM (UNPIVOT me ON progress
 
 def _goal_changes(spark, sf_dir):
     e = inputs.encoded(spark, sf_dir).join(inputs.cells(spark, sf_dir), "cell")
-    pb = profiles.pseudobulk(profiles.position_sums(e, "state"), profiles.cells_per(e, "state"), "state")
+    pb = profiles.state_ranks(e, "state")
     of = lambda state, name: pb.where((F.col("state") == state) & (F.col("n_cells") >= 3)).select("token", F.col("rank").alias(name))
-    table = of(START, "start_rank").join(of(GOAL, "goal_rank"), "token")
+    table = kept(of(START, "start_rank").join(of(GOAL, "goal_rank"), "token"))
     chains = ["AMERICA", "EUROPE", "MIDDLE EAST"]
     wide = pb.groupBy("token").pivot("state", chains).agg(F.first("rank"))
     each = table.join(wide, "token").select("token", "start_rank", F.explode(F.array(*[F.struct(F.lit(closeness.CONFIGURED if c == "AMERICA" else c).alias("chain"), F.col(c).alias("r")) for c in chains])).alias("x"))
-    changes = each.select("x.chain", "token", F.round(F.coalesce("x.r", F.lit(1.0)) - F.col("start_rank"), 9).alias("d"))
+    changes = kept(each.select("x.chain", "token", F.round(F.coalesce("x.r", F.lit(1.0)) - F.col("start_rank"), 9).alias("d")))
     return table.select("token", F.round(F.col("goal_rank") - F.col("start_rank"), 9).alias("g")), changes
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklane.operators import encode, profiles
-from ranklane.sources.shared import kept
 
 START, GOAL = "AFRICA", "ASIA"
 #: Keys that a list keeps at most.
@@ -80,14 +79,13 @@ def in_state(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
 
 def ranks(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
     """(token, rank, n_cells) of a state's suppliers."""
-    e = in_state(spark, sf_dir, state)
-    return profiles.pseudobulk(profiles.position_sums(e), profiles.cells_per(e))
+    return profiles.state_ranks(in_state(spark, sf_dir, state))
 
 
 def ranks_of(spark: SparkSession, sf_dir: str, *states: str) -> list[DataFrame]:
-    """ranks() of several states, from lists that are encoded once; a row for each state and token is written."""
+    """ranks() of several states, from lists that are encoded and summed once."""
     e = encoded(spark, sf_dir).join(cells(spark, sf_dir).where(F.col("state").isin(*states)), "cell")
-    every = kept(profiles.pseudobulk(profiles.position_sums(e, "state"), profiles.cells_per(e, "state"), "state"))
+    every = profiles.state_ranks(e, "state")
     return [every.where(F.col("state") == s).drop("state") for s in states]
 
 

@@ -271,9 +271,14 @@ used AS (SELECT d.chain, d.token, d.delta, m.token IS NULL AS free FROM disp1 d
 _CHAINS = _CHAINS.replace("SELECT chain, token, coalesce(f.rank", "SELECT chain, toks.token, coalesce(f.rank")
 
 
-def _chains(spark, sf_dir):
+def _all_ranks(spark, sf_dir):
+    """(state, token, rank, n_cells) of every state, from sums that are written once for all that reads them."""
     e = inputs.encoded(spark, sf_dir).join(inputs.cells(spark, sf_dir), "cell")
-    pb = profiles.pseudobulk(profiles.position_sums(e, "state"), profiles.cells_per(e, "state"), "state")
+    return profiles.state_ranks(e, "state")
+
+
+def _chains(spark, sf_dir, pb=None):
+    pb = _all_ranks(spark, sf_dir) if pb is None else pb
     s0 = pb.where(F.col("state") == START).select("token", F.col("rank").alias("s"))
     states = [r[0] for r in inputs.table(spark, sf_dir, "region").select("r_name").collect() if r[0] != START]
     wide = pb.groupBy("token").pivot("state", states).agg(F.first("rank"))  # one row a token: dense over the chains
@@ -306,8 +311,9 @@ def loo_contrast(spark, sf_dir):
 SELECT token, round(coalesce(r0.rank, 1.0), 6) AS start_rank, round(coalesce(r1.rank, 1.0), 6) AS goal_rank, round(coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS delta_spec, round(coalesce(r0.rank, 1.0) + coalesce(delta_configured - delta_placebo_mean, 0.0), 6) AS predicted_rank
 FROM bg LEFT JOIN r0 USING (token) LEFT JOIN r1 USING (token) LEFT JOIN ds USING (token)""")
 def rank_table(spark, sf_dir):
-    r0, r1 = inputs.ranks_of(spark, sf_dir, START, GOAL)
-    out = profiles.rank_table(profiles.background(r0, r1, 3), r0, r1, profiles.delta_spec(*_swap(_chains(spark, sf_dir))))
+    pb = _all_ranks(spark, sf_dir)
+    r0, r1 = (pb.where(F.col("state") == s).drop("state") for s in (START, GOAL))
+    out = profiles.rank_table(profiles.background(r0, r1, 3), r0, r1, profiles.delta_spec(*_swap(_chains(spark, sf_dir, pb))))
     return out.select("token", *[F.round(c, 6).alias(c) for c in ("start_rank", "goal_rank", "delta_spec", "predicted_rank")])
 
 

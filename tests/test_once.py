@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from ranklane.operators import profiles
-from ranklane.plans import contexts, inputs
+from ranklane.plans import contexts, encoding, inputs
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def counted(spark, monkeypatch, module, name):
     return rows, source(spark, SF).count()
 
 
-@pytest.mark.parametrize("run", [contexts.closeness_values, contexts.closeness_summary])
+@pytest.mark.parametrize("run", [contexts.closeness_values, contexts.closeness_summary, encoding.rank_table])
 def test_lists_are_read_once(spark, monkeypatch, run):
     rows, n = counted(spark, monkeypatch, inputs, "encoded")
     run(spark, SF).collect()

@@ -94,9 +94,14 @@ def quantiles(rows: DataFrame, column: str, shares: Sequence[float], *by: str) -
 
 def spearman_by(rows: DataFrame, a: str, b: str, by: str, least: int = 2) -> DataFrame:
     """(by, n, rho): correlation of average ranks within each group; null for fewer rows than `least` or constant values."""
-    ranked = rows.select(by, average_rank(a, by).alias("ra"), average_rank(b, by).alias("rb"))
-    out = ranked.groupBy(by).agg(F.count("*").alias("n"), correlation("ra", "rb").alias("rho"))
-    return out.select(by, "n", F.when(F.col("n") >= least, F.col("rho")).alias("rho"))
+    return spearmans_by(rows, {a: "rho"}, b, by, least)
+
+
+def spearmans_by(rows: DataFrame, rhos: dict[str, str], b: str, by: str, least: int = 2) -> DataFrame:
+    """spearman_by() of several columns against b, under their given names; groups are gathered once for all of them."""
+    ranked = rows.select(by, *[average_rank(a, by).alias(f"_{name}") for a, name in rhos.items()], average_rank(b, by).alias("_b"))
+    out = ranked.groupBy(by).agg(F.count("*").alias("n"), *[correlation(f"_{name}", "_b").alias(name) for name in rhos.values()])
+    return out.select(by, "n", *[F.when(F.col("n") >= least, F.col(name)).alias(name) for name in rhos.values()])
 
 
 def base_bins(rows: DataFrame, base: str, bins: int) -> DataFrame:
@@ -144,12 +149,35 @@ def crossfit_base(rows: DataFrame, token: str, base: str, target: str, bins: int
     return binned.join(means, ["bin", "fold"], "left").withColumn("pred", F.coalesce("_mean", F.lit(0.0))).drop("_mean")
 
 
-def calibration_bins(rows: DataFrame, pred: str, obs: str, bins: int, tie: str) -> DataFrame:
-    """(bin, n, pred_mean, obs_mean): bins of like size in order of the prediction; bin b begins at floor(b n / bins)."""
-    many = rows.agg(F.count("*").alias("_n"))
-    b = F.floor(((F.col("position") + 1) * bins - 1) / F.col("_n")).cast("long")
-    binned = numbered(rows.select(pred, obs, tie), pred, tie).crossJoin(F.broadcast(many)).withColumn("bin", b)
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(pred).alias("pred_mean"), F.avg(obs).alias("obs_mean"))
+def calibration_bins(rows: DataFrame, pred: str, obs: str, bins: int, *ties: str) -> DataFrame:
+    """(bin, n, pred_mean, obs_mean): bins of like size in order of the prediction, then of the ties; bin b begins at floor(b n / bins).
+
+    Rows are summed by value of the prediction, which places all that do not lie across a bin's end; rows of the values that do (fewer
+    than bins) are summed by the first tie as well, and so on. So no row is put in order by itself before the last tie.
+    """
+    rows = rows.select(F.col(pred).alias("_k0"), F.col(obs).alias("_obs"), *[F.col(t).alias(f"_k{i}") for i, t in enumerate(ties, 1)])
+    many = rows.count()
+    bin_of = lambda at: F.floor(((at + 1) * bins - 1) / F.lit(many)).cast("long")
+    left, starts, out = rows, None, None
+    for depth in range(len(ties) + 1):
+        keys = [f"_k{i}" for i in range(depth + 1)]
+        sums = left.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_obs").alias("_m"), F.sum("_obs").alias("_obs"))
+        placed = kept(running(sums, F.col("n"), *keys))
+        if starts is not None:  # what lies before a group among all rows, and what lies before it in this table
+            first = placed.groupBy(*keys[:-1]).agg(F.min("before").alias("_first"))
+            same = lambda x: [F.col(f"p.{k}").eqNullSafe(F.col(f"{x}.{k}")) for k in keys[:-1]]
+            placed = placed.alias("p").join(F.broadcast(first).alias("f"), same("f")).join(F.broadcast(starts).alias("s"), same("s"))
+            placed = placed.select("p.*", (F.col("p.before") - F.col("f._first") + F.col("s._start")).alias("_at")).drop("before").withColumnRenamed("_at", "before")
+        placed = placed.withColumn("bin", bin_of(F.col("before")))
+        whole = F.col("bin") == bin_of(F.col("before") + F.col("n") - 1)
+        some = placed if depth == len(ties) else placed.where(whole)
+        some = some.select("bin", "n", F.when(F.col("_k0").isNotNull(), F.col("n")).otherwise(0).alias("_p"), (F.col("_k0") * F.col("n")).alias("_pred"), "_m", "_obs")
+        out = some if out is None else out.unionByName(some)
+        if depth < len(ties):
+            starts = kept(placed.where(~whole).select(*keys, F.col("before").alias("_start")))  # fewer rows than bins
+            left = left.alias("r").join(F.broadcast(starts).alias("s"), [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "left_semi")
+    mean = lambda total, n: F.sum(total) / F.nullif(F.sum(n), F.lit(0))
+    return out.groupBy("bin").agg(F.sum("n").alias("n"), mean("_pred", "_p").alias("pred_mean"), mean("_obs", "_m").alias("obs_mean"))
 
 
 def precision_ndcg(rows: DataFrame, pred: str, obs: str, token: str, k: int, up: bool) -> DataFrame:

@@ -26,6 +26,8 @@ FEW = 4096
 A_RANGE = 1_000_000
 #: Poisson steps that the 32 bits of a hash tell apart.
 STEPS = 12
+#: What a correlation is made of, summed.
+_SUMS = ("n", "p", "t", "pp", "tt", "pt")
 
 
 def hashed(key: Column, draw: Column, seed: int) -> Column:
@@ -381,23 +383,45 @@ def contrasts(sums: DataFrame, rows: DataFrame, primary: str, others: Sequence[s
     return out
 
 
+def _rank_sums(binned: DataFrame, methods: Sequence[str], target: str) -> dict[str, DataFrame]:
+    """By method, (bin, n, p, t, pp, tt, pt): sums over each bin of the centred ranks of its column and of the target, among rows that have all of them."""
+    mean = binned.agg(((F.count("*") + 1) / 2.0).alias("_mean"))
+    names = {c: f"_r{i}" for i, c in enumerate(dict.fromkeys([*methods, target]))}
+    ranked = ranking.with_ranks(binned.select("bin", *names), names).crossJoin(F.broadcast(mean))  # one row
+    r = lambda c: F.col(names[c]) - F.col("_mean")
+    t = r(target)
+    each = [F.sum(x).alias(f"{a}{i}") for i, m in enumerate(methods) for a, x in (("p", r(m)), ("pp", r(m) * r(m)), ("pt", r(m) * t))]
+    sums = kept(ranked.groupBy("bin").agg(F.count("*").alias("n"), F.sum(t).alias("t"), F.sum(t * t).alias("tt"), *each))
+    return {m: sums.select("bin", "n", F.col(f"p{i}").alias("p"), "t", F.col(f"pp{i}").alias("pp"), "tt", F.col(f"pt{i}").alias("pt")) for i, m in enumerate(methods)}
+
+
 def method_scores(rows: DataFrame, methods: Sequence[str], target: str, cell: str, token: str, base: str, ks: Sequence[int] = (10, 50), least: int = 10, bins: int = 10) -> DataFrame:
     """One row a method: pooled, partial, within-cell and by-key rank correlations, hits and gains among the first k keys, and calibration.
 
     rows: a prediction column for each method beside target, cell, token and base. Keys are aggregated as mean predictions against
     the target that each has (the same in all cells, with a pseudobulk target).
     """
+    rows = kept(rows.select(*dict.fromkeys([*methods, target, cell, token, base])))
+    binned = ranking.base_bins(rows, base, 20)
+    bare = rows.agg(*[F.count_if(F.col(m).isNull()).alias(m) for m in methods]).first()
+    sums = {}
+    # what lacks no prediction has the same ranks of the target for all such methods
+    for group in filter(None, [[m for m in methods if not bare[m]], *[[m] for m in methods if bare[m]]]):
+        sums |= _rank_sums(binned, group, target)
+    # cells of about A_RANGE rows a task are gathered once, keys summed once for all methods
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // A_RANGE))
+    every_cell = kept(ranking.spearmans_by(rows.select(*dict.fromkeys([cell, *methods, target])).repartition(parts, cell), {m: f"rho{i}" for i, m in enumerate(methods)}, target, cell, least))
+    every_key = kept(rows.groupBy(token).agg(*[F.avg(m).alias(f"_pred{i}") for i, m in enumerate(methods)], F.max(target).alias("_obs")))
     out = None
-    for m in methods:
-        ranked = ranking.with_ranks(rows.select(m, target), {m: "_p", target: "_t"})
-        whole = ranked.agg(F.count("*").alias("n_samples"), ranking.correlation("_p", "_t").alias("pooled_spearman"))
-        part = ranking.partial_spearman(rows, m, target, base).withColumnRenamed("partial", "partial_spearman_given_base")
-        cells = ranking.spearman_by(rows, m, target, cell, least).where("rho IS NOT NULL")
+    for i, m in enumerate(methods):
+        whole = ranking.partial_of_sums(sums[m].agg(*[F.sum(c).alias(c) for c in _SUMS])).select(F.col("partial").alias("pooled_spearman")).crossJoin(sums[m].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples")))
+        part = ranking.partial_of_sums(sums[m]).withColumnRenamed("partial", "partial_spearman_given_base")
+        cells = every_cell.select(cell, F.col(f"rho{i}").alias("rho")).where("rho IS NOT NULL")
         told = ranking.quantiles(cells, "rho", [0.25, 0.5, 0.75])
         within = cells.agg(F.count("*").alias("n_cells_scored")).join(told, F.lit(True), "left").select("n_cells_scored", *[F.col("quantiles")[i].alias(f"cellwise_spearman_{q}") for i, q in enumerate(("q25", "median", "q75"))])
-        keys = kept(rows.groupBy(token).agg(F.avg(m).alias("_pred"), F.max(target).alias("_obs")))
+        keys = every_key.select(token, F.col(f"_pred{i}").alias("_pred"), "_obs")
         by_key = ranking.with_ranks(keys, {"_pred": "_p", "_obs": "_t"}).agg(F.count("*").alias("n_genes_scored"), ranking.correlation("_p", "_t").alias("gene_aggregated_spearman"))
-        calibration = ranking.calibration_bins(rows.withColumn("_tie", F.struct(cell, token)), m, target, bins, "_tie")
+        calibration = ranking.calibration_bins(rows, m, target, bins, cell, token)
         monotone = calibration.select(ranking.average_rank("bin").alias("a"), ranking.average_rank("obs_mean").alias("b")).agg(F.when(F.count("*") >= 2, ranking.correlation("a", "b")).alias("calibration_monotonicity"))
         one = whole.crossJoin(part).crossJoin(within).crossJoin(by_key).crossJoin(monotone)  # one row each
         for k in ks:

@@ -438,6 +438,7 @@ def base_control(rows: DataFrame, methods: Sequence[str], target: str, token: st
 
     base_only is the mean target of the base's bin among keys of the other parity; strata are bins by quantiles of the base, from 0.
     """
+    rows = kept(rows.select(*dict.fromkeys([*methods, target, token, base])))
     named = ranking.base_bins(rows, base, strata)
     out = None
     for m in methods:

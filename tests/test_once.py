@@ -35,7 +35,7 @@ def test_lists_are_read_once(spark, monkeypatch, run):
     assert rows.value == n
 
 
-@pytest.mark.parametrize("run", [resampling.method_scores])
+@pytest.mark.parametrize("run", [resampling.method_scores, resampling.base_rank_control])
 def test_samples_are_read_once(spark, monkeypatch, run):
     rows, n = counted(spark, monkeypatch, resampling, "samples")
     run(spark, SF).collect()

@@ -58,3 +58,9 @@ def test_calibration_bins(spark):
     for b in range(10):
         own = [r for i, r in enumerate(rows) if ((i + 1) * 10 - 1) // len(rows) == b]
         assert got[b].n == len(own) and got[b].pred_mean == pytest.approx(mean([r[0] for r in own if r[0] is not None])) and got[b].obs_mean == pytest.approx(mean([r[3] for r in own if r[3] is not None]))
+
+
+def test_match_reads_lists_once(spark, monkeypatch):
+    rows, n = counted(spark, monkeypatch, inputs, "encoded")
+    encoding.stratum_band_match(spark, SF)
+    assert rows.value == n

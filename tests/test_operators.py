@@ -282,3 +282,19 @@ def test_tasks_grow_with_the_order_lines(spark, monkeypatch):
     assert many >= 8
     assert inputs.counts(spark, where).rdd.getNumPartitions() == many
     assert catalogue.QUERIES["spearman_by_cell"](spark, where).rdd.getNumPartitions() == many
+
+
+def test_stratum_meets_blocks(spark, monkeypatch):
+    """Blocks inside, across and outside a target's bounds; a detection at an octave's end; ranks that are not known; targets that are no keys."""
+    for name, n in (("DEALT", 50), ("CROWD", 20), ("BLOCK", 8)):
+        monkeypatch.setattr(profiles, name, n, raising=False)
+    rows = [(i, 0.02 * (1 + i * 29 % 40), (i * 37 % 211) / 210) for i in range(240)] + [(300, 2.0**-28, 0.5), (301, 2.0**-29, 0.5), (302, 0.3, None), (303, 0.3, float("nan"))]
+    goals = [(i, d * 1.1, r) for i, d, r in rows[:240:3]] + [(900, 0.3, 0.45), (901, 0.03, 1.0), *rows[-4:]]
+    p, t = (frame(spark, x, "token long, detection double, rank double") for x in (rows, goals))
+    want = set()
+    for g, td, tr in goals:
+        near = [(x, abs(r - tr) if None not in (r, tr) else float("nan")) for x, d, r in rows if x != g and td / 2 <= d <= td * 2]
+        w = next((w for w in (0.1, 0.2, 0.3) if sum(gap <= w for _, gap in near) >= 26), float("inf"))
+        want |= {(g, x, w) for x, gap in near if gap <= w or w == float("inf")}
+    got = [tuple(r) for r in profiles.stratum(t, p, 26).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(300, 301, float("inf")), (301, 300, float("inf"))} <= want and len({w for *_, w in want}) == 4
